@@ -1,0 +1,5 @@
+"""Nothing to stream: every analysis in this library is a batch job.
+
+The workload reads finished months of purchase lines, so there is no
+watermark, window or state to keep.  The package exists to say so.
+"""
