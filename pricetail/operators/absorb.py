@@ -67,21 +67,24 @@ def _join_effects(records: DataFrame, effects: Effects, record_keys: list[str])
     return joined.drop("_salt")
 
 
+def _left_over(column: str, joined: list[int]) -> str:
+    """SQL text of a column minus the effects joined for it."""
+    return " - ".join([f"`{column}`", *[f"`_e{i}_{column}`" for i in joined]])
+
+
 def remove_effects(
     records: DataFrame, effects: list[Effects | None], columns: list[str], record_keys: list[str]
-) -> tuple[DataFrame, dict[str, Column]]:
-    """Join the given effects; return the frame and what is left of each column."""
-    left = {c: F.col(c) for c in columns}
-    for i, one in enumerate(effects):
-        if one is None:
-            continue
-        renamed = {c: f"_e{i}_{c}" for c in columns}
-        table = one.table.withColumnsRenamed(renamed)
-        joined = Effects(one.keys, table, one.levels, one.width, one.hot)
-        records = _join_effects(records, joined, record_keys)
-        one.hot = joined.hot
-        left = {c: left[c] - F.col(f"_e{i}_{c}") for c in columns}
-    return records, left
+) -> tuple[DataFrame, dict[str, str]]:
+    """Join the given effects; return the frame and, as SQL, what is left of each column."""
+    joined = [i for i, one in enumerate(effects) if one is not None]
+    for i in joined:
+        one = effects[i]
+        picked = [f"`{c}`" for c in [*one.keys, "_records"]]
+        picked += [f"`{c}` AS `_e{i}_{c}`" for c in columns]
+        named = Effects(one.keys, one.table.selectExpr(*picked), one.levels, one.width, one.hot)
+        records = _join_effects(records, named, record_keys)
+        one.hot = named.hot
+    return records, {c: _left_over(c, joined) for c in columns}
 
 
 def absorb(
@@ -102,27 +105,24 @@ def absorb(
     dimension then moves by no more than the sum of these.
     """
     found: list[Effects | None] = [None] * len(dims)
-    n = F.col(weight)
     for sweep in range(max_sweeps):
         moved = 0.0
         for d, dim in enumerate(dims):
             keys = [*by, *[c for c in dim if c not in by]]
             others = [None if i == d else e for i, e in enumerate(found)]
             frame, left = remove_effects(records, others, columns, record_keys)
-            new = frame.groupBy(*keys).agg(
-                F.count(F.lit(1)).alias("_records"),
-                *[(F.sum(n * left[c]) / F.sum(n)).alias(c) for c in columns],
-            )
+            means = [f"sum({weight} * ({left[c]})) / sum({weight}) AS `{c}`" for c in columns]
+            new = frame.groupBy(*keys).agg(F.expr("count(1) AS _records"), *map(F.expr, means))
             old = found[d]
-            watch = {"levels": F.count(F.lit(1))}
+            watch = ["count(1) AS levels"]
             if old is not None and d > 0:
-                before = old.table.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in columns])
+                before = old.table.selectExpr(*_quoted(keys), *[f"`{c}` AS `_old_{c}`" for c in columns])
                 new = new.join(F.broadcast(before) if old.small else before, keys)
-                moves = [F.abs(F.col(c) - F.col(f"_old_{c}")) for c in columns]
-                watch["moved"] = F.max(F.greatest(*moves) if len(moves) > 1 else moves[0])
+                moves = [f"max(abs(`{c}` - `_old_{c}`))" for c in columns]
+                watch.append(f"{'greatest(' + ', '.join(moves) + ')' if len(moves) > 1 else moves[0]} AS moved")
             seen = Observation()
-            new = new.observe(seen, *[e.alias(k) for k, e in watch.items()])
-            new = materialise(new.select(*keys, "_records", *columns))
+            new = new.observe(seen, *map(F.expr, watch)).select(*keys, "_records", *_quoted(columns))
+            new = materialise(new)
             result = seen.get
             hot = old.hot if old else None
             found[d] = Effects(keys, new, result["levels"], len(keys) + len(columns) + 1, hot)
@@ -134,6 +134,10 @@ def absorb(
     return found
 
 
+def _quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
 @dataclass
 class Panel:
     """Records with all fixed effects removed from every variable."""
@@ -146,41 +150,34 @@ class Panel:
     keys: list[str]
     effects: list[Effects]
 
-    def product(self, a: str, b: str) -> Column:
-        """Sum over a record's rows of the product of two demeaned variables."""
-        between = F.col("n") * F.col(a) * F.col(b)
+    def product(self, a: str, b: str) -> str:
+        """SQL text of the summed product of two variables over a record's rows."""
+        between = f"n * `{a}` * `{b}`"
         if a in self.varying and b in self.varying:
             first, second = sorted((a, b), key=self.varying.index)
-            return between + F.col(f"_w_{first}__{second}")
-        return between
+            return f"({between} + `_w_{first}__{second}`)"
+        return f"({between})"
 
 
-def collapse(
-    df: DataFrame, keys: list[str], varying: list[str]
-) -> DataFrame:
+def collapse(df: DataFrame, keys: list[str], varying: list[str]) -> DataFrame:
     """One record per key: row count, means and centred sums of products.
 
     Rows with a missing key or a value that is not a finite number are left
     out, as they are in any regression on them.
     """
-    numbers = {c: F.col(c).cast("double") for c in varying}
-    kept = df.select(*keys, *[e.alias(c) for c, e in numbers.items()])
+    kept = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in varying])
     for key in keys:
         kept = kept.where(F.col(key).isNotNull())
     for c in varying:
         kept = kept.where(is_finite(F.col(c)))
     pairs = [(a, b) for i, a in enumerate(varying) for b in varying[i:]]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"_p_{a}__{b}") for a, b in pairs]
-    grouped = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in varying], *sums
-    )
+    sums = [f"sum(`{a}` * `{b}`) AS `_p_{a}__{b}`" for a, b in pairs]
+    means = [f"avg(`{c}`) AS `{c}`" for c in varying]
+    grouped = kept.groupBy(*keys).agg(F.expr("count(1) AS n"), *map(F.expr, means + sums))
     centred = [
-        F.when(F.col("n") > 1, F.col(f"_p_{a}__{b}") - F.col("n") * F.col(a) * F.col(b))
-        .otherwise(F.lit(0.0))
-        .alias(f"_w_{a}__{b}")
-        for a, b in pairs
+        f"if(n > 1, `_p_{a}__{b}` - n * `{a}` * `{b}`, 0.0D) AS `_w_{a}__{b}`" for a, b in pairs
     ]
-    return grouped.select(*keys, "n", *varying, *centred)
+    return grouped.selectExpr(*_quoted(keys), "n", *_quoted(varying), *centred)
 
 
 def build_panel(
@@ -211,5 +208,6 @@ def build_panel(
         effects = absorb(records, by, absorb_dims, columns, keys, tol=tol, max_sweeps=max_sweeps)
         frame, left = remove_effects(records, effects, columns, keys)
         kept = [c for c in records.columns if c not in columns]
-        records = materialise(frame.select(*kept, *[left[c].alias(c) for c in columns]))
+        demeaned = [f"{left[c]} AS `{c}`" for c in columns]
+        records = materialise(frame.selectExpr(*_quoted(kept), *demeaned))
     return Panel(records, by, absorb_dims, columns, varying, keys, effects)

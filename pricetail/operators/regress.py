@@ -102,11 +102,11 @@ class Fit:
 # --- sums of products -------------------------------------------------------
 
 
-def _gram(df: DataFrame, by: list[str], products: dict[tuple[int, int], Column], size: int, extra: list[Column]):
-    """Per group the symmetric matrix of summed products, with extra aggregates."""
-    sums = [F.sum(e).alias(f"g_{i}_{j}") for (i, j), e in products.items()]
+def _gram(df: DataFrame, by: list[str], products: dict[tuple[int, int], str], size: int, extra: str):
+    """Per group the symmetric matrix of summed products, with one more aggregate."""
+    sums = [f"sum({e}) AS g_{i}_{j}" for (i, j), e in products.items()]
     found = {}
-    for row in df.groupBy(*by).agg(*sums, *extra).collect():
+    for row in df.groupBy(*by).agg(*map(F.expr, [*sums, extra])).collect():
         matrix = np.zeros((size, size))
         for i, j in products:
             matrix[i, j] = matrix[j, i] = row[f"g_{i}_{j}"] or 0.0
@@ -155,24 +155,24 @@ def panel_gram(panel: Panel, columns: list[str]):
     pairs = {(i, j): (a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j}
     if len(columns) <= SQL_COLUMNS:
         products = {ij: panel.product(a, b) for ij, (a, b) in pairs.items()}
-        found = _gram(panel.table, panel.by, products, len(columns), [F.sum("n").alias("n_obs")])
+        found = _gram(panel.table, panel.by, products, len(columns), "sum(n) AS n_obs")
         return {k: (m, int(row["n_obs"])) for k, (m, row) in found.items()}
-    inner = {ij: F.col(f"_w_{a}__{b}") for ij, (a, b) in pairs.items() if f"_w_{a}__{b}" in panel.table.columns}
-    within = _gram(panel.table, panel.by, inner, len(columns), [F.sum("n").alias("n_obs")])
+    inner = {ij: f"`_w_{a}__{b}`" for ij, (a, b) in pairs.items() if f"_w_{a}__{b}" in panel.table.columns}
+    within = _gram(panel.table, panel.by, inner, len(columns), "sum(n) AS n_obs")
     between = _wide_gram(panel.table, panel.by, columns, "n")
     return {k: (m + between[k], int(row["n_obs"])) for k, (m, row) in within.items()}
 
 
 def score_gram(scores: DataFrame, by: list[str], columns: list[str]):
     """Summed outer products of cluster scores and the cluster count, per group."""
-    counted = [F.count(F.lit(1)).alias("clusters")]
+    counted = "count(1) AS clusters"
     size = len(columns)
     if size <= SQL_COLUMNS:
-        products = {(i, j): F.col(columns[i]) * F.col(columns[j]) for i in range(size) for j in range(i, size)}
+        products = {(i, j): f"{columns[i]} * {columns[j]}" for i in range(size) for j in range(i, size)}
         found = _gram(scores, by, products, size, counted)
         return {k: (m, int(row["clusters"])) for k, (m, row) in found.items()}
     wide = _wide_gram(scores, by, columns, None)
-    counts = {tuple(r[c] for c in by): r["clusters"] for r in scores.groupBy(*by).agg(*counted).collect()}
+    counts = {tuple(r[c] for c in by): r["clusters"] for r in scores.groupBy(*by).agg(F.expr(counted)).collect()}
     return {k: (m, int(counts[k])) for k, m in wide.items()}
 
 
@@ -341,22 +341,21 @@ def _cluster_covariance(fit: Fit, cluster: list[str], z: list[str], projections:
     )
     if panel.by:
         table = panel.table.join(F.broadcast(spark.createDataFrame(rows, schema)), panel.by)
-        beta = [F.col(f"_b_{i}") for i in range(len(x))]
+        beta = [f"_b_{i}" for i in range(len(x))]
     else:
-        table, beta = panel.table, [F.lit(v) for v in rows[0]]
+        table, beta = panel.table, [f"({v!r}D)" for v in rows[0]]
 
-    def score(column: str) -> Column:
-        total = panel.product(column, fit.y)
-        for b, regressor in zip(beta, x):
-            total = total - b * panel.product(column, regressor)
-        return total
+    def score(column: str) -> str:
+        fitted = [f"{b} * {panel.product(column, regressor)}" for b, regressor in zip(beta, x)]
+        return " - ".join([panel.product(column, fit.y), *fitted])
 
     names = [f"_s_{i}" for i in range(len(z))]
     sets = [[c] for c in cluster] + ([cluster] if len(cluster) == 2 else [])
     meats = []
     for columns in sets:
         keys = [*panel.by, *[c for c in columns if c not in panel.by]]
-        scores = table.groupBy(*keys).agg(*[F.sum(score(c)).alias(s) for c, s in zip(z, names)])
+        sums = [f"sum({score(c)}) AS {s}" for c, s in zip(z, names)]
+        scores = table.groupBy(*keys).agg(*map(F.expr, sums))
         meats.append(score_gram(scores, panel.by, names))
     for g in fit.groups:
         kept, pi, inverse, free = projections[g.key]

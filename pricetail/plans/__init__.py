@@ -9,6 +9,7 @@ def load_all() -> ModuleType:
         base_queries,
         dynamics_queries,
         geo_queries,
+        model_queries,
         product_queries,
         registry,
         share_queries,

@@ -136,9 +136,9 @@ def demean_one_way(spark, sf_dir):
 @query(
     "demean_two_way",
     f"""WITH {CELLS_B_SQL}, a AS (
-  SELECT *, ln(quantity) - avg(ln(quantity)) OVER (PARTITION BY store_id) AS q,
-         unit_nine - avg(unit_nine) OVER (PARTITION BY store_id) AS u FROM flagged),
-b AS (SELECT *, q - avg(q) OVER (PARTITION BY sku_gtin) AS q2, u - avg(u) OVER (PARTITION BY sku_gtin) AS u2 FROM a)
+  SELECT *, ln(quantity) - avg(ln(quantity)) OVER (PARTITION BY store_id) AS q1,
+         unit_nine - avg(unit_nine) OVER (PARTITION BY store_id) AS u1 FROM flagged),
+b AS (SELECT *, q1 - avg(q1) OVER (PARTITION BY sku_gtin) AS q2, u1 - avg(u1) OVER (PARTITION BY sku_gtin) AS u2 FROM a)
 SELECT {CELL}, kjedeid, ppu, {sql_r6("q2")} AS log_quantity_demeaned, {sql_r6("u2")} AS unit_nine_demeaned,
        {sql_r6("q2 * u2")} AS interaction FROM b""",
 )

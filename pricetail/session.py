@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Recording the Python call site of every expression slows long plans down.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
