@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
-from ..session import materialise
+from ..session import checkpointed, discard, materialise
 
 # Largest effect table that is broadcast; its size is known before it is used.
 BROADCAST_BYTES = 64 << 20
@@ -24,7 +24,9 @@ BROADCAST_BYTES = 64 << 20
 SALTED_LEVELS = 1024
 SALTS = 64
 
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
+# Effects are written out as tables in every third sweep, checkpointed in others.
+WRITE_EVERY = 3
 MAX_SWEEPS = 200
 
 
@@ -107,6 +109,7 @@ def absorb(
     found: list[Effects | None] = [None] * len(dims)
     for sweep in range(max_sweeps):
         moved = 0.0
+        written = sweep % WRITE_EVERY == WRITE_EVERY - 1
         for d, dim in enumerate(dims):
             keys = [*by, *[c for c in dim if c not in by]]
             others = [None if i == d else e for i, e in enumerate(found)]
@@ -115,19 +118,21 @@ def absorb(
             new = frame.groupBy(*keys).agg(F.expr("count(1) AS _records"), *map(F.expr, means))
             old = found[d]
             watch = ["count(1) AS levels"]
-            if old is not None and d > 0:
+            if old is not None and d > 0 and sweep > 1:
                 before = old.table.selectExpr(*_quoted(keys), *[f"`{c}` AS `_old_{c}`" for c in columns])
                 new = new.join(F.broadcast(before) if old.small else before, keys)
                 moves = [f"max(abs(`{c}` - `_old_{c}`))" for c in columns]
                 watch.append(f"{'greatest(' + ', '.join(moves) + ')' if len(moves) > 1 else moves[0]} AS moved")
             seen = Observation()
             new = new.observe(seen, *map(F.expr, watch)).select(*keys, "_records", *_quoted(columns))
-            new = materialise(new)
+            new = materialise(new) if written else checkpointed(new)
             result = seen.get
             hot = old.hot if old else None
             found[d] = Effects(keys, new, result["levels"], len(keys) + len(columns) + 1, hot)
+            if old is not None and sweep % WRITE_EVERY == 0:
+                discard(old.table)
             moved = max(moved, result.get("moved") or 0.0)
-        if len(dims) == 1 or (sweep > 0 and moved < tol):
+        if len(dims) == 1 or (sweep > 1 and moved < tol):
             break
     else:
         warnings.warn(f"effects still move by {moved:.1e} after {max_sweeps} sweeps", stacklevel=2)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import checkpointed
 from .groups import first_by
 
 # Each level splits a cell into FANOUT x FANOUT parts.
@@ -121,10 +121,10 @@ class _Pyramid:
             ix = F.floor((F.col("px") - x0) / side * n)
             iy = F.floor((F.col("py") - y0) / side * n)
             ids[f"cell_{level}"] = ix * F.lit(n) + iy
-        self.places = materialise(places.withColumns(ids))
+        self.places = checkpointed(places.withColumns(ids))
         self.cells: list[DataFrame] = []
         for level in range(MAX_LEVELS + 1):
-            cells = materialise(
+            cells = checkpointed(
                 self.places.groupBy(*extra, F.col(f"cell_{level}").alias("cell")).agg(
                     F.min(f"cell_{max(level - 1, 0)}").alias("parent"),
                     F.min("px").alias("bx0"),
@@ -213,7 +213,7 @@ def nearest_store(
         F.col(y).cast("double").alias("qy"),
         label.alias("own"),
     ).where(F.col("qx").isNotNull() & F.col("qy").isNotNull() & F.col("own").isNotNull())
-    located = materialise(located)
+    located = checkpointed(located)
     places = (
         located.groupBy(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("own").alias("label"))
         .agg(F.count(F.lit(1)).alias("weight"))
@@ -238,7 +238,7 @@ def nearest_store(
         kept = stepped.join(bound, who).withColumn("ub", F.least("ub", "new_ub"))
         kept = kept.where(F.col("lo") <= F.col("ub")).select(*who, "cell", "places", "ub")
         if level < pyramid.depth:
-            kept = materialise(kept)
+            kept = checkpointed(kept)
         leaf = pyramid.is_leaf(level)
         pairs = pyramid.open(kept.where(leaf).select(*who, "cell"), level)
         squared = pairs.where(F.col("label") != F.col("own")).select(
@@ -273,7 +273,7 @@ def _count_within(queries: DataFrame, places: DataFrame, extra: list[str]) -> Da
         stepped = pyramid.step(frontier, level).where(~outside)
         stepped = stepped.select(*who, "cell", "places", "weight", inside.alias("inside"))
         if level < pyramid.depth:
-            stepped = materialise(stepped)
+            stepped = checkpointed(stepped)
         sums.append(stepped.where("inside").select(*who, "weight"))
         cut = stepped.where(~F.col("inside"))
         leaf = pyramid.is_leaf(level)
@@ -302,7 +302,7 @@ def competitors_within(
         F.col(y).cast("double").alias("qy"),
         F.col(chain).alias("_chain"),
     ).where(F.col("qx").isNotNull() & F.col("qy").isNotNull() & F.col("_chain").isNotNull())
-    located = materialise(located)
+    located = checkpointed(located)
     radii = F.explode(F.array(*[F.lit(float(k) * 1000) for k in radii_km])).alias("r")
     queries = located.select("qx", "qy", "_chain", radii)
     place = [F.col("qx").alias("px"), F.col("qy").alias("py")]

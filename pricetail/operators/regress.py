@@ -92,6 +92,15 @@ class Fit:
         )
         return self.spark.createDataFrame(rows, schema)
 
+    def without_intercept(self) -> Fit:
+        """The same fit with the intercept left out of its terms."""
+        groups = []
+        for g in self.groups:
+            keep = [i for i, term in enumerate(g.terms) if term != INTERCEPT]
+            cov = g.covariance[np.ix_(keep, keep)]
+            groups.append(GroupFit(g.key, [g.terms[i] for i in keep], g.beta[keep], cov, g.n_obs, g.dropped))
+        return Fit(self.spark, self.panel, self.y, [t for t in self.terms if t != INTERCEPT], groups, self.factors)
+
     def coefficients(self, key: tuple = ()) -> dict[str, float]:
         for g in self.groups:
             if g.key == key:

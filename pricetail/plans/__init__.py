@@ -13,6 +13,7 @@ def load_all() -> ModuleType:
         product_queries,
         registry,
         share_queries,
+        study_queries,
     )
 
     return registry

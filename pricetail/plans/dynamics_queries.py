@@ -52,10 +52,8 @@ _register_leave_out("price_iv_leave_out_store", "store_id")
 _register_leave_out("price_iv_leave_out_municipality", "municipality")
 
 
-def _register_market_min(name, scope, order):
-    @query(
-        name,
-        f"""WITH {CELLS_B_SQL}, counted AS (
+def _market_min_sql(order):
+    return f"""WITH {CELLS_B_SQL}, counted AS (
   SELECT kjedeid, sku_gtin, week, ppu, count(*) AS n, sum(quantity) AS q, sum(trans) AS t, sum(sales) AS s
   FROM flagged GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY kjedeid, sku_gtin, week ORDER BY n DESC, ppu) AS rn,
@@ -70,14 +68,23 @@ SELECT kjedeid, sku_gtin, week, ppu, quantity, trans, {sql_r6("sales")} AS sales
   coalesce(ppu < lagp, false) AS price_lower_lag, coalesce(ppu > lagp, false) AS price_higher_lag,
   coalesce(CAST(trunc(lagp) AS BIGINT) % 10 = 9 AND lagp < 90, false) AS min_price_lag_ldp,
   coalesce(lagp % 10 = 0, false) AS min_price_lag_int,
-  coalesce(CAST(trunc(ppu) AS BIGINT) % 10 = 9 AND ppu < 90, false) AS ppu_ldp FROM lagged""",
-    )
+  coalesce(CAST(trunc(ppu) AS BIGINT) % 10 = 9 AND ppu < 90, false) AS ppu_ldp FROM lagged"""
+
+
+MARKET_MIN_SQL = {
+    "sku_chain": _market_min_sql("PARTITION BY sku_gtin, kjedeid ORDER BY week"),
+    "sku": _market_min_sql("PARTITION BY sku_gtin ORDER BY kjedeid, week"),
+}
+
+
+def _register_market_min(name, scope):
+    @query(name, MARKET_MIN_SQL[scope])
     def market_min(spark, sf_dir):
         return rounded(market_min_response(cells_b(spark, sf_dir), scope), ["sales"])
 
 
-_register_market_min("market_min_lag_chain", "sku_chain", "PARTITION BY sku_gtin, kjedeid ORDER BY week")
-_register_market_min("market_min_lag_sku", "sku", "PARTITION BY sku_gtin ORDER BY kjedeid, week")
+_register_market_min("market_min_lag_chain", "sku_chain")
+_register_market_min("market_min_lag_sku", "sku")
 
 DYNAMIC_COLUMNS = ["sku_gtin", "store_id", "trans", "price", "quantity", "ppu"]
 _MODE_PARTS = ", ".join(

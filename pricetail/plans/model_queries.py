@@ -22,9 +22,10 @@ from ..operators.regress import (
     with_interactions,
 )
 from ..operators.shares import ending_share
-from . import views
+from ..session import materialise
+from . import dynamics_queries, views
 from .oracle import absorb_ctes, ols_sql
-from .registry import ORACLES, query, r6, rounded, sql_r6
+from .registry import query, r6, rounded, sql_r6
 from .share_queries import CELLS_B_SQL, LINES_A_SQL, cells_b, lines_a
 from .views import PRICE_CELLS_SQL, SCAN_LINES_SQL, STORE_GEO_SQL
 
@@ -259,7 +260,7 @@ def _register_response(name, interact):
     products = {f"{b}__{m}": (b, m) for m in interact for b in base}
     x = [*base, *interact, *products]
     flags = [*base, "min_price_lag_int", "min_price_lag_ldp", "ppu_ldp"]
-    source = ORACLES["market_min_lag_sku"].replace("WITH ", "", 1)
+    source = dynamics_queries.MARKET_MIN_SQL["sku"].replace("WITH ", "", 1)
     head, body = source[: source.rindex("SELECT kjedeid, sku_gtin, week, ppu")], source[source.rindex("SELECT kjedeid, sku_gtin, week, ppu") :]
     numbers = ", ".join(f"CAST({f} AS INTEGER)::DOUBLE AS {f}" for f in flags)
     multiplied = "".join(f", {a} * {b} AS {n}" for n, (a, b) in products.items())
@@ -331,7 +332,8 @@ SECOND = {
 
 def with_price_hat(spark, sf_dir):
     """Rows with the first stage's fitted price, fixed effects included."""
-    rows = iv_cells(spark, sf_dir)
+    needed = ["log_quantity", "log_price", *FIRST, "store_id", "kjedeid", "sku_gtin", "week"]
+    rows = materialise(iv_cells(spark, sf_dir).select(*needed))
     first = fe_ols(rows, "log_price", FIRST, (), IV_FE)
     rows = with_fitted(rows, first, fitted="log_price_hat")
     pairs = {

@@ -36,7 +36,7 @@ def _eliminate(size: int, width: int, start: str, keys: str, prefix: str) -> tup
                     cells.append(f"a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}")
                 else:
                     cells.append(f"a_{i}_{j} - a_{i}_{p} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}")
-        parts.append(f"{name} AS (SELECT {keys}{', '.join(cells)} FROM {current})")
+        parts.append(f"{name} AS MATERIALIZED (SELECT {keys}{', '.join(cells)} FROM {current})")
         current = name
     return parts, current
 
@@ -119,6 +119,7 @@ def ols_sql(
         meat_from = f"{last} AS s " + " ".join(joins)
     s_by = "".join(f"s.{c} AS {c}, " for c in by)
     names = terms or {}
+    # A regressor without variation of its own has no estimate.
     rows = [
         f"SELECT {s_by}'{names.get(x[i], x[i])}' AS term, {sql_r6(beta[i])} AS estimate, "
         f"{sql_r6(f'sqrt({variance[i]})')} AS std_error, s.n_obs AS n_obs FROM {meat_from}"

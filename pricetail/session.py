@@ -65,6 +65,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, safely against executor loss."""
+    """Compute once, write to the shared folder and go on from the written table.
+
+    This cuts the lineage and survives the loss of executors.  Unlike a
+    checkpointed plan, a written table brings its true size along: the size
+    Spark carries over from a plan multiplies with every join, and in a loop
+    that soon swamps planning.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once into the checkpoint folder: cheaper than a written table.
+
+    For single steps.  The estimated size of the result still multiplies along
+    a chain of steps, so a loop needs :func:`materialise` every few rounds.
+    """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark).rstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/step-" in folder and folder.split(":", 1)[-1].startswith(root.split(":", 1)[-1]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
