@@ -52,10 +52,10 @@ _register_leave_out("price_iv_leave_out_store", "store_id")
 _register_leave_out("price_iv_leave_out_municipality", "municipality")
 
 
-def _market_min_sql(order):
-    return f"""WITH {CELLS_B_SQL}, counted AS (
+def _market_min_sql(order, product="sku_gtin"):
+    return f"""WITH {CELLS_B_SQL}, products AS (SELECT * REPLACE ({product} AS sku_gtin) FROM flagged), counted AS (
   SELECT kjedeid, sku_gtin, week, ppu, count(*) AS n, sum(quantity) AS q, sum(trans) AS t, sum(sales) AS s
-  FROM flagged GROUP BY ALL),
+  FROM products GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY kjedeid, sku_gtin, week ORDER BY n DESC, ppu) AS rn,
     sum(q) OVER (PARTITION BY kjedeid, sku_gtin, week) AS quantity,
     CAST(sum(t) OVER (PARTITION BY kjedeid, sku_gtin, week) AS BIGINT) AS trans,
@@ -74,6 +74,8 @@ SELECT kjedeid, sku_gtin, week, ppu, quantity, trans, {sql_r6("sales")} AS sales
 MARKET_MIN_SQL = {
     "sku_chain": _market_min_sql("PARTITION BY sku_gtin, kjedeid ORDER BY week"),
     "sku": _market_min_sql("PARTITION BY sku_gtin ORDER BY kjedeid, week"),
+    # Stores in the role of products, each sold by one chain.
+    "store": _market_min_sql("PARTITION BY sku_gtin ORDER BY kjedeid, week", "CAST(store_id AS BIGINT)"),
 }
 
 

@@ -43,10 +43,9 @@ STORE_WEEK_SQL = f"""{LINES_A_SQL}, store_week AS (
   FROM flagged GROUP BY ALL)"""
 
 # Five nations per role chain, so that the factor has a handful of levels.
-ROLES = {f"NATION_{i}": f"chain_{i % 5}" for i in range(25)}
 FORMAT_OF = {"chain_0": "convenience", "chain_1": "discount", "chain_2": "discount", "chain_3": "hypermarket", "chain_4": "supermarket"}
 
-_ROLE_SQL = "'chain_' || CAST(CAST(replace(kjedeid, 'NATION_', '') AS INTEGER) % 5 AS VARCHAR)"
+_ROLE_SQL = "'chain_' || CAST(CAST(replace(kjedeid, 'NATION_', '') AS INTEGER) // 5 AS VARCHAR)"
 _FORMAT_SQL = "CASE role WHEN 'chain_0' THEN 'convenience' WHEN 'chain_3' THEN 'hypermarket' WHEN 'chain_4' THEN 'supermarket' ELSE 'discount' END"
 
 STORE_WEEK_ROLES_SQL = f"""{STORE_WEEK_SQL}, roles AS (SELECT *, {_ROLE_SQL} AS role FROM store_week),
@@ -54,7 +53,7 @@ shares AS (SELECT *, {_FORMAT_SQL} AS format, 1.0::DOUBLE AS one FROM roles)"""
 
 
 def with_roles(df):
-    number = F.regexp_extract("kjedeid", r"(\d+)", 1).cast("int") % 5
+    number = F.floor(F.regexp_extract("kjedeid", r"(\d+)", 1).cast("int") / 5)
     role = F.concat(F.lit("chain_"), number.cast("string"))
     table = F.create_map(*[F.lit(v) for kv in FORMAT_OF.items() for v in kv])
     return df.withColumn("role", role).withColumn("format", table[F.col("role")])
@@ -260,7 +259,7 @@ def _register_response(name, interact):
     products = {f"{b}__{m}": (b, m) for m in interact for b in base}
     x = [*base, *interact, *products]
     flags = [*base, "min_price_lag_int", "min_price_lag_ldp", "ppu_ldp"]
-    source = dynamics_queries.MARKET_MIN_SQL["sku"].replace("WITH ", "", 1)
+    source = dynamics_queries.MARKET_MIN_SQL["store" if interact else "sku"].replace("WITH ", "", 1)
     head, body = source[: source.rindex("SELECT kjedeid, sku_gtin, week, ppu")], source[source.rindex("SELECT kjedeid, sku_gtin, week, ppu") :]
     numbers = ", ".join(f"CAST({f} AS INTEGER)::DOUBLE AS {f}" for f in flags)
     multiplied = "".join(f", {a} * {b} AS {n}" for n, (a, b) in products.items())
@@ -269,7 +268,12 @@ numeric AS (SELECT sku_gtin, week, {numbers} FROM response), designed AS (SELECT
 
     @query(name, ols_sql(ctes, "designed", "ppu_ldp", x, [["sku_gtin"], ["week"]]))
     def model(spark, sf_dir):
-        table = market_min_response(cells_b(spark, sf_dir), "sku")
+        cells = cells_b(spark, sf_dir)
+        if interact:
+            # With many chains the market minimum never ends in nine here; a
+            # product sold by one chain has minima of every kind.
+            cells = cells.withColumn("sku_gtin", F.col("store_id").cast("long"))
+        table = market_min_response(cells, "sku")
         table = with_interactions(table, products) if products else table
         return tidy(fe_ols(table, "ppu_ldp", x, (), ["sku_gtin", "week"]))
 
