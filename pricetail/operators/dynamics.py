@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.endings import ends_unit_nine, with_endings
 from ..functions.scalars import is_multiple_of
-from .groups import group_mode, group_modes, join_group_table, with_group_stats
+from ..session import materialise
+from .groups import group_mode, group_modes, join_group_table, join_sized_table, with_group_stats
 
 
 def group_mean_instrument(
@@ -25,13 +26,18 @@ def group_mean_instrument(
     """
     if leave_out is None:
         return with_group_stats(df, by, {name: F.avg(price)})
-    whole = {"_sum": F.sum(price), "_cnt": F.count(price)}
-    own = {"_own_sum": F.sum(price), "_own_cnt": F.count(price)}
-    stacked = with_group_stats(df, by, whole)
-    stacked = with_group_stats(stacked, by + [leave_out], own)
+    # Everything is settled on one row per group and unit; rows join once.
+    unit = [*by, leave_out]
+    own = df.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.sum(price), F.lit(0.0)).alias("_own_sum"),
+        F.count(price).alias("_own_cnt"),
+    )
+    whole = own.groupBy(*by).agg(F.sum("_own_sum").alias("_sum"), F.sum("_own_cnt").alias("_cnt"))
     others = F.col("_cnt") - F.col("_own_cnt")
     mean = F.when(others > 0, (F.col("_sum") - F.col("_own_sum")) / others)
-    return stacked.withColumn(name, mean).drop("_sum", "_cnt", "_own_sum", "_own_cnt")
+    table = own.join(whole, by).select(*unit, "_rows", mean.alias(name))
+    return join_sized_table(df, table, unit)
 
 
 def demean(df: DataFrame, columns: list[str], by: list[str], suffix: str = "_demeaned") -> DataFrame:
@@ -43,11 +49,15 @@ def demean(df: DataFrame, columns: list[str], by: list[str], suffix: str = "_dem
 
 
 def demean_in_turn(df: DataFrame, columns: list[str], groupings: list[list[str]], suffix: str = "_demeaned") -> DataFrame:
-    """Demean by the first grouping, the result by the next, and so on, once each."""
+    """Demean by the first grouping, the result by the next, and so on, once each.
+
+    Every round reads its input three times, so the rounds are written out in
+    between rather than nested.
+    """
     current = df.withColumns({f"{c}{suffix}": F.col(c).cast("double") for c in columns})
     names = [f"{c}{suffix}" for c in columns]
-    for by in groupings:
-        current = demean(current, names, by, suffix="__next")
+    for i, by in enumerate(groupings):
+        current = demean(materialise(current) if i else current, names, by, suffix="__next")
         current = current.drop(*names).withColumnsRenamed({f"{n}__next": n for n in names})
     return current
 

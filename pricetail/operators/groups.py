@@ -21,7 +21,12 @@ def join_group_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFram
     rest is joined on the key.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    return _split_join(df, table.join(sizes, by), by, [c for c in table.columns if c not in by])
+    return join_sized_table(df, table.join(sizes, by), by)
+
+
+def join_sized_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """The same for a table that already has the group sizes in ``_rows``."""
+    return _split_join(df, table, by, [c for c in table.columns if c not in (*by, "_rows")])
 
 
 def with_group_stats(df: DataFrame, by: list[str], stats: dict[str, Column]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import format_estimate
 from .absorb import MAX_SWEEPS, TOLERANCE, Panel, build_panel
-from .groups import _split_join
+from .groups import join_sized_table
 
 INTERCEPT = "(Intercept)"
 # Up to this many columns the products are plain SQL sums.
@@ -472,7 +472,7 @@ def with_fitted(df: DataFrame, fit: Fit, fitted: str | None = None, residual: st
         if effects.small:
             df = df.join(F.broadcast(table.drop("_rows")), effects.keys, "left")
         else:
-            df = _split_join(df, table, effects.keys, [name])
+            df = join_sized_table(df, table, effects.keys)
         names.append(name)
         total = total + F.col(name)
     out = {}
