@@ -13,6 +13,7 @@ from ..functions.dates import month_of, week_of_year_sunday
 from ..functions.endings import cent_fraction, unit_digit
 from ..functions.labels import CHAINS
 from ..functions.scalars import digit_count_in, is_finite, unit_price
+from .groups import small_side
 
 # The study window (open at both ends), the sales cap and the
 # description terms that mark bottle deposits and carrier bags.
@@ -50,14 +51,25 @@ def without_terms(column: str, terms: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [~F.col(column).rlike(f"(?i){t}") for t in terms])
 
 
+def store_lookup(stores: DataFrame) -> DataFrame:
+    """Distinct stores with chain, owner and any distances, for joining to lines.
+
+    Broadcast when few, so that lines are not shuffled by store: a busy store
+    would otherwise fill one task.
+    """
+    extra = [c for c in stores.columns if c.startswith("min_distance")]
+    key = F.col("id").cast("string").alias("store_id")
+    return small_side(stores.select(key, *STORE_COLUMNS, *extra).distinct())
+
+
 def clean_feed(
     feed: Feed,
-    stores: DataFrame,
+    places: DataFrame,
     window: tuple[dt.date, dt.date] = WINDOW,
     max_sales: float = MAX_SALES,
     exclude_terms: list[str] | None = None,
 ) -> DataFrame:
-    """Filter one feed and attach chain and owner from the store table."""
+    """Filter one feed and attach chain and owner from :func:`store_lookup`."""
     terms = EXCLUDED_TERMS if exclude_terms is None else exclude_terms
     keep = (
         (F.col("sales") > 0)
@@ -75,10 +87,6 @@ def clean_feed(
         F.col("sales").cast("double").alias("sales"),
         F.col("quantity").cast("double").alias("quantity"),
     )
-    extra = [c for c in stores.columns if c.startswith("min_distance")]
-    places = stores.select(
-        F.col("id").cast("string").alias("store_id"), *STORE_COLUMNS, *extra
-    ).distinct()
     if feed.fixed_chain is not None:
         joined = lines.join(places, "store_id", "left")
         return joined.withColumn("kjedeid", F.lit(feed.fixed_chain))
@@ -90,7 +98,8 @@ def clean_feed(
 
 def clean_lines(feeds: list[Feed], stores: DataFrame, **options) -> DataFrame:
     """UNION ALL of the cleaned feeds with week, month and unit price."""
-    parts = [clean_feed(feed, stores, **options) for feed in feeds]
+    places = store_lookup(stores)
+    parts = [clean_feed(feed, places, **options) for feed in feeds]
     lines = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return lines.withColumns(
         {

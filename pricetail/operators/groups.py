@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 HOT_GROUPS = 10_000
 
 
+# Dimension tables with at most this many rows are broadcast (tens of megabytes
+# for a handful of short columns).
+BROADCAST_ROWS = 500_000
+
+
+def small_side(dimension: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hint a broadcast for a dimension table after counting it.
+
+    The count stops at the limit.  A larger table is returned as it is; Spark
+    then shuffles both sides and splits skewed keys.
+    """
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    few = dimension.limit(limit + 1).count() <= limit
+    return F.broadcast(dimension) if few else dimension
+
+
 def join_group_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     """Left join of a table with one row per group onto all rows of the groups.
 
