@@ -42,3 +42,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_simhash_golay")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_golay import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
