@@ -49,3 +49,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_golay import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source IS NULL AS missing, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents),
+sources AS (
+  SELECT missing, source, sum(size)::BIGINT AS source_size,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY missing, source) - 1) % 3)::INT + 1]::DOUBLE AS weight
+  FROM sizes GROUP BY missing, source),
+filled AS (
+  SELECT *, source_size * 2.0::DOUBLE AS bound,
+         1.5::DOUBLE * sum(source_size) OVER () AS total,
+         source_size * 2.0::DOUBLE / weight AS fill FROM sources),
+leveled AS (
+  SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY fill, missing, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY fill, missing, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM filled),
+targets AS (
+  SELECT missing, source, source_size,
+         coalesce(least(bound, weight * (SELECT first(level ORDER BY fill, missing, source) FROM leveled WHERE level <= fill)), bound) AS target
+  FROM leveled),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
+         coalesce(sum(s.size) OVER (PARTITION BY s.missing, s.source ORDER BY s.key, s.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sizes s JOIN targets t USING (missing, source))
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE
+         size * (want // source_size) + greatest(0, least(size, want % source_size - start)) END::BIGINT AS taken
+FROM placed
+"""
+
+
+@query("op5_mix_sources", MIX_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("tie")
