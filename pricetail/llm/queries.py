@@ -89,3 +89,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).drop("tie")
+
+
+@query("op10_quality_gbt")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gbt import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
