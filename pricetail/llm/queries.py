@@ -104,3 +104,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
+@query("op4_order_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edit_report
+
+    return edit_report(table(spark, sf_dir, "documents"))
