@@ -111,3 +111,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import edit_report
 
     return edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
