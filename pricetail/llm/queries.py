@@ -118,3 +118,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pii_crf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_crf import KINDS, fit, personal_data
+
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data(docs, fit(docs))
+    return found.select(
+        "doc_id",
+        *[F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
