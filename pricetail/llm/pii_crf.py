@@ -125,7 +125,9 @@ def possible(parts: list[str]) -> list[str]:
             # A written-out at needs brackets or a written-out dot; no sentence ends inside.
             sign = parts[k] == "@" or _written(parts[k - 1], "".join(tail))
             ended = any(p == "." and q.isspace() for p, q in zip(parts, parts[1:]))
-            if sign and not ended and any(p == "." or p.lower() == "dot" for p in tail):
+            dots = [j for j, p in enumerate(tail) if p == "." or p.lower() == "dot"]
+            # One word follows the last dot.
+            if sign and not ended and dots and sum(p[0].isalnum() for p in tail[dots[-1] + 1 :]) == 1:
                 kinds.append("email")
     return kinds
 
