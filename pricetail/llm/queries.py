@@ -132,3 +132,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans",
     )
+
+
+def _license_sql() -> str:
+    from .license_scan import NOTICES
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in NOTICES.items())
+    return rf"""
+WITH templates(template, text) AS (VALUES {values}),
+shingled AS (
+  SELECT template, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS shingle
+  FROM (SELECT template, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM templates)),
+wanted AS (SELECT DISTINCT template, shingle FROM shingled),
+sizes AS (SELECT template, count(*) AS template_shingles FROM wanted GROUP BY template),
+found AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS shingle
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+shared AS (
+  SELECT doc_id, template, count(DISTINCT shingle) AS shared FROM found JOIN wanted USING (shingle) GROUP BY doc_id, template)
+SELECT doc_id, template, shared, template_shingles, shared::DOUBLE / template_shingles AS containment
+FROM shared JOIN sizes USING (template) WHERE shared::DOUBLE / template_shingles >= 0.8
+"""
+
+
+@query("op7_license_scan", _license_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import notice_templates, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, notice_templates(docs))
