@@ -164,3 +164,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scan(docs, notice_templates(docs))
+
+
+@query("op3_token_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_shards import read_ranks, training_order
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return training_order(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
