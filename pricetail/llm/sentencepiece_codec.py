@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 # Words and pairs remembered by a worker; beyond it a memo starts anew.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 MARKS = ",.;:!?$%&*#|"
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -83,6 +83,7 @@ class PieceCodec:
         self.odd[list(self.byte_of)] = True
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -114,31 +115,30 @@ class PieceCodec:
             self.pairs[left << 20 | right] = known
         return known
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest piece that starts here, -1 if the character has none."""
-        ahead = text[at : at + self.reach]
-        return self.best.get(ahead[: self.automaton.longest_prefix(ahead)], -1)
-
     def part(self, text: str) -> list[int]:
         """Ids of one part: spaces and what follows up to the next space."""
-        length, shorter, known, longest = self.length, self.shorter, self.pairs.get, self.longest
+        length, shorter, known = self.length, self.shorter, self.pairs.get
+        reach, prefix, best = self.reach, self.automaton.longest_prefix, self.best.get
         end = len(text)
         failed = bytearray(end + 1)
         out: list[int] = []
-        at, piece, last = 0, longest(text, 0), -1
+        at, piece, last = 0, None, -1
         while at < end:
+            if piece is None:
+                # The longest piece that starts here, -1 if the character has none.
+                ahead = text[at : at + reach]
+                piece = best(ahead[: prefix(ahead)], -1)
             if piece < 0:
                 # Outside the vocabulary: no merge crosses it, so nothing before it has to change.
                 out += [self.byte_id[b] for b in text[at].encode()] if self.byte_id else [self.unk]
-                at, last = at + 1, -1
-                piece = longest(text, at)
+                at, last, piece = at + 1, -1, None
                 continue
             stop = at + length[piece]
             if not failed[stop]:
                 fits = last < 0 or known(last << 20 | piece)
                 if fits or (fits is None and self.compatible(last, piece)):
                     out.append(piece)
-                    at, last, piece = stop, piece, longest(text, stop)
+                    at, last, piece = stop, piece, None
                     continue
             piece = shorter[piece]
             while piece < 0:
@@ -155,6 +155,10 @@ class PieceCodec:
         Pairwise compatible pieces are the result of merging, so a stem and the
         marks after it may be encoded apart if the pieces at the seam fit.
         """
+        found = self.old.get(part)
+        if found is not None:
+            self.words[part] = found
+            return found
         stem = part.rstrip(MARKS)
         if 0 < len(stem) < len(part):
             head = self.words.get(stem) or self._word(stem)
@@ -169,7 +173,8 @@ class PieceCodec:
             found = _packed(self.part(part))
         if len(part) <= 64:
             if len(self.words) >= MEMO_ENTRIES:
-                self.words.clear()
+                # What is used again moves on to the new memo.
+                self.old, self.words = self.words, {}
             self.words[part] = found
         return found
 
@@ -214,8 +219,11 @@ class PieceCodec:
 _UNSIGNED = struct.Struct("<I").unpack_from
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
 
 def _utf8(run: bytearray) -> str:
