@@ -8,7 +8,6 @@ updates one small table of effects per dimension.
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -24,10 +23,15 @@ BROADCAST_BYTES = 64 << 20
 SALTED_LEVELS = 1024
 SALTS = 64
 
-TOLERANCE = 1e-8
+# Largest last movement of an effect, in standard deviations of its variable.
+TOLERANCE = 1e-9
 # Effects are written out as tables in every third sweep, checkpointed in others.
 WRITE_EVERY = 3
-MAX_SWEEPS = 200
+MAX_SWEEPS = 1000
+
+
+class NotConverged(RuntimeError):
+    """The effects still move after the last sweep allowed."""
 
 
 @dataclass
@@ -102,11 +106,19 @@ def absorb(
     """Level effects of every column, by sweeping the dimensions in their order.
 
     Each step sets a dimension's effects to the weighted mean of what the other
-    dimensions leave over.  The sweeps start from zero and stop when no effect
-    of the second and later dimensions moves by more than ``tol``; the first
-    dimension then moves by no more than the sum of these.
+    dimensions leave over; every few sweeps the effects are extrapolated.  The
+    sweeps start from zero and stop when no effect
+    of the second and later dimensions moves by more than ``tol`` standard
+    deviations of its variable; the first dimension then moves by no more than
+    the sum of these.  Effects that still move after ``max_sweeps`` raise
+    :class:`NotConverged`.
     """
+    unit = dict.fromkeys(columns, 1.0)
+    if len(dims) > 1:
+        spread = records.agg(*[F.expr(f"stddev_pop(`{c}`) AS `{c}`") for c in columns]).first()
+        unit = {c: float(spread[c]) if spread[c] else 1.0 for c in columns}
     found: list[Effects | None] = [None] * len(dims)
+    history: list[list[DataFrame]] = [[] for _ in dims]
     for sweep in range(max_sweeps):
         moved = 0.0
         written = sweep % WRITE_EVERY == WRITE_EVERY - 1
@@ -121,7 +133,7 @@ def absorb(
             if old is not None and d > 0 and sweep > 1:
                 before = old.table.selectExpr(*_quoted(keys), *[f"`{c}` AS `_old_{c}`" for c in columns])
                 new = new.join(F.broadcast(before) if old.small else before, keys)
-                moves = [f"max(abs(`{c}` - `_old_{c}`))" for c in columns]
+                moves = [f"max(abs(`{c}` - `_old_{c}`)) / {unit[c]!r}D" for c in columns]
                 watch.append(f"{'greatest(' + ', '.join(moves) + ')' if len(moves) > 1 else moves[0]} AS moved")
             seen = Observation()
             new = new.observe(seen, *map(F.expr, watch)).select(*keys, "_records", *_quoted(columns))
@@ -129,16 +141,49 @@ def absorb(
             result = seen.get
             hot = old.hot if old else None
             found[d] = Effects(keys, new, result["levels"], len(keys) + len(columns) + 1, hot)
+            history[d] = [*history[d][-2:], new]
             if old is not None and sweep % WRITE_EVERY == 0:
                 discard(old.table)
             moved = max(moved, result.get("moved") or 0.0)
         if len(dims) == 1 or (sweep > 1 and moved < tol):
             break
+        if written and sweep > WRITE_EVERY:
+            _extrapolate(found, history, columns)
     else:
-        warnings.warn(f"effects still move by {moved:.1e} after {max_sweeps} sweeps", stacklevel=2)
+        raise NotConverged(f"effects still move by {moved:.1e} standard deviations after {max_sweeps} sweeps")
     return found
 
 
+def _extrapolate(found: list[Effects], history: list[list[DataFrame]], columns: list[str]) -> None:
+    """Irons-Tuck step: carry the effects on along their last move.
+
+    The step's length comes from how the moves of the last three sweeps shrink,
+    over all dimensions but the first, which the next sweep sets anew.  The new
+    effects are a weighted mean of the last ones with weights that add up to
+    one, so constants shared by dimensions stay where sweeping puts them.
+    """
+    moves, num, den = [], dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 0.0)
+    for one, (t0, t1, t2) in zip(found[1:], history[1:]):
+        for k, table in enumerate((t0, t1)):
+            before = table.selectExpr(*_quoted(one.keys), *[f"`{c}` AS `_{k}_{c}`" for c in columns])
+            t2 = t2.join(F.broadcast(before) if one.small else before, one.keys)
+        moves.append(t2)
+        last = {c: f"(`{c}` - `_1_{c}`)" for c in columns}
+        turn = {c: f"(`{c}` - 2 * `_1_{c}` + `_0_{c}`)" for c in columns}
+        row = t2.agg(
+            *[F.expr(f"sum({last[c]} * {turn[c]}) AS `n_{c}`") for c in columns],
+            *[F.expr(f"sum({turn[c]} * {turn[c]}) AS `d_{c}`") for c in columns],
+        ).first()
+        for c in columns:
+            num[c], den[c] = num[c] + (row[f"n_{c}"] or 0.0), den[c] + (row[f"d_{c}"] or 0.0)
+    step = {c: num[c] / den[c] if den[c] > 0 else 0.0 for c in columns}
+    for one, table in zip(found[1:], moves):
+        carried = [f"`{c}` - {step[c]!r}D * (`{c}` - `_1_{c}`) AS `{c}`" for c in columns]
+        new = materialise(table.selectExpr(*_quoted(one.keys), "_records", *carried))
+        discard(one.table)
+        one.table = new
+
+
 def _quoted(columns: list[str]) -> list[str]:
     return [f"`{c}`" for c in columns]
 
@@ -154,6 +199,9 @@ class Panel:
     varying: list[str]
     keys: list[str]
     effects: list[Effects]
+    # Without absorbed dimensions: one row per group with the means taken off, and the variables' names.
+    means: DataFrame | None = None
+    centred: list[str] = field(default_factory=list)
 
     def product(self, a: str, b: str) -> str:
         """SQL text of the summed product of two variables over a record's rows."""
@@ -176,13 +224,10 @@ def collapse(df: DataFrame, keys: list[str], varying: list[str]) -> DataFrame:
     for c in varying:
         kept = kept.where(is_finite(F.col(c)))
     pairs = [(a, b) for i, a in enumerate(varying) for b in varying[i:]]
-    sums = [f"sum(`{a}` * `{b}`) AS `_p_{a}__{b}`" for a, b in pairs]
+    # Centred while they are summed: large values would lose all digits in a difference of sums.
+    centred = [f"if(count(1) > 1, covar_pop(`{a}`, `{b}`) * count(1), 0.0D) AS `_w_{a}__{b}`" for a, b in pairs]
     means = [f"avg(`{c}`) AS `{c}`" for c in varying]
-    grouped = kept.groupBy(*keys).agg(F.expr("count(1) AS n"), *map(F.expr, means + sums))
-    centred = [
-        f"if(n > 1, `_p_{a}__{b}` - n * `{a}` * `{b}`, 0.0D) AS `_w_{a}__{b}`" for a, b in pairs
-    ]
-    return grouped.selectExpr(*_quoted(keys), "n", *_quoted(varying), *centred)
+    return kept.groupBy(*keys).agg(F.expr("count(1) AS n"), *map(F.expr, means + centred))
 
 
 def build_panel(
@@ -195,11 +240,13 @@ def build_panel(
     clusters: list[str],
     tol: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
+    constant: tuple[str, ...] = (),
 ) -> Panel:
     """Collapse rows, absorb the dimensions and keep the demeaned records.
 
     ``derived`` are variables that are constant within a record, given as
     expressions of the ``derived_from`` key columns (dummies, the intercept).
+    Without dimensions to absorb all but the ``constant`` ones lose their mean.
     """
     keys: list[str] = []
     for c in [*by, *[c for dim in absorb_dims for c in dim], *clusters, *derived_from]:
@@ -215,4 +262,17 @@ def build_panel(
         kept = [c for c in records.columns if c not in columns]
         demeaned = [f"{left[c]} AS `{c}`" for c in columns]
         records = materialise(frame.selectExpr(*_quoted(kept), *demeaned))
-    return Panel(records, by, absorb_dims, columns, varying, keys, effects)
+        return Panel(records, by, absorb_dims, columns, varying, keys, effects)
+    # The intercept is an effect with one level: its mean is taken off, so that far-off variables keep their digits.
+    centred = [c for c in columns if c not in constant]
+    weighted = [f"sum(n * `{c}`) / sum(n) AS `_m_{c}`" for c in centred]
+    means = records.groupBy(*by).agg(F.expr("sum(n) AS _m_rows"), *map(F.expr, weighted))
+    means = materialise(means)
+    others = [c for c in records.columns if c not in centred]
+    if by:
+        records = records.join(means, by).selectExpr(*_quoted(others), *[f"`{c}` - `_m_{c}` AS `{c}`" for c in centred])
+    else:
+        mean = means.first()
+        records = records.selectExpr(*_quoted(others), *[f"`{c}` - {mean[f'_m_{c}'] or 0.0!r}D AS `{c}`" for c in centred])
+    records = materialise(records)
+    return Panel(records, by, absorb_dims, columns, varying, keys, effects, means, centred)

@@ -40,7 +40,8 @@ def bin_effects(fit: Fit) -> DataFrame:
     rows = []
     for i, term in enumerate(group.terms):
         value = float(term[len(factor.column) + 1 : -1])
-        error = math.sqrt(max(float(group.covariance[i, i]), 0.0))
+        variance = float(group.covariance[i, i])
+        error = math.sqrt(variance) if variance >= 0 else None
         rows.append((value, float(group.beta[i]), error))
     table = fit.spark.createDataFrame(rows, "bin double, estimate double, std_error double")
     last = F.pmod(F.col("bin"), F.lit(10.0))

@@ -294,7 +294,8 @@ def competitors_within(
     """Number of other-chain stores within each radius of every store.
 
     Counted as all stores in the circle minus those of the own chain.  A store
-    without chain or coordinates counts none and is counted by none.
+    without chain counts none, one without coordinates has NULL; neither is
+    counted by others.
     """
     located = stores.select(
         F.col(key).alias("_id"),
@@ -328,4 +329,6 @@ def competitors_within(
         F.col("_id").alias(key), *[c for c in wide.columns if c.startswith("competitors")]
     )
     names = [c for c in found.columns if c != key]
-    return stores.join(found, key, "left").na.fill(0, names)
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    counts = {c: F.when(placed, F.coalesce(c, F.lit(0))) for c in names}
+    return stores.join(found, key, "left").withColumns(counts)

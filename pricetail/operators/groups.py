@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Statistics of this many largest groups are broadcast.  The count bounds the
-# broadcast (a few hundred kilobytes), and every group left over holds less
-# than one part in HOT_GROUPS of the rows.
+# A group with more than one part in HOT_GROUPS of the rows is hot.  There are
+# fewer than HOT_GROUPS of them, which bounds the broadcast of their keys (a few
+# hundred kilobytes); their rows are spread over this many salts.
 HOT_GROUPS = 10_000
+SALTS = 64
 
 
 # Dimension tables with at most this many rows are broadcast (tens of megabytes
@@ -32,9 +33,8 @@ def small_side(dimension: DataFrame, max_rows: int | None = None) -> DataFrame:
 def join_group_table(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     """Left join of a table with one row per group onto all rows of the groups.
 
-    Rows of the largest groups take their values from a broadcast of bounded
-    size and are never shuffled, so no task receives a whole hot group; the
-    rest is joined on the key.
+    Rows of large groups are spread over salts, so no task receives a whole
+    hot group.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     return join_sized_table(df, table.join(sizes, by), by)
@@ -58,14 +58,23 @@ def with_group_stats(df: DataFrame, by: list[str], stats: dict[str, Column]) ->
 
 
 def _split_join(df: DataFrame, table: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    table = table.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]))
-    hot = table.orderBy(F.desc("_rows"), *by).limit(HOT_GROUPS)
-    marked = df.join(F.broadcast(hot), by, "left")
-    columns = df.columns + values
-    near = marked.where(F.col("_rows").isNotNull()).select(*columns)
-    rest = marked.where(F.col("_rows").isNull()).select(*df.columns)
-    far = rest.join(table.drop("_rows"), by, "left").select(*columns)
-    return near.unionByName(far)
+    """One left join in which hot groups, and rows with a missing key, are spread by a salt.
+
+    A group is hot if it has more than one row in HOT_GROUPS, so there are fewer
+    hot groups than that; their statistics are copied once for each salt.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in by])
+    table = table.where(~missing)
+    total = table.agg(F.sum("_rows")).scalar()
+    heavy = F.col("_rows") * HOT_GROUPS > total
+    hot = table.where(heavy).select(*by, F.lit(True).alias("_hot"))
+    spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salted = df.join(F.broadcast(hot), by, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | missing, spread).otherwise(0)
+    )
+    copies = F.when(heavy, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    copied = table.withColumn("_salt", F.explode(copies)).select(*by, "_salt", *values)
+    return salted.join(copied, [*by, "_salt"], "left").select(*df.columns, *values)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -77,7 +77,12 @@ class Fit:
         for g in self.groups:
             for i, term in enumerate(g.terms):
                 estimate = float(g.beta[i])
-                se = math.sqrt(max(float(g.covariance[i, i]), 0.0))
+                variance = float(g.covariance[i, i])
+                if not variance >= 0:
+                    # No error can be given: not 0, which would claim certainty.
+                    rows.append((*g.key, term, estimate, *[None] * 5, g.n_obs))
+                    continue
+                se = math.sqrt(variance)
                 t = estimate / se if se > 0 else None
                 p = math.erfc(abs(t) / math.sqrt(2)) if t is not None else None
                 rows.append((*g.key, term, estimate, se, t, p, estimate - 1.96 * se, estimate + 1.96 * se, g.n_obs))
@@ -165,11 +170,11 @@ def panel_gram(panel: Panel, columns: list[str]):
     if len(columns) <= SQL_COLUMNS:
         products = {ij: panel.product(a, b) for ij, (a, b) in pairs.items()}
         found = _gram(panel.table, panel.by, products, len(columns), "sum(n) AS n_obs")
-        return {k: (m, int(row["n_obs"])) for k, (m, row) in found.items()}
+        return {k: (m, int(row["n_obs"])) for k, (m, row) in found.items() if row["n_obs"]}
     inner = {ij: f"`_w_{a}__{b}`" for ij, (a, b) in pairs.items() if f"_w_{a}__{b}" in panel.table.columns}
     within = _gram(panel.table, panel.by, inner, len(columns), "sum(n) AS n_obs")
     between = _wide_gram(panel.table, panel.by, columns, "n")
-    return {k: (m + between[k], int(row["n_obs"])) for k, (m, row) in within.items()}
+    return {k: (m + between[k], int(row["n_obs"])) for k, (m, row) in within.items() if row["n_obs"]}
 
 
 def score_gram(scores: DataFrame, by: list[str], columns: list[str]):
@@ -233,6 +238,10 @@ def _factor_dummies(df: DataFrame, factors: list[Factor]) -> dict[str, Column]:
             levels = sorted(r[0] for r in distinct.limit(MAX_FACTOR_LEVELS + 1).collect())
         if len(levels) > MAX_FACTOR_LEVELS:
             raise ValueError(f"{factor.column} has too many levels for dummies; absorb it")
+        if not levels:
+            continue
+        if factor.reference is not None and factor.reference not in levels:
+            raise ValueError(f"{factor.reference!r} is none of the levels of {factor.column}")
         reference = levels[0] if factor.reference is None else factor.reference
         for level in levels:
             if level != reference:
@@ -271,7 +280,14 @@ def make_panel(
         list(cluster),
         tol,
         max_sweeps,
+        (INTERCEPT,),
     )
+    for factor in factors:
+        if factor.levels:
+            # The records hold every level once for each combination: far fewer than rows.
+            other = panel.table.where(~F.col(factor.column).isin(list(factor.levels))).select(factor.column).limit(1).collect()
+            if other:
+                raise ValueError(f"{other[0][0]!r} is none of the declared levels of {factor.column}")
     return panel, list(dummies)
 
 
@@ -330,11 +346,28 @@ def fit_panel(
         groups.append(GroupFit(key, terms, beta, inverse * sigma2, n_obs, dropped))
         projections[key] = ([columns[k] for k in z_kept], pi, inverse, free)
     fit = Fit(panel.table.sparkSession, panel, y, x, groups)
-    if vcov == "cluster":
+    if vcov == "cluster" and groups:
         _cluster_covariance(fit, list(cluster), z, projections, cluster_df)
+    if panel.means is not None:
+        _restore_intercept(fit)
     return fit
 
 
+def _restore_intercept(fit: Fit) -> None:
+    """From centred variables back to the given ones: only the intercept and its errors change."""
+    panel = fit.panel
+    means = {tuple(row[c] for c in panel.by): row for row in panel.means.collect()}
+    for g in fit.groups:
+        if INTERCEPT not in g.terms:
+            continue
+        row, k = means[g.key], g.terms.index(INTERCEPT)
+        turn = np.eye(len(g.terms))
+        turn[k, :] = [1.0 if t == INTERCEPT else -row[f"_m_{t}"] for t in g.terms]
+        g.beta = turn @ g.beta
+        g.beta[k] += row[f"_m_{fit.y}"]
+        g.covariance = turn @ g.covariance @ turn.T
+
+
 def _cluster_covariance(fit: Fit, cluster: list[str], z: list[str], projections: dict, cluster_df: str) -> None:
     """Replace each group's covariance by its sandwich over clusters."""
     panel, spark = fit.panel, fit.spark
@@ -377,9 +410,19 @@ def _cluster_covariance(fit: Fit, cluster: list[str], z: list[str], projections:
             factor = count / (count - 1) * (g.n_obs - 1) / free if count > 1 and free > 0 else float("nan")
             core = pi.T @ matrix[np.ix_(index, index)] @ pi
             total += (-1 if i == 2 else 1) * factor * (inverse @ core @ inverse)
+        if len(cluster) == 2:
+            total = _not_negative(total)
         g.covariance = total
 
 
+def _not_negative(matrix: np.ndarray) -> np.ndarray:
+    """The matrix with negative eigenvalues set to zero; a two-way covariance may have some."""
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    if not len(values) or values[0] >= 0 or not np.isfinite(values).all():
+        return matrix
+    return (vectors * np.maximum(values, 0.0)) @ vectors.T
+
+
 def fe_ols(
     df: DataFrame,
     y: str,
@@ -431,18 +474,26 @@ def iv_2sls(
 # --- what a fit says about rows and levels ------------------------------------
 
 
-def _group_literals(fit: Fit, term: str) -> Column:
-    """The coefficient of a term as a column that depends on the row's group."""
+def _with_coefficients(df: DataFrame, fit: Fit) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """The frame with each term's coefficient in the row's group, and the columns added for it.
+
+    Groups come as a table that is joined on their key; a term that a group
+    dropped counts zero.  Without groups the coefficients are literals.
+    """
     by = fit.panel.by
     if not by:
-        return F.lit(fit.coefficients().get(term, 0.0))
-    value = F.lit(None).cast("double")
+        values = fit.coefficients() if fit.groups else {}
+        none = None if not fit.groups else 0.0
+        return df, {t: F.lit(values.get(t, none)).cast("double") for t in fit.terms}, []
+    names = {t: f"_coefficient_{i}" for i, t in enumerate(fit.terms)}
+    rows = []
     for g in fit.groups:
-        test = F.lit(True)
-        for name, part in zip(by, g.key):
-            test = test & (F.col(name) == F.lit(part))
-        value = F.when(test, F.lit(fit.coefficients(g.key).get(term, 0.0))).otherwise(value)
-    return value
+        values = dict(zip(g.terms, (float(b) for b in g.beta)))
+        rows.append((*g.key, *[values.get(t, 0.0) for t in fit.terms]))
+    types = {f.name: f for f in fit.panel.table.schema.fields}
+    schema = T.StructType([types[c] for c in by] + [T.StructField(n, T.DoubleType()) for n in names.values()])
+    table = fit.spark.createDataFrame(rows, schema)
+    return df.join(table, by, "left"), {t: F.col(n) for t, n in names.items()}, list(names.values())
 
 
 def fixed_effects(fit: Fit, dim: int) -> DataFrame:
@@ -452,20 +503,21 @@ def fixed_effects(fit: Fit, dim: int) -> DataFrame:
     sweeping from zero in the listed order.
     """
     effects = fit.panel.effects[dim]
+    table, values, _ = _with_coefficients(effects.table, fit)
     total = F.col(fit.y)
     for term in fit.terms:
-        total = total - _group_literals(fit, term) * F.col(f"`{term}`")
-    return effects.table.select(*effects.keys, total.alias("effect"), F.col("_records").alias("_rows"))
+        total = total - values[term] * F.col(f"`{term}`")
+    return table.select(*effects.keys, total.alias("effect"), F.col("_records").alias("_rows"))
 
 
 def with_fitted(df: DataFrame, fit: Fit, fitted: str | None = None, residual: str | None = None) -> DataFrame:
     """Put the fitted value (fixed effects included) or the residual on rows."""
     dummies = _factor_dummies(df, [f for f in fit.factors])
     total = F.lit(0.0)
+    df, values, names = _with_coefficients(df, fit)
     for term in fit.terms:
         value = dummies.get(term, F.lit(1.0) if term == INTERCEPT else F.col(f"`{term}`").cast("double"))
-        total = total + _group_literals(fit, term) * value
-    names = []
+        total = total + values[term] * value
     for d, effects in enumerate(fit.panel.effects):
         name = f"_effect_{d}"
         table = fixed_effects(fit, d).withColumnRenamed("effect", name)

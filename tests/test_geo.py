@@ -10,7 +10,7 @@ def brute(stores, radii=(2, 5, 10)):
     out = {}
     for i, x, y, chain in stores:
         if x is None:
-            out[i] = (None, None, None, [0] * len(radii))
+            out[i] = (None, None, None, [None] * len(radii))
             continue
         others = [(math.sqrt((x - a) ** 2 + (y - b) ** 2), j, c, (a, b)) for j, a, b, c in stores if a is not None]
         nearest = min((d for d, j, _, _ in others if j != i), default=None)
