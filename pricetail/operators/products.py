@@ -91,9 +91,14 @@ def popularity(df: DataFrame, sku: str, chain: str, flags: list[str], sums: dict
 
 
 def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """A repeatable share of the rows that does not depend on file layout."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(SAMPLE_BUCKETS))
-    return df.where(bucket < int(round(fraction * SAMPLE_BUCKETS)))
+    """A repeatable share of the rows that does not depend on file layout.
+
+    The hash is taken from the keys' text, so that any engine can draw the same
+    sample; keys should be integers, dates or text, which print alike everywhere.
+    """
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]]
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return df.where(F.pmod(number, F.lit(SAMPLE_BUCKETS)) < int(round(fraction * SAMPLE_BUCKETS)))
 
 
 def attach(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:

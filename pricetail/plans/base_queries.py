@@ -27,6 +27,7 @@ from ..operators.clean import (
     within_window,
     without_terms,
 )
+from ..operators.geo import nearest_store
 from ..operators.groups import first_by, group_mode
 from ..schemas import CELLS, STORES_WITH_DISTANCE
 from ..session import scratch_path
@@ -436,20 +437,32 @@ def parquet_tree_scan(spark, sf_dir):
     return tree.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
+DISTANCES = {
+    "min_distance_all": None,
+    "min_distance_other_group": "paraplykjede",
+    "min_distance_other_chain": "kjedeid",
+}
+
+
 @query(
     "csv_sink_roundtrip",
-    f"""WITH {STORE_GEO_SQL}
-SELECT CAST(id AS VARCHAR) AS id, gln, kjedeid, paraplykjede, adresse, postnr, poststed, kommune_id, oms, x, y,
-       CAST(NULL AS DOUBLE) AS min_distance_all, CAST(NULL AS DOUBLE) AS min_distance_other_group,
-       CAST(NULL AS DOUBLE) AS min_distance_other_chain FROM store_geo""",
+    f"""WITH {STORE_GEO_SQL}, pairs AS (
+  SELECT a.id, a.id <> b.id AS other, a.paraplykjede <> b.paraplykjede AS other_group, a.kjedeid <> b.kjedeid AS other_chain,
+         sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
+  FROM store_geo AS a JOIN store_geo AS b ON true),
+near AS (
+  SELECT id, min(d) FILTER (other) AS d1, min(d) FILTER (other_group) AS d2, min(d) FILTER (other_chain) AS d3 FROM pairs GROUP BY id)
+SELECT CAST(s.id AS VARCHAR) AS id, gln, kjedeid, paraplykjede, adresse, postnr, poststed, kommune_id, oms, x, y,
+       {sql_r6("d1")} AS min_distance_all, {sql_r6("d2")} AS min_distance_other_group, {sql_r6("d3")} AS min_distance_other_chain
+FROM store_geo AS s JOIN near USING (id)""",
 )
 def csv_sink_roundtrip(spark, sf_dir):
-    """The store table through a delimited file, read back with its schema."""
+    """The store table with its distances through a delimited file, read back with its schema."""
     path = scratch_path(spark, "stores")
     stores = views.store_geo(spark, sf_dir)
-    for name in ("min_distance_all", "min_distance_other_group", "min_distance_other_chain"):
-        stores = stores.withColumn(name, F.lit(None).cast("double"))
-    write_csv_table(stores, path, sep=";")
+    for name, column in DISTANCES.items():
+        stores = nearest_store(stores, "id", "x", "y", differ_on=column, name=name)
+    write_csv_table(rounded(stores, list(DISTANCES)), path, sep=";")
     return read_csv_table(spark, path, STORES_WITH_DISTANCE, sep=";")
 
 
@@ -476,12 +489,13 @@ def first_line_per_product(spark, sf_dir):
 @query(
     "rounding_rules",
     f"""WITH {ALL_PRICES_SQL}
-SELECT price, {sql_r6("round(price / 8, 2)")} AS half_up, {sql_r6("round_even(price / 8, 3)")} AS half_even,
-       floor(price) AS whole, floor(price / 10) * 10 AS decade, count(*) AS n FROM all_prices
-WHERE price < 1000 GROUP BY price""",
+SELECT price, {sql_r6("(cents + 4) // 8 / 100.0::DOUBLE")} AS half_up,
+       {sql_r6("(5 * cents // 4 + CASE WHEN 5 * cents % 4 + (5 * cents // 4) % 2 > 2 THEN 1 ELSE 0 END) / 1000.0::DOUBLE")} AS half_even,
+       floor(price) AS whole, floor(price / 10) * 10 AS decade, count(*) AS n
+FROM (SELECT price, CAST(round(price * 100) AS BIGINT) AS cents FROM all_prices) GROUP BY price, cents""",
 )
 def rounding_rules(spark, sf_dir):
-    counted = all_prices(spark, sf_dir).where("price < 1000").groupBy("price").agg(F.count(F.lit(1)).alias("n"))
+    counted = all_prices(spark, sf_dir).groupBy("price").agg(F.count(F.lit(1)).alias("n"))
     eighth = F.col("price") / 8
     return counted.select(
         "price",

@@ -21,17 +21,28 @@ from ..operators.regress import (
     with_fitted,
     with_interactions,
 )
+from ..functions.scalars import STAR_LEVELS
 from ..operators.shares import ending_share
 from ..session import materialise
 from . import dynamics_queries, views
+from .base_queries import ENDING_TESTS
 from .oracle import absorb_ctes, ols_sql
-from .registry import query, r6, rounded, sql_r6
+from .registry import NUDGE, query, r6, rounded, sql_r6
 from .share_queries import CELLS_B_SQL, LINES_A_SQL, cells_b, lines_a
 from .views import PRICE_CELLS_SQL, SCAN_LINES_SQL, STORE_GEO_SQL
 
 TIDY = ["estimate", "std_error"]
 
 
+def _r4(column):
+    """Four digits: both sides converge far below, so that no row straddles a rounding step by chance."""
+    return F.round(F.col(column) + F.lit(NUDGE), 4) + F.lit(0.0)
+
+
+def _sql_r4(expression):
+    return f"(round(({expression})::DOUBLE + {NUDGE!r}, 4) + 0.0)"
+
+
 def tidy(fit, *by):
     return rounded(fit.tidy().select(*by, "term", *TIDY, "n_obs"), TIDY)
 
@@ -396,7 +407,20 @@ def two_stage_by_chain(spark, sf_dir):
     return tidy(fit, "kjedeid")
 
 
-@query("model_table_pivot")
+def _pivot_sql():
+    """Entries as printed: estimate, stars by the ratio to the error, the error in parentheses."""
+    models = {
+        name: ols_sql(_hat_sql(), "second", "log_quantity", x, [[d] for d in IV_FE], cluster=["store_id"])
+        for name, x in SECOND.items()
+    }
+    united = "\nUNION ALL\n".join(f"SELECT '{name}' AS model, * FROM ({sql})" for name, sql in models.items())
+    star = "".join(f" WHEN abs(estimate / std_error) >= {level} THEN '{mark}'" for level, mark in STAR_LEVELS)
+    entry = f"printf('%.3f', estimate) || CASE{star} ELSE '' END || chr(10) || printf('(%.3f)', std_error)"
+    columns = ", ".join(f"max(entry) FILTER (model = '{name}') AS {name}" for name in SECOND)
+    return f"SELECT term, {columns} FROM (SELECT model, term, {entry} AS entry FROM ({united}) WHERE estimate IS NOT NULL) GROUP BY term"
+
+
+@query("model_table_pivot", _pivot_sql())
 def model_table_pivot(spark, sf_dir):
     """Two-stage models of all second stages side by side, from one panel."""
     rows = with_price_hat(spark, sf_dir)
@@ -411,7 +435,19 @@ def model_table_pivot(spark, sf_dir):
     return model_table(united, "model", list(SECOND))
 
 
-@query("predict_grid")
+def _grid_sql():
+    x = FULL
+    ols = ols_sql(_hat_sql(), "second", "log_quantity", x, [[d] for d in IV_FE], sweeps=20, exact=True)
+    b = ", ".join(f"max(estimate) FILTER (term = '{c}') AS b{i}" for i, c in enumerate(x))
+    return f"""WITH est AS ({ols}), b AS (SELECT {b} FROM est),
+grid AS (SELECT i * (100.0::DOUBLE / 9999) AS price FROM range(1, 10000) AS t(i)),
+ended AS (SELECT price, {ENDING_TESTS["B"][0]} AS unit_nine, {ENDING_TESTS["B"][1]} AS cent_nine FROM grid WHERE price > 38 AND price < 42)
+SELECT price, unit_nine, cent_nine,
+  round(b0 * ln(price) + b1 * unit_nine::INT + b2 * ln(price) * unit_nine::INT + b3 * cent_nine::INT + b4 * ln(price) * cent_nine::INT + {NUDGE!r}, 4) + 0.0 AS log_q_hat
+FROM ended, b"""
+
+
+@query("predict_grid", _grid_sql())
 def predict_grid(spark, sf_dir):
     """Predicted log quantity on an even price grid from the full second stage."""
     fit = fe_ols(with_price_hat(spark, sf_dir), "log_quantity", FULL, (), IV_FE)
@@ -422,7 +458,7 @@ def predict_grid(spark, sf_dir):
     }
     scored = score_rows(with_interactions(grid, pairs), fit.coefficients(), "log_q_hat")
     window = scored.where((F.col("price") > 38) & (F.col("price") < 42))
-    return rounded(window.select("price", "unit_nine", "cent_nine", "log_q_hat"), ["log_q_hat"])
+    return window.select("price", "unit_nine", "cent_nine", _r4("log_q_hat").alias("log_q_hat"))
 
 
 # --- effects and residuals on rows -------------------------------------------------
@@ -442,12 +478,12 @@ def fixed_effects_one_way(spark, sf_dir):
 
 
 def _residual_sql():
-    text, last = absorb_ctes("keyed", [[d] for d in IV_FE], ["ry", "rx"], 10)
+    text, last = absorb_ctes("keyed", [[d] for d in IV_FE], ["ry", "rx"], 20)
     return f"""WITH {CELLS_LOG_SQL},
 keyed AS (SELECT month, week, sku_gtin, store_id, ppu, log_quantity, log_quantity AS ry, log_price AS rx FROM cells_log), {text},
 b AS (SELECT sum(rx * ry) / sum(rx * rx) AS beta FROM {last})
-SELECT month, week, sku_gtin, store_id, ppu, {sql_r6("log_quantity - (ry - beta * rx)")} AS fitted,
-       {sql_r6("ry - beta * rx")} AS residual FROM {last}, b"""
+SELECT month, week, sku_gtin, store_id, ppu, {_sql_r4("log_quantity - (ry - beta * rx)")} AS fitted,
+       {_sql_r4("ry - beta * rx")} AS residual FROM {last}, b"""
 
 
 @query("fitted_and_residuals", _residual_sql())
@@ -455,6 +491,6 @@ def fitted_and_residuals(spark, sf_dir):
     rows = cells_log(spark, sf_dir)
     fit = fe_ols(rows, "log_quantity", ["log_price"], (), IV_FE)
     scored = with_fitted(rows, fit, "fitted", "residual")
-    return rounded(
-        scored.select("month", "week", "sku_gtin", "store_id", "ppu", "fitted", "residual"), ["fitted", "residual"]
+    return scored.select(
+        "month", "week", "sku_gtin", "store_id", "ppu", _r4("fitted").alias("fitted"), _r4("residual").alias("residual")
     )

@@ -53,9 +53,12 @@ def ols_sql(
     fe_dof: str = "all",
     instruments: list[str] = (),
     terms: dict[str, str] | None = None,
+    exact: bool = False,
 ) -> str:
     """Estimates and errors of one model as rows (by..., term, estimate, std_error, n_obs).
 
+    Estimates are rounded to six digits unless ``exact``.
+
     With ``instruments`` the model is just identified and every regressor is
     replaced in the moment conditions by the instrument in the same place.
     Without dimensions the caller supplies a constant column among ``x``.
@@ -121,7 +124,7 @@ def ols_sql(
     names = terms or {}
     # A regressor without variation of its own has no estimate.
     rows = [
-        f"SELECT {s_by}'{names.get(x[i], x[i])}' AS term, {sql_r6(beta[i])} AS estimate, "
+        f"SELECT {s_by}'{names.get(x[i], x[i])}' AS term, {beta[i] if exact else sql_r6(beta[i])} AS estimate, "
         f"{sql_r6(f'sqrt({variance[i]})')} AS std_error, s.n_obs AS n_obs FROM {meat_from}"
         for i in range(k)
     ]

@@ -131,10 +131,18 @@ def popularity_share(spark, sf_dir):
     return rounded(ordered, [*FLAGS, "total_sales"])
 
 
-@query("hash_sample")
+@query(
+    "hash_sample",
+    f"""WITH {SCAN_LINES_SQL}, keyed AS (SELECT *, CAST(round(sales * 100) AS BIGINT) AS cents FROM scan_lines)
+SELECT store_id, sku_gtin, date, cents FROM keyed
+WHERE CAST('0x' || substr(md5(concat_ws('|', '42', store_id::VARCHAR, sku_gtin::VARCHAR, date::VARCHAR, cents::VARCHAR)), 1, 8) AS BIGINT)
+      % 1000000 < 100000""",
+)
 def hash_sample_query(spark, sf_dir):
-    lines = views.scan_lines(spark, sf_dir)
-    return hash_sample(lines, ["store_id", "sku_gtin", "date", "sales"], 0.1)
+    """A tenth of the lines; sales enter the hash as whole cents."""
+    lines = views.scan_lines(spark, sf_dir).withColumn("cents", F.round(F.col("sales") * 100).cast("long"))
+    keys = ["store_id", "sku_gtin", "date", "cents"]
+    return hash_sample(lines, keys, 0.1).select(*keys)
 
 
 @query(
