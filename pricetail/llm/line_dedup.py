@@ -11,6 +11,8 @@ once, in the longest order that both share, are fixed first; what stands between
 them is aligned in the same way; where no such line is left, equal lines from the
 front and from the back are.  Blocks of lines that follow each other in both and
 hold ``MIN_WORDS`` words go from the later document; the earlier one keeps them.
+What is left of the later one is aligned again until no such block is found, so
+that blocks in another order go as well.
 
 "Later" is the greater id.  Defined results: null and empty texts, and rows with
 a null id, stay as they are and nominate nobody; rows with equal ids don't dedup
@@ -123,15 +125,23 @@ def common_blocks(shared: list[dict], min_words: int) -> list[tuple[int, int, in
     """
     early = sorted((p, k) for k, row in enumerate(shared) for p in row["early"])
     late = sorted((p, k, line) for k, row in enumerate(shared) for p, line in zip(row["late"], row["line"]))
-    blocks, last = [], (-2, -2)
-    for i, j in patience([k for _, k in early], [k for _, k, _ in late]):
-        p, (q, k, line) = early[i][0], late[j]
-        if (p - 1, q - 1) == last:
-            blocks[-1] = (blocks[-1][0], line, blocks[-1][2] + shared[k]["words"])
-        else:
-            blocks.append((line, line, shared[k]["words"]))
-        last = p, q
-    return [b for b in blocks if b[2] >= min_words]
+    out: list[tuple[int, int, int]] = []
+    while late:
+        blocks, last = [], (-2, -2)
+        for i, j in patience([k for _, k in early], [k for _, k, _ in late]):
+            p, (q, k, line) = early[i][0], late[j]
+            if (p - 1, q - 1) == last:
+                blocks[-1] = (blocks[-1][0], line, blocks[-1][2] + shared[k]["words"])
+            else:
+                blocks.append((line, line, shared[k]["words"]))
+            last = p, q
+        found = [b for b in blocks if b[2] >= min_words]
+        if not found:
+            break
+        out += found
+        # Blocks in another order can't all be aligned at once: what is left is aligned again.
+        late = [x for x in late if not any(a <= x[2] <= b for a, b, _ in found)]
+    return sorted(out)
 
 
 def deleted_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -18,7 +18,7 @@ def test_patience_is_an_alignment():
     assert L.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     # Lines that both have once are fixed first, in the longest shared order.
     assert L.patience([1, 2, 3, 4], [3, 4, 1, 2, 5]) in ([(0, 2), (1, 3)], [(2, 0), (3, 1)])
-    assert L.patience([5, 1, 5], [5, 5, 1, 5]) == [(0, 1), (1, 2), (2, 3)]
+    assert L.patience([5, 1, 5], [5, 5, 1, 5]) == [(0, 0), (1, 2), (2, 3)]
 
 
 def plain(rows, min_words):
@@ -46,16 +46,22 @@ def plain(rows, min_words):
     for i, lines in docs:
         for partner in {first[r] for r in runs(lines)} - {i}:
             early = by_id[partner]
-            pairs = L.patience([x for _, x, _ in early if x in {y for _, y, _ in lines}], [x for _, x, _ in lines if x in {y for _, y, _ in early}])
-            a = [k for k, (_, x, _) in enumerate(early) if x in {y for _, y, _ in lines}]
-            b = [k for k, (_, x, _) in enumerate(lines) if x in {y for _, y, _ in early}]
-            block = []
-            for p, q in [(a[p], b[q]) for p, q in pairs] + [(-9, -9)]:
-                if block and (p, q) != (block[-1][0] + 1, block[-1][1] + 1):
-                    if sum(lines[y][2] for _, y in block) >= min_words:
-                        gone.setdefault(i, set()).update(range(lines[block[0][1]][0], lines[block[-1][1]][0] + 1))
-                    block = []
-                block.append((p, q))
+            rest = lines
+            while rest:
+                a = [k for k, (_, x, _) in enumerate(early) if x in {y for _, y, _ in rest}]
+                b = [k for k, (_, x, _) in enumerate(lines) if lines[k] in rest and x in {y for _, y, _ in early}]
+                pairs = L.patience([early[k][1] for k in a], [lines[k][1] for k in b])
+                block, cut = [], set()
+                for p, q in [(a[p], b[q]) for p, q in pairs] + [(-9, -9)]:
+                    if block and (p, q) != (block[-1][0] + 1, block[-1][1] + 1):
+                        if sum(lines[y][2] for _, y in block) >= min_words:
+                            cut.update(range(lines[block[0][1]][0], lines[block[-1][1]][0] + 1))
+                        block = []
+                    block.append((p, q))
+                if not cut:
+                    break
+                gone.setdefault(i, set()).update(cut)
+                rest = [x for x in rest if x[0] not in cut]
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) if t else t for i, t in rows}
 
 
@@ -66,6 +72,7 @@ def test_documents_equal_brute_force(spark):
         (7001, None), (7002, ""), (7003, "  \n\n"), (7004, "short line\nshort line"),
         (7005, f"alpha\n{passage}\nomega"), (7006, f"beta beta\n\n{passage}"), (7007, passage), (7008, passage.replace("p2", "q2")),
         (7009, "\n".join(["again and again"] * 40)), (7010, "\n".join(["again and again"] * 30)), (7011, passage.replace("\n", "\r\n\n")),
+        (7012, "\n".join(reversed(passage.split("\n")))), (7013, "\n".join(passage.split("\n")[3:] + ["between"] + passage.split("\n")[:3])),
     ]
     docs = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
