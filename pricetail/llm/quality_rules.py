@@ -111,23 +111,18 @@ def text_counts(text: Column, lang: Column) -> Column:
     return let(words_of(text), counted)
 
 
-def distance(counts: Column, total: Column, reference: Column, reference_total: Column, bins: int) -> Column:
+def distance(counts: Column, total: Column, reference: Column, reference_total: Column) -> Column:
     """Jensen-Shannon distance of two histograms; what the bins leave of a total is one more bin."""
 
-    def shares(c: Column, t: Column) -> list[Column]:
-        known = [F.get(c, F.lit(k)) for k in range(bins)]
-        rest = t
-        for x in known:
-            rest = rest - x
-        return [F.greatest(x, F.lit(0)) / t for x in [*known, rest]]
+    def shares(c: Column, t: Column) -> Column:
+        rest = t - F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.transform(F.concat(c, F.array(rest.cast("bigint"))), lambda x: F.greatest(x, F.lit(0)) / t)
 
     def half(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(F.lit(2.0) * p / (p + q))).otherwise(0.0)
 
-    total_bits = F.lit(0.0)
-    for p, q in zip(shares(counts, total), shares(reference, reference_total)):
-        total_bits = total_bits + (half(p, q) + half(q, p)) / 2
-    return F.sqrt(F.greatest(total_bits, F.lit(0.0)))
+    bits = F.zip_with(shares(counts, total), shares(reference, reference_total), lambda p, q: half(p, q) + half(q, p))
+    return F.sqrt(F.greatest(F.aggregate(bits, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -145,10 +140,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
         F.array(*[F.sum(F.get("common", F.lit(k))) for k in range(SLOTS)]).alias("all_common"),
         F.sum("n_words").alias("all_words"),
     )
-    chars = F.when((F.col("chars") >= LEAST_CHARS) & (F.col("all_chars") > 0), distance(F.col("classes"), F.col("chars"), F.col("all_classes"), F.col("all_chars"), len(CLASSES) - 1))
+    chars = F.when((F.col("chars") >= LEAST_CHARS) & (F.col("all_chars") > 0), distance(F.col("classes"), F.col("chars"), F.col("all_classes"), F.col("all_chars")))
     words = F.when(
         (F.col("n_words") >= LEAST_COMPARED_WORDS) & F.col("common").isNotNull(),
-        distance(F.col("common"), F.col("n_words"), F.col("all_common"), F.col("all_words"), SLOTS),
+        distance(F.col("common"), F.col("n_words"), F.col("all_common"), F.col("all_words")),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return (

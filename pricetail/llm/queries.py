@@ -113,7 +113,73 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
 
 
-@query("op9_quality_rules")
+def _rules_sql() -> str:
+    from .quality_rules import (
+        COMMON_WORDS,
+        LEAST_CHARS,
+        LEAST_COMPARED_WORDS,
+        LEAST_WORDS,
+        MOST_CHAR_DISTANCE,
+        MOST_REPEATED,
+        MOST_WORD_DISTANCE,
+        SLOTS,
+    )
+
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items()) + " END"
+    classes = "[" + ", ".join(
+        [f"len(text) - len(regexp_replace(text, '{p}', '', 'g'))" for p in ("[a-z]", "[A-Z]", "[0-9]")]
+        + ["len(text) - len(array_to_string(w, ''))", r"len(text) - len(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))"]
+    ) + "]"
+    slots = "[" + ", ".join(f"len(list_filter(w, lambda x: lower(x) = common[{k}]))" for k in range(1, SLOTS + 1)) + "]"
+
+    def shares(counts: str, total: str, bins: int) -> list[str]:
+        rest = f"({total} - " + " - ".join(f"{counts}[{k}]" for k in range(1, bins + 1)) + ")"
+        return [f"(greatest({x}, 0)::DOUBLE / {total})" for x in [*(f"{counts}[{k}]" for k in range(1, bins + 1)), rest]]
+
+    def distance(a: str, n: str, b: str, m: str, bins: int) -> str:
+        halves = [
+            f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + "
+            f"CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END) / 2"
+            for p, q in zip(shares(a, n, bins), shares(b, m, bins))
+        ]
+        return f"sqrt(greatest({' + '.join(halves)}, 0))"
+
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{k}])" for k in range(1, n + 1)) + "]"
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         {common} AS common FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS k, w FROM docs WHERE len(w) > 2),
+repeated AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k], w[k+1], w[k+2]) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS place FROM repeated) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, d.lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(text) AS chars, {classes} AS classes,
+         CASE WHEN common IS NOT NULL THEN {slots} END AS common
+  FROM docs d LEFT JOIN covered c USING (doc_id)),
+reference AS (
+  SELECT lang, {sums('classes', 5)} AS all_classes, sum(chars) AS all_chars, {sums('common', SLOTS)} AS all_common, sum(n_words) AS all_words
+  FROM counted GROUP BY lang),
+far AS (
+  SELECT c.*,
+    CASE WHEN chars >= {LEAST_CHARS} THEN {distance('classes', 'chars', 'all_classes', 'all_chars', 5)} END AS cd,
+    CASE WHEN n_words >= {LEAST_COMPARED_WORDS} AND common IS NOT NULL
+         THEN {distance('common', 'n_words', 'all_common', 'all_words', SLOTS)} END AS wd,
+    n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed
+  FROM counted c JOIN reference r ON c.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(cd, 0) <= {MOST_CHAR_DISTANCE} AND coalesce(wd, 0) <= {MOST_WORD_DISTANCE} AS kept,
+       round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM far
+"""
+
+
+@query("op9_quality_rules", _rules_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
