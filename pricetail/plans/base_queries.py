@@ -29,7 +29,7 @@ from ..operators.clean import (
 )
 from ..operators.geo import nearest_store
 from ..operators.groups import first_by, group_mode
-from ..schemas import CELLS, STORES_WITH_DISTANCE
+from ..schemas import CELLS, MODES, STORES_WITH_DISTANCE
 from ..session import scratch_path
 from ..sources import read_csv_table, read_months, read_parquet_tree, write_csv_table, write_months
 from . import views
@@ -423,6 +423,18 @@ def month_sink_roundtrip(spark, sf_dir):
     )
 
 
+@query(
+    "modes_by_month",
+    f"""WITH {PRICE_CELLS_SQL}
+SELECT month, week, sku_gtin, store_id, ppu, n::BIGINT AS n, mode::BIGINT AS mode FROM modes""",
+)
+def modes_by_month(spark, sf_dir):
+    """Modal prices written by month and read back with their declared schema."""
+    path = scratch_path(spark, "modes")
+    write_months(build_modes(views.price_obs(spark, sf_dir)), path)
+    return read_months(spark, path, list(range(1, 13)), MODES)
+
+
 @query(
     "parquet_tree_scan",
     """SELECT count(*) AS n, round(sum(quantity), 2) AS quantity FROM (

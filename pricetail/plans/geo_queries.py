@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import digits_only, to_long_or_null
+from ..functions import digits_only, to_long_or_null, with_endings
 from ..operators.geo import (
     competitors_within,
     dedupe_addresses,
@@ -17,7 +17,7 @@ from ..operators.geo import (
 )
 from . import views
 from .registry import query, r6, rounded, sql_r6
-from .views import STORE_GEO_SQL
+from .views import SCAN_LINES_SQL, STORE_GEO_SQL
 
 # Left-hand store keys: one in three is a business number, one in seven unknown.
 LEFT_SQL = f"""{STORE_GEO_SQL},
@@ -187,3 +187,38 @@ def store_distance_table(spark, sf_dir):
     for name, column in names.items():
         stores = nearest_store(stores, "id", "x", "y", differ_on=column, name=name)
     return rounded(stores, list(names)).select("id", *names)
+
+
+@query(
+    "store_competition_table",
+    f"""WITH {SCAN_LINES_SQL}, {STORE_GEO_SQL}, shares AS (
+  SELECT store_id, avg(CAST(CAST(floor(ppu) AS BIGINT) % 10 = 9 AS INTEGER)) AS unit_nine,
+         avg(CAST(round(ppu - floor(ppu), 2) >= 0.9 AS INTEGER)) AS cent_nine, count(*) AS n_lines
+  FROM scan_lines GROUP BY store_id),
+pairs AS (
+  SELECT a.id, {_DISTANCE} AS d, a.id <> b.id AS other, a.paraplykjede <> b.paraplykjede AS other_group, a.kjedeid <> b.kjedeid AS rival
+  FROM store_geo AS a JOIN store_geo AS b ON true),
+near AS (
+  SELECT id, min(d) FILTER (other) AS d1, min(d) FILTER (other_group) AS d2, min(d) FILTER (rival) AS d3,
+         count(*) FILTER (rival AND d <= 2000) AS c2, count(*) FILTER (rival AND d <= 5000) AS c5, count(*) FILTER (rival AND d <= 10000) AS c10
+  FROM pairs GROUP BY id)
+SELECT g.id, g.kjedeid, g.paraplykjede, g.oms, n_lines, {sql_r6("unit_nine")} AS unit_nine, {sql_r6("cent_nine")} AS cent_nine,
+       {sql_r6("d1")} AS min_distance_all, {sql_r6("d2")} AS min_distance_other_group, {sql_r6("d3")} AS min_distance_other_chain,
+       c2 AS competitors_within_2km, c5 AS competitors_within_5km, c10 AS competitors_within_10km
+FROM store_geo AS g JOIN near ON near.id = g.id LEFT JOIN shares ON store_id = CAST(g.id AS VARCHAR)""",
+)
+def store_competition_table(spark, sf_dir):
+    """Each store's ending shares with its distances to others and its rivals nearby."""
+    flagged = with_endings(views.scan_lines(spark, sf_dir), "ppu", "A")
+    shares = flagged.groupBy("store_id").agg(
+        F.avg(F.col("unit_nine").cast("int")).alias("unit_nine"),
+        F.avg(F.col("cent_nine").cast("int")).alias("cent_nine"),
+        F.count(F.lit(1)).alias("n_lines"),
+    )
+    stores = views.store_geo(spark, sf_dir).select("id", "kjedeid", "paraplykjede", "oms", "x", "y")
+    table = competitors_within(stores, "id", "x", "y", "kjedeid")
+    distances = {"min_distance_all": None, "min_distance_other_group": "paraplykjede", "min_distance_other_chain": "kjedeid"}
+    for name, column in distances.items():
+        table = nearest_store(table, "id", "x", "y", differ_on=column, name=name)
+    joined = table.join(shares, F.col("id").cast("string") == F.col("store_id"), "left").drop("store_id", "x", "y")
+    return rounded(joined, ["unit_nine", "cent_nine", *distances])

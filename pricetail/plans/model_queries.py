@@ -435,6 +435,25 @@ def model_table_pivot(spark, sf_dir):
     return model_table(united, "model", list(SECOND))
 
 
+# The chains of the test tables, as columns of the printed table.
+CHAINS = [f"NATION_{i}" for i in range(25)]
+
+
+def _chain_pivot_sql():
+    sql = ols_sql(_hat_sql(), "second", "log_quantity", FULL, [[d] for d in IV_FE], by=["kjedeid"], cluster=["store_id"], sweeps=16)
+    star = "".join(f" WHEN abs(estimate / std_error) >= {level} THEN '{mark}'" for level, mark in STAR_LEVELS)
+    entry = f"printf('%.3f', estimate) || CASE{star} ELSE '' END || chr(10) || printf('(%.3f)', std_error)"
+    columns = ", ".join(f"max(entry) FILTER (kjedeid = '{name}') AS \"{name}\"" for name in CHAINS)
+    return f"SELECT term, {columns} FROM (SELECT kjedeid, term, {entry} AS entry FROM ({sql}) WHERE estimate IS NOT NULL) GROUP BY term"
+
+
+@query("elasticity_by_chain_table", _chain_pivot_sql())
+def elasticity_by_chain_table(spark, sf_dir):
+    """The full second stage of every chain side by side, with stars."""
+    fit = fe_ols(with_price_hat(spark, sf_dir), "log_quantity", FULL, (), IV_FE, ["store_id"], ["kjedeid"], "cluster")
+    return model_table(fit.tidy(), "kjedeid", CHAINS)
+
+
 def _grid_sql():
     x = FULL
     ols = ols_sql(_hat_sql(), "second", "log_quantity", x, [[d] for d in IV_FE], sweeps=20, exact=True)
