@@ -214,17 +214,25 @@ def nearest_store(
         label.alias("own"),
     ).where(F.col("qx").isNotNull() & F.col("qy").isNotNull() & F.col("own").isNotNull())
     located = checkpointed(located)
-    places = (
-        located.groupBy(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("own").alias("label"))
-        .agg(F.count(F.lit(1)).alias("weight"))
+    # A point with two labels is at distance zero for all its own stores.  To others it
+    # shows its smallest and largest label: one of them differs from any label they have.
+    points = checkpointed(
+        located.groupBy("qx", "qy").agg(
+            F.min("own").alias("low"), F.max("own").alias("high"), F.count(F.lit(1)).alias("weight")
+        )
+    )
+    places = points.select(
+        F.col("qx").alias("px"), F.col("qy").alias("py"),
+        F.explode(F.array_distinct(F.array("low", "high"))).alias("label"), "weight",
     )
+    shared = points.where(F.col("low") != F.col("high")).select("qx", "qy")
     pyramid = _Pyramid(places, [])
     qx, qy = F.col("qx"), F.col("qy")
     who = ["qx", "qy", "own"]
     dx, dy = F.col("px") - qx, F.col("py") - qy
     other = (F.col("label_min") != F.col("own")) | (F.col("label_max") != F.col("own"))
     # Stores at one point with one label share their answer.
-    frontier = located.select(*who).distinct()
+    frontier = points.where(F.col("low") == F.col("high")).select("qx", "qy", F.col("low").alias("own"))
     frontier = frontier.withColumns({"cell": F.lit(0).cast("long"), "ub": F.lit(float("inf"))})
     opened = []
     for level in range(pyramid.depth + 1):
@@ -249,6 +257,8 @@ def nearest_store(
     best = reduce(DataFrame.unionByName, opened)
     best = best.groupBy(*who).agg(F.sqrt(F.min("d2")).alias(name))
     found = located.join(best, who).select(F.col("_id").alias(key), name)
+    together = located.join(shared, ["qx", "qy"]).select(F.col("_id").alias(key), F.lit(0.0).alias(name))
+    found = found.unionByName(together)
     return stores.join(found, key, "left")
 
 

@@ -55,3 +55,10 @@ def test_bad_options(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
     with pytest.raises(ValueError):
         geo.nearest_store(df, "id", "x", "y", exclude="none")
+
+
+def test_many_stores_at_one_point(spark):
+    rows = [(i, 10.0, 20.0) for i in range(5000)] + [(9001, 13.0, 24.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r["id"]: r["min_distance"] for r in geo.nearest_store(df, "id", "x", "y").collect()}
+    assert got.pop(9001) == 5.0 and set(got.values()) == {0.0} and len(got) == 5000
