@@ -46,7 +46,9 @@ class Effects:
 
     @property
     def small(self) -> bool:
-        return self.levels * self.width * 16 <= BROADCAST_BYTES
+        # Keys may be text; the other columns are numbers.
+        row = 64 * len(self.keys) + 16 * (self.width - len(self.keys))
+        return self.levels * row <= BROADCAST_BYTES
 
 
 def _join_effects(records: DataFrame, effects: Effects, record_keys: list[str]) -> DataFrame:
