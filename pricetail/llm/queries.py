@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +237,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .token_shards import read_ranks, training_order
+    from .token_shards import read_ranks, sharded
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return training_order(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return sharded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, scratch_path(spark, "shards"), again=True)

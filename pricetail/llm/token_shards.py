@@ -40,6 +40,7 @@ SHARD_RECORDS = 1 << 16
 ROUNDS = 6
 SEED = 2024
 STRIDE = 2 * (LENGTH + 1)
+BATCH = 2000  # records sent to Spark at once
 
 _ENCODINGS: dict[bytes, tiktoken.Encoding] = {}
 
@@ -104,6 +105,82 @@ def tokenised(docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text: st
     return rows.mapInArrow(run, f"id {kind}, tokens binary, n_tokens long, n_sequences int, part int, first long")
 
 
+def counted(docs: DataFrame, ranks: bytes, pattern: str, text: str) -> DataFrame:
+    """(part, n_sequences): the sequences that each batch of a task makes, without their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part = encoding(ranks, pattern).encode_ordinary, TaskContext.get().partitionId()
+        for batch in batches:
+            made = sum(-(-(len(encode(t)) + 1) // LENGTH) if t else 1 for t in batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int64())], ["part", "n_sequences"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, n_sequences long")
+
+
+def sequences_again(
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text: str, made: dict[int, int], seed: int
+) -> DataFrame:
+    """(id, chunk, slot, n_tokens, record) in one pass.  made: what each task made when it was counted."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    end, n = ranks.count(b"\n"), sum(made.values())
+    offsets, total = {}, 0
+    for part in sorted(made):
+        offsets[part] = total
+        total += made[part]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part = encoding(ranks, pattern).encode_ordinary, TaskContext.get().partitionId()
+        first, stop = offsets.get(part, 0), offsets.get(part, 0) + made.get(part, 0)
+
+        def records(t: str | None) -> np.ndarray:
+            ids = np.array([*(encode(t) if t else ()), end], "<u2")
+            m = -(-len(ids) // LENGTH)
+            out = np.full((m, LENGTH + 1), end, "<u2")
+            out[:, 0] = LENGTH
+            out[-1, 0] = len(ids) - (m - 1) * LENGTH
+            full = (m - 1) * LENGTH
+            out[:-1, 1:] = ids[:full].reshape(m - 1, LENGTH)
+            out[-1, 1 : 1 + len(ids) - full] = ids[full:]
+            return out
+
+        def sent(ids: pa.Array, rows: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            row = np.repeat(rows, [len(x) for x in found])
+            chunk = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+            whole = np.concatenate(found)
+            for k in range(0, len(whole), BATCH):
+                some = whole[k : k + BATCH]
+                if first + len(some) > stop:
+                    raise RuntimeError("the input has changed since its sequences were counted")
+                slot = permuted(np.arange(first, first + len(some)), n, seed)
+                first += len(some)
+                ends = np.arange(len(some) + 1, dtype=np.int32) * STRIDE
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(row[k : k + BATCH])), pa.array(chunk[k : k + BATCH]), pa.array(slot), pa.array(some[:, 0].astype(np.int32)),
+                        pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(some.tobytes())]),
+                    ],
+                    ["id", "chunk", "slot", "n_tokens", "record"],
+                )
+
+        for batch in batches:
+            rows, found, waiting = [], [], 0
+            for row, t in enumerate(batch.column("text")):
+                rows.append(row)
+                found.append(records(t.as_py()))
+                waiting += len(found[-1])
+                if waiting >= BATCH:
+                    yield from sent(batch.column("id"), rows, found)
+                    rows, found, waiting = [], [], 0
+            if rows:
+                yield from sent(batch.column("id"), rows, found)
+        if first != stop:
+            raise RuntimeError("the input has changed since its sequences were counted")
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, chunk int, slot long, n_tokens int, record binary")
+
+
 def _two_bytes(n: Column) -> Column:
     low, high = F.lpad(F.hex(F.pmod(n, F.lit(256))), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0")
     return F.unhex(F.concat(low, high))
@@ -112,6 +189,11 @@ def _two_bytes(n: Column) -> Column:
 def training_order(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """(id, chunk, slot, shard, place, n_tokens, record), dealt by shard and sorted by slot."""
     rows = saved(tokenised(docs, ranks, pattern, id_col, text), "tokens")
+    return _ordered(rows, ranks, id_col, seed)[0]
+
+
+def _ordered(rows: DataFrame, ranks: bytes, id_col: str, seed: int) -> tuple[DataFrame, int]:
+    """The training order of saved tokens and the number of its sequences."""
     # One row for each task that made tokens.
     parts = rows.groupBy("part").agg(F.sum(F.col("n_sequences").cast("long")).alias("made"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,21 +212,50 @@ def training_order(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "d
     fill = bytearray(_end_bytes(ranks))
     # Bytes first, padding after: both stay binary.
     piece = F.substring("tokens", F.col("chunk") * (2 * LENGTH) + 1, F.lit(2 * LENGTH))
-    shards = max(1, -(-n // SHARD_RECORDS))
+    dealt = sequences.withColumn("slot", slot(F.col("base") + F.col("chunk"))).select(
+        "id", "chunk", "slot", length.alias("n_tokens"), F.concat(_two_bytes(length), F.rpad(piece, 2 * LENGTH, F.lit(fill))).alias("record")
+    )
+    return _by_shard(dealt, n, id_col), n
+
+
+def _by_shard(sequences: DataFrame, n: int, id_col: str) -> DataFrame:
     return (
-        sequences.withColumn("slot", slot(F.col("base") + F.col("chunk")))
-        .select(
+        sequences.select(
             F.col("id").alias(id_col), "chunk", "slot",
             F.floor(F.col("slot") / SHARD_RECORDS).cast("int").alias("shard"),
             F.pmod("slot", F.lit(SHARD_RECORDS)).cast("int").alias("place"),
-            length.alias("n_tokens"),
-            F.concat(_two_bytes(length), F.rpad(piece, 2 * LENGTH, F.lit(fill))).alias("record"),
+            "n_tokens", "record",
         )
-        .repartitionById(shards, F.col("shard"))
+        .repartitionById(max(1, -(-n // SHARD_RECORDS)), F.col("shard"))
         .sortWithinPartitions("slot")
     )
 
 
+def sharded(
+    docs: DataFrame, ranks: bytes, pattern: str, path: str, id_col: str = "doc_id", text: str = "text", seed: int = SEED, again: bool = False
+) -> DataFrame:
+    """Write the shards of docs to path, once, and return (shard, file, records, bytes, sha256).
+
+    Tokens are written and read back, whatever the input.  With ``again`` only their
+    counts are and texts are encoded a second time, which takes less disk and more CPU;
+    the input must then come in the same partitions and order, as a table of files does.
+    Raises if the shards don't hold every sequence once.
+    """
+    if again:
+        counts = saved(counted(docs, ranks, pattern, text), "counts")
+        # One row for each task that made tokens.
+        made = {r.part: r.made for r in counts.groupBy("part").agg(F.sum("n_sequences").alias("made")).collect()}
+        n = sum(made.values())
+        ordered = _by_shard(sequences_again(docs, ranks, pattern, id_col, text, made, seed), n, id_col)
+    else:
+        ordered, n = _ordered(saved(tokenised(docs, ranks, pattern, id_col, text), "tokens"), ranks, id_col, seed)
+    shards = saved(write_shards(ordered, path), "shards")
+    written = shards.agg(F.sum("records")).first()[0] or 0
+    if written != n:
+        raise RuntimeError(f"{written} of {n} sequences were written: the input has changed between two reads")
+    return shards
+
+
 def _end_bytes(ranks: bytes) -> bytes:
     return np.array([ranks.count(b"\n")], "<u2").tobytes()
 
@@ -154,7 +265,8 @@ def write_shards(ordered: DataFrame, path: str) -> DataFrame:
 
     A task writes under a name of its own and renames when all is written, so that a
     task that runs again or twice leaves whole files only.  path: any URI that
-    pyarrow opens and all executors share.
+    pyarrow opens and all executors share.  A shard whose places don't follow each
+    other from 0 on is an error.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +283,24 @@ def write_shards(ordered: DataFrame, path: str) -> DataFrame:
             done.append((open_shard, target, records, records * STRIDE, digest.hexdigest()))
 
         for batch in batches:
-            for shard, record in zip(batch.column("shard").to_pylist(), batch.column("record").to_pylist()):
+            of, places = batch.column("shard").to_numpy(), batch.column("place").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                shard = int(of[a])
                 if shard != open_shard:
                     if out:
                         close()
                     open_shard, digest, records = shard, hashlib.sha256(), 0
                     name = f"{root}/part-{shard:06d}-{task.taskAttemptId()}"
                     out = fs.open_output_stream(name)
-                out.write(record)
-                digest.update(record)
-                records += 1
+                if (places[a:b] != np.arange(records, records + b - a)).any():
+                    raise ValueError(f"shard {shard} lacks a slot or has one twice")
+                some = b"".join(batch.column("record").slice(a, b - a).to_pylist())
+                out.write(some)
+                digest.update(some)
+                records += b - a
         if out:
             close()
         columns = list(zip(*done)) or [[]] * 5
@@ -189,7 +309,7 @@ def write_shards(ordered: DataFrame, path: str) -> DataFrame:
             [pa.array(c, t) for c, t in zip(columns, types)], ["shard", "file", "records", "bytes", "sha256"]
         )
 
-    return ordered.select("shard", "record").mapInArrow(write, "shard int, file string, records long, bytes long, sha256 string")
+    return ordered.select("shard", "place", "record").mapInArrow(write, "shard int, file string, records long, bytes long, sha256 string")
 
 
 def read_slots(path: str, start: int, count: int) -> Iterator[np.ndarray]:

@@ -1,9 +1,12 @@
 import base64
+import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
+from pricetail.llm import queries as Q
 from pricetail.llm import token_shards as T
 
 
@@ -47,3 +50,29 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     got = [x.tolist() for x in T.read_slots(folder, 60, 10)]
     assert got == [by_slot[k] for k in range(60, 70)]
     assert T.training_order(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query_writes_its_shards(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_RECORDS", 64)
+    shards = sorted(Q.QUERIES["op3_token_shards"](spark, "/root/testdata/sf0.001").collect())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ranks = T.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = sorted((r.slot, bytes(r.record)) for r in T.training_order(docs, ranks, public_tokenizers.PATTERN).collect())
+    assert sum(s.records for s in shards) == len(rows) > 64 and all(s.records == 64 for s in shards[:-1])
+    for s in shards:
+        with open(s.file, "rb") as f:
+            whole = f.read()
+        assert whole == b"".join(r for _, r in rows[64 * s.shard : 64 * s.shard + 64])
+        assert s.bytes == len(whole) and s.sha256 == hashlib.sha256(whole).hexdigest()
+
+
+def test_odd_rows_either_way(spark, tmp_path):
+    ranks = T.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = [(None, None), (1, ""), (2, "x"), (2, "x"), (3, "w " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [T.sharded(docs, ranks, public_tokenizers.PATTERN, f"file://{tmp_path}/{k}", again=k).collect() for k in (False, True)]
+    assert [(s.shard, s.records, s.sha256) for s in got[0]] == [(s.shard, s.records, s.sha256) for s in got[1]]
+    assert T.sharded(docs.limit(0), ranks, public_tokenizers.PATTERN, f"file://{tmp_path}/none", again=True).count() == 0
+    lacking = T.training_order(docs, ranks, public_tokenizers.PATTERN).filter("slot <> 1")
+    with pytest.raises(Exception, match="lacks a slot"):
+        T.write_shards(lacking, f"file://{tmp_path}/lacking").collect()
