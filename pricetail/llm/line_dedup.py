@@ -11,8 +11,10 @@ once, in the longest order that both share, are fixed first; what stands between
 them is aligned in the same way; where no such line is left, equal lines from the
 front and from the back are.  Blocks of lines that follow each other in both and
 hold ``MIN_WORDS`` words go from the later document; the earlier one keeps them.
-What is left of the later one is aligned again until no such block is found, so
-that blocks in another order go as well.
+What is left of the later one is aligned again until no such block is found.  An
+alignment can still pass over a block that stands in another order than short lines,
+or that repeated lines hide; so at last every run of lines that is left in both and
+holds ``MIN_WORDS`` words is looked up, whatever its order, and goes from the later.
 
 "Later" is the greater id.  Defined results: null and empty texts, and rows with
 a null id, stay as they are and nominate nobody; rows with equal ids don't dedup
@@ -117,6 +119,83 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _longest_matches(early: list[int], late: list[int | None]) -> list[int]:
+    """For every place of late, how many items that end there follow each other in early too.
+
+    A suffix automaton of early, read along late: time in proportion to both.  None matches nothing.
+    """
+    go, link, size, last = [{}], [-1], [0], 0
+    for c in early:
+        here, p = len(go), last
+        go.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and c not in go[p]:
+            go[p][c] = here
+            p = link[p]
+        if p >= 0:
+            q = go[p][c]
+            if size[q] > size[p] + 1:
+                copy = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                link[q] = copy
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = copy
+                    p = link[p]
+                q = copy
+            link[here] = q
+        last = here
+    out, at, n = [], 0, 0
+    for c in late:
+        while at and c not in go[at]:
+            at = link[at]
+            n = size[at]
+        if c in go[at]:
+            at, n = go[at][c], n + 1
+        out.append(n)
+    return out
+
+
+def shared_runs(early: list[tuple], late: list[tuple], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(first line, last line, words) of what runs of min_words words cover, that stand in both in any order.
+
+    early: sorted (place, key); late: sorted (place, key, line).  words: by key.
+    """
+    heaviest, inside, before = 0, 0, -2
+    for q, k, _ in late:
+        inside = words[k] + (inside if q == before + 1 else 0)
+        heaviest, before = max(heaviest, inside), q
+    if heaviest < min_words:
+        return []
+    # A gap in the places ends a run: a number of its own in early, None in late.
+    one: list[int] = []
+    for n, (p, k) in enumerate(early):
+        if n and p != early[n - 1][0] + 1:
+            one.append(-n)
+        one.append(k)
+    two, at = [], []
+    for n, (q, k, _) in enumerate(late):
+        if n and q != late[n - 1][0] + 1:
+            two.append(None)
+        at.append(len(two))
+        two.append(k)
+    matches = _longest_matches(one, two)
+    sums = [0]
+    for _, k, _ in late:
+        sums.append(sums[-1] + words[k])
+    out: list[tuple[int, int]] = []  # ranges of late
+    for n in range(len(late)):
+        first = n + 1 - matches[at[n]]
+        if sums[n + 1] - sums[first] < min_words:
+            continue
+        while out and first < out[-1][1]:
+            first = min(first, out.pop()[0])
+        out.append((first, n + 1))
+    return [(late[a][2], late[b - 1][2], sums[b] - sums[a]) for a, b in out if b > a]
+
+
 def common_blocks(shared: list[dict], min_words: int) -> list[tuple[int, int, int]]:
     """(first line, last line, words) of the later text's aligned blocks.
 
@@ -137,6 +216,7 @@ def common_blocks(shared: list[dict], min_words: int) -> list[tuple[int, int, in
             last = p, q
         found = [b for b in blocks if b[2] >= min_words]
         if not found:
+            out += shared_runs(early, late, [row["words"] for row in shared], min_words)
             break
         out += found
         # Blocks in another order can't all be aligned at once: what is left is aligned again.

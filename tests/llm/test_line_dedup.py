@@ -87,3 +87,56 @@ def test_documents_equal_brute_force(spark):
     odd = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, passage + "\nend"), (2, passage + "\nend")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in L.dedup_lines(odd).collect()) == [(0, passage), (1, passage), (1, passage), (2, "end"), (2, "end")]
     assert L.dedup_lines(odd.limit(0)).count() == 0
+
+
+def run_left(early, late, gone, words, min_words):
+    """Whether a run of min_words words that stands in both is left of late, by looking at all pairs of places."""
+    for i in range(len(early)):
+        for j in range(len(late)):
+            n = k = 0
+            while i + k < len(early) and j + k < len(late) and early[i + k] == late[j + k] and j + k not in gone:
+                n, k = n + words[early[i + k]], k + 1
+            if n >= min_words:
+                return True
+    return False
+
+
+def in_a_run(early, late, words, min_words):
+    """Places of late that some run of min_words words, which early has too, covers."""
+    out = set()
+    for i in range(len(early)):
+        for j in range(len(late)):
+            n = k = 0
+            while i + k < len(early) and j + k < len(late) and early[i + k] == late[j + k]:
+                n, k = n + words[early[i + k]], k + 1
+            if n >= min_words:
+                out.update(range(j, j + k))
+    return out
+
+
+def test_no_run_is_left():
+    def gone(early, late, words, min_words):
+        both = sorted(set(early) & set(late))
+        shared = [
+            {"words": words[x], "early": [p for p, y in enumerate(early) if y == x], "late": at, "line": at}
+            for x in both for at in [[p for p, y in enumerate(late) if y == x]]
+        ]
+        return {k for a, b, _ in L.common_blocks(shared, min_words) for k in range(a, b + 1)}
+
+    words = {"P": 60, "Q": 30, "a": 2, "b": 3, "s": 4, "x": 5, "y": 1, "u": 9, "v": 12}
+    assert gone("Payb", "axbP", words, 25) == {3}
+    assert gone("Ps", "sxP", words, 25) == {2}
+    # P stands alone in the first but for its neighbour s: both go where they are together.
+    assert gone("PsPs", "sPsP", words, 25) == {0, 1, 2, 3}
+    rng = random.Random(5)
+    for _ in range(3000):
+        early, late = (["".join(rng.choice("PQabsxyuv"[: rng.randint(3, 9)]) for _ in range(rng.randint(0, 12)))][0] for _ in range(2))
+        cut = gone(early, late, words, 25)
+        assert not run_left(early, late, cut, words, 25)
+        assert cut <= in_a_run(early, late, words, 25)
+
+
+def test_moved_line_goes(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"{long}\nshort"), (2, f"short\nother\n{long}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == {1: f"{long}\nshort", 2: "short\nother"}
