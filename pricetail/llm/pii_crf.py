@@ -267,23 +267,25 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Stretches of text that hold all tokens within REACH of a trigger."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        if out and m.start() < out[-1][2]:
-            continue
         if m[0].lower() == "at" and not _written(text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 80]):
             continue
+        # Every trigger has its own reach, also one inside the region of another.
+        inside = bool(out) and m.start() < out[-1][1]
         # Characters that surely hold REACH tokens of ordinary length; cut at white space.
+        stop = max(min(len(text), m.end() + 80), out[-1][1] if inside else 0)
+        while stop < len(text) and not text[stop].isspace() and stop - m.end() < 200:
+            stop += 1
+        if inside:
+            out[-1][1] = stop
+            continue
         start = max(out[-1][1] if out else 0, m.start() - 60)
         while start > 0 and not text[start - 1].isspace() and m.start() - start < 120:
             start -= 1
-        stop = min(len(text), m.end() + 80)
-        while stop < len(text) and not text[stop].isspace() and stop - m.end() < 200:
-            stop += 1
-        last = max((x.end() for x in _TRIGGER.finditer(text, m.start(), stop)), default=m.end())
         if out and start <= out[-1][1]:
-            out[-1][1], out[-1][2] = stop, last
+            out[-1][1] = stop
         else:
-            out.append([start, stop, last])
-    return [(a, b) for a, b, _ in out]
+            out.append([start, stop])
+    return [(a, b) for a, b in out]
 
 
 def variants(rng: random.Random) -> tuple[str, str]:

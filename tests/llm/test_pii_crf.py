@@ -102,3 +102,14 @@ def test_documents(spark, model):
     assert hashlib.sha256(by_id[1].base.encode()).hexdigest().startswith("e3b0c442")
     assert P.personal_data(docs.limit(0), model).count() == 0
     assert P.fit(docs.limit(0)).weights
+
+
+def test_regions_change_no_result(model):
+    """Entities at the end of another trigger's reach are found as in the whole text."""
+    for form in ("name at host dot com", "name @ host.org"):
+        for gap in range(50, 100):
+            text = "see 7 " + ("word " * 30)[: gap - 1] + " " + form + " and so on " + "word " * 30
+            found = P.tokens(text)
+            whole = [(k, found[a][1], found[b - 1][2]) for a, b, k in model.decode([t for t, _, _ in found])]
+            assert model.spans(text) == whole
+            assert any(k == "email" and text[a:b].endswith(form[4:]) for k, a, b in whole)
