@@ -241,3 +241,35 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return sharded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, scratch_path(spark, "shards"), again=True)
+
+
+NEGATIVES_SQL = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q, row_number() OVER () AS r
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id,
+         list_inner_product(a.q, c.q)::BIGINT AS score
+  FROM kept AS a JOIN kept AS c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k
+  FROM scored WHERE same QUALIFY k <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY a, k ORDER BY score DESC, id)::INTEGER AS rank,
+         id AS negative_id, positive_score, score AS negative_score
+  FROM positives AS p JOIN scored AS s USING (a)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
