@@ -273,3 +273,44 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", moved))
+
+
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+         length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS content, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list(md5(content) ORDER BY place) AS marks, list(chars ORDER BY place) AS chars FROM turns GROUP BY conv_id),
+borrowed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 6 AS h FROM lists),
+rebuilt AS (
+  SELECT b.conv_id, list_concat(coalesce(t.marks[1:b.h], []), b.marks[b.h + 1:]) AS marks,
+         list_concat(coalesce(t.chars[1:b.h], []), b.chars[b.h + 1:]) AS chars
+  FROM borrowed AS b LEFT JOIN lists AS t ON t.conv_id = b.conv_id - b.conv_id % 100),
+members AS (
+  SELECT conv_id, depth, array_to_string(marks[1:depth], '') AS node, CASE WHEN depth > 0 THEN array_to_string(marks[1:depth - 1], '') END AS parent,
+         CASE WHEN depth > 0 THEN chars[depth] ELSE 0 END AS chars, depth = len(marks) AS ends
+  FROM (SELECT *, unnest(range(0, len(marks) + 1)) AS depth FROM rebuilt)),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(chars) AS spare,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node),
+counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children FROM nodes AS n
+  LEFT JOIN nodes AS p ON p.node = n.parent LEFT JOIN (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent) AS k ON k.node = n.node),
+sums AS (
+  SELECT a.node, sum((c.n_children = 0)::INTEGER) AS n_leaves, sum(c.spare) AS saved_tokens
+  FROM counted AS c JOIN members AS a ON a.conv_id = c.conv_id AND a.depth <= c.depth GROUP BY a.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (node)
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import memberships, ordered_turns, prefix_trie, rebuilt
+
+    turns = ordered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return prefix_trie(memberships(*rebuilt(turns, c - c % 100, F.crc32(c.cast("string")) % 6, most=5)))
