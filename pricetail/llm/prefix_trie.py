@@ -235,7 +235,7 @@ def subtree_sums(nodes: DataFrame, members: DataFrame, values: list[str]) -> Dat
         ready.append(state.filter(F.col("whole") <= COMPONENT_ROWS))
         state, centres = _split(state.filter(F.col("whole") > COMPONENT_ROWS), members, values)
         done.append(centres)
-        largest = state.agg(F.max("whole")).scalar()
+        largest = state.agg(F.max("whole")).first()[0]
     small = state
     for one in ready:
         small = small.unionByName(one)
