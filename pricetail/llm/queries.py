@@ -314,3 +314,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = ordered_turns(table(spark, sf_dir, "conversations"))
     c = F.col("conv_id")
     return prefix_trie(memberships(*rebuilt(turns, c - c % 100, F.crc32(c.cast("string")) % 6, most=5)))
+
+
+@query("op13_log_bilinear")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .log_bilinear import language_scores
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return language_scores(docs, held_out)
