@@ -13,9 +13,9 @@ data from noise words on its own rows (shared noise for each batch of tokens);
 the parameters are averaged by the number of tokens.  What comes to the driver is
 the size of the model, or at most ``LISTED`` words.
 
-A word is listed if it makes up more than one token in ``LISTED``, so there are
-fewer than that many; tasks know their counts.  All other words meet their counts
-in a join, in which no word can be hot.
+The most frequent words, at most ``LISTED``, are known to every task with their
+counts.  All other words meet their counts in a join; each makes up little more
+than one token in ``LISTED`` at most, so none is hot.
 
 Odd rows: a null text is empty and has one token, its end.  A null id counts as
 the empty text in the choice of held-out rows.  Repeated rows count and are scored
@@ -28,33 +28,32 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import body, saved
 
-LISTED = 20_000
+LISTED = 200_000
+# Frequencies are told apart by this many steps to the power of two when the list is cut.
+STEPS = 16
 CLASSES = 1024
 WIDTH = 16
 ROUNDS = 3
 BATCH = 2048
 # Noise words drawn for a batch, and how many a token counts as compared with.
-NOISE = 64
+NOISE = 32
 RATIO = 20
 RATE = 0.1
 LONG_WORD = 64
 # Bytes of text that are handled at once, and classes times contexts in scoring.
-PIECE = 4 << 20
+PIECE = 8 << 20
 _CELLS = 4 << 20
-# A task's counts are passed on when there are more words than this.
-_WORDS_HELD = 300_000
 # Parameters travel as whole numbers, so that their sums do not depend on the order of tasks.
 _FIXED = 1 << 20
 
@@ -62,14 +61,6 @@ END, REST = b"", 0
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def words(text: bytes) -> list[bytes]:
-    """Lower-cased words; bytes.split() cuts at the six ASCII white-space characters."""
-    found = text.lower().split()
-    if len(text) > LONG_WORD and max(map(len, found), default=0) > LONG_WORD:
-        found = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).hexdigest().encode() for w in found]
-    return found
-
-
 def pieces(text: bytes) -> Iterator[bytes]:
     """The text, cut at white space into pieces a task can hold."""
     at = 0
@@ -82,32 +73,57 @@ def pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about a piece of text each."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch["text"])), dtype="int64")
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def words(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Row numbers and lower-cased words of the texts, a part of them at a time."""
+    if len(texts) == 1 and len(texts[0].as_buffer()) > PIECE:
+        parts = (pa.array([piece.decode()]) for piece in pieces(texts[0].as_py().encode()))
+    else:
+        parts = iter([texts])
+    for part in parts:
+        # Arrow's white space is the six ASCII characters, and its lower case A-Z only.
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        found = lists.flatten()
+        size = np.asarray(pc.binary_length(found))
+        at = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(lists)))
+        if not size.all():
+            found, at, size = found.filter(pa.array(size > 0)), at[size > 0], size[size > 0]
+        found = found.cast(pa.binary())
+        if (size > LONG_WORD).any():
+            long = pa.array(size > LONG_WORD)
+            named = [b" " + hashlib.sha256(w.as_buffer()).hexdigest().encode() for w in found.filter(long)]
+            found = pc.replace_with_mask(found, long, pa.array(named, pa.binary()))
+        yield at, found
+
+
 # --- counts ---------------------------------------------------------------------------
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = {True: Counter(), False: Counter()}
-
-    def flush() -> pa.RecordBatch:
-        seen = [*held[True].items()], [*held[False].items()]
-        batch = pa.record_batch(
-            {
-                "word": pa.array([w for part in seen for w, _ in part], pa.binary()),
-                "n": pa.array([n for part in seen for _, n in part], pa.int64()),
-                "c": pa.array([n for _, n in seen[0]] + [0] * len(seen[1]), pa.int64()),
-            }
-        )
-        held[True].clear(), held[False].clear()
-        return batch
+    """Counts of the words of each slice: in all rows (n), in those to learn from (c)."""
+
+    def counts(found: pa.Array, training: bool) -> pa.RecordBatch:
+        seen = found.value_counts()
+        n = seen.field("counts")
+        return pa.record_batch({"word": seen.field("values"), "n": n, "c": n if training else pa.array(np.zeros(len(n), "int64"))})
 
     for batch in batches:
-        for text, training in zip(batch["text"], batch["training"].to_pylist()):
-            for piece in pieces(text.as_py()):
-                held[training].update(words(piece))
-            held[training][END] += 1
-            if len(held[True]) + len(held[False]) > _WORDS_HELD:
-                yield flush()
-    yield flush()
+        for training in (True, False):
+            rows = batch.filter(batch["training"] if training else pc.invert(batch["training"]))
+            if len(rows):
+                yield counts(pa.array([END] * len(rows), pa.binary()), training)
+            for part in slices(rows):
+                for _, found in words(part["text"]):
+                    yield counts(found, training)
 
 
 @dataclass
@@ -116,7 +132,7 @@ class Vocabulary:
 
     tokens: int
     kinds: int
-    words: dict[bytes, int]
+    words: list[bytes]
     classes: np.ndarray
     base: np.ndarray
     known: np.ndarray
@@ -135,10 +151,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, classes: int = CLASSES) -> Vocabulary:
-    total, tokens, kinds = counts.agg(F.sum("n"), F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    total, tokens = total or 0, tokens or 0
-    # Fewer than LISTED words can hold more than one token in LISTED.
-    listed = [(bytes(r.word), r.c) for r in counts.filter(F.col("n") * LISTED > F.lit(total).cast("long")).select("word", "c").collect()]
+    tokens, kinds = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    tokens = tokens or 0
+    # The lowest step of frequencies down to which the words still fit the list.
+    step = F.floor(F.log2("n") * STEPS)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    least, held = None, 0
+    for row in sorted(sizes, reverse=True):
+        held += row["words"]
+        if held > LISTED:
+            break
+        least = row["step"]
+    rows = counts.filter(step >= F.lit(least if least is not None else 1 << 62)).select("word", "c").toArrow()
+    listed = list(zip(rows["word"].to_pylist(), rows["c"].to_pylist()))
     listed = sorted((w for w in listed if w[0] != END), key=lambda w: (-w[1], w[0]))
     ends = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     listed.insert(0, (END, ends))
@@ -154,75 +179,47 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES) -> Vocabulary:
     base[-1] = rest[-1] = 0.0
     sizes = np.concatenate([[rest_tokens], in_class]) + 0.5
     return Vocabulary(
-        int(tokens), int(kinds), {w: k for k, (w, _) in enumerate(listed)}, class_of, base, c > 0, rest, sizes, rest_tokens, rest_kinds
+        int(tokens), int(kinds), [w for w, _ in listed], class_of, base, c > 0, rest, sizes, rest_tokens, rest_kinds
     )
 
 
 def _encoded(vocab: Vocabulary):
-    """Each text as classes, with what its listed words add up to and a count of its other words."""
+    """Each text as classes, with what its listed words add up to, and its other words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, last = vocab.words.get, len(vocab.words)
-
-        def codes(found: list[bytes]) -> np.ndarray:
-            return np.fromiter(map(get, found, repeat(last)), dtype="int32", count=len(found))
-
-        end = codes([END])
-        for batch in batches:
+        listed, last = pa.array(vocab.words, pa.binary()), len(vocab.words)
+        end = vocab.words.index(END)
+        tail = vocab.classes[end].tobytes()
+        for batch in (part for whole in batches for part in slices(whole)):
             n = len(batch)
-            ids, others = [[] for _ in range(n)], [None] * n
+            classes, others, owner = [b""] * n, [], []
             sums = np.zeros((3, n))
             sizes = np.zeros(n, dtype="int64")
-
-            def handle(parts: list[tuple[int, list[bytes]]]) -> None:
-                found = [w for _, part in parts for w in part]
-                coded = codes(found)
-                at = np.repeat([i for i, _ in parts], [len(part) for _, part in parts])
+            for at, found in words(batch["text"]):
+                coded = np.asarray(pc.index_in(found, value_set=listed).fill_null(last))
                 for s, table in enumerate((vocab.base, vocab.known, vocab.rest)):
-                    sums[s] += np.bincount(at, weights=table[coded], minlength=n)[:n]
-                sizes[:] += np.bincount(at, minlength=n)
-                kinds, lo = vocab.classes[coded], 0
+                    sums[s] += np.bincount(at, weights=table[coded], minlength=n)
+                counted = np.bincount(at, minlength=n)
+                sizes += counted
+                kinds = vocab.classes[coded].tobytes()
+                edges = np.concatenate([[0], np.cumsum(counted)]) * 2
+                for i in np.flatnonzero(counted).tolist():
+                    classes[i] += kinds[edges[i] : edges[i + 1]]
                 new = coded == last
-                for i, part in parts:
-                    hi = lo + len(part)
-                    ids[i].append(kinds[lo:hi].tobytes())
-                    rare = np.flatnonzero(new[lo:hi])
-                    if len(rare):
-                        others[i] = others[i] or Counter()
-                        others[i].update([part[k] for k in rare.tolist()])
-                    lo = hi
-
-            waiting, held = [], 0
-            for i, text in enumerate(batch["text"]):
-                for piece in pieces(text.as_py()):
-                    waiting.append((i, words(piece)))
-                    held += len(piece)
-                    if held > PIECE:
-                        handle(waiting)
-                        waiting, held = [], 0
-            if waiting:
-                handle(waiting)
-            counters = [x or {} for x in others]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in counters])]).astype("int32")
-            listed = pa.StructArray.from_arrays(
-                [
-                    pa.array([w for x in counters for w in x], pa.binary()),
-                    pa.array([k for x in counters for k in x.values()], pa.int64()),
-                ],
-                names=["word", "k"],
-            )
-            tail = vocab.classes[end].tobytes()
+                others.append(found.filter(pa.array(new)))
+                owner.append(at[new])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(owner), minlength=n))]).astype("int32")
             yield pa.record_batch(
                 {
                     "row": batch["row"],
                     "doc_id": batch["doc_id"],
                     "training": batch["training"],
                     "n_tokens": pa.array(sizes + 1),
-                    "classes": pa.array([b"".join(x) + tail for x in ids], pa.binary()),
-                    "base": pa.array(sums[0] + vocab.base[end[0]]),
-                    "known": pa.array(sums[1].astype("int64") + int(vocab.known[end[0]])),
+                    "classes": pa.array([x + tail for x in classes], pa.binary()),
+                    "base": pa.array(sums[0] + vocab.base[end]),
+                    "known": pa.array(sums[1].astype("int64") + int(vocab.known[end])),
                     "rest": pa.array(sums[2]),
-                    "others": pa.ListArray.from_arrays(pa.array(offsets), listed),
+                    "others": pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(others)),
                 }
             )
 
@@ -383,7 +380,7 @@ def _class_scores(model: Model):
         out, rows, lo = [], column.to_pylist(), 0
         while lo < len(rows):
             hi, held = lo, 0
-            while hi < len(rows) and (hi == lo or held + len(rows[hi]) <= 2 * PIECE):
+            while hi < len(rows) and (hi == lo or held + len(rows[hi]) <= PIECE // 4):
                 held += len(rows[hi])
                 hi += 1
             classes, sizes = _tokens(rows[lo:hi])
@@ -401,7 +398,7 @@ def language_scores(docs: DataFrame, held_out: Column, classes: int = CLASSES, w
     ``base_score`` adds up the log10 of smoothed shares of single tokens, ``score``
     the log10 of the model's probabilities; both learn from rows not held out.
     """
-    texts = docs.select("doc_id", (~held_out).alias("training"), F.encode(body(), "UTF-8").alias("text"))
+    texts = docs.select("doc_id", (~held_out).alias("training"), body().alias("text"))
     counts = texts.select("text", "training").mapInArrow(_counted, "word binary, n long, c long")
     counts = saved(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
     vocab = vocabulary(counts, classes)
@@ -409,15 +406,15 @@ def language_scores(docs: DataFrame, held_out: Column, classes: int = CLASSES, w
     encoded = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "training", "text").mapInArrow(
         _encoded(vocab),
         f"row long, doc_id {kind}, training boolean, n_tokens long, classes binary, base double, known long, rest double, "
-        "others array<struct<word: binary, k: long>>",
+        "others array<binary>",
     )
     encoded = saved(encoded, "encoded")
     model = fit(encoded, vocab, rounds, width)
-    others = encoded.select("row", F.explode("others").alias("other")).select("row", "other.word", "other.k")
+    others = encoded.select("row", F.explode("others").alias("word"))
     others = others.join(counts.filter(F.col("word") != F.lit(END)).select("word", "c"), "word")
-    share = lambda total: F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(total)))
+    share = lambda total: F.sum(F.log10((F.col("c") + 0.5) / F.lit(total)))
     others = others.groupBy("row").agg(
-        share(vocab.base_total).alias("o_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("o_known"), share(vocab.rest_total).alias("o_rest")
+        share(vocab.base_total).alias("o_base"), F.count_if(F.col("c") > 0).alias("o_known"), share(vocab.rest_total).alias("o_rest")
     )
     scored = encoded.select("row", "doc_id", "training", "n_tokens", "base", "known", "rest", _class_scores(model)("classes").alias("model"))
     zero = F.lit(0.0)

@@ -57,7 +57,6 @@ def test_base_against_brute_force(spark, monkeypatch):
     # Few listed words and pieces of a few bytes: most words go through the join.
     monkeypatch.setattr(L, "LISTED", 30)
     monkeypatch.setattr(L, "PIECE", 50)
-    monkeypatch.setattr(L, "_WORDS_HELD", 20)
     check(spark, rows, classes=5)
 
 
