@@ -8,8 +8,12 @@ updates one small table of effects per dimension.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -25,6 +29,13 @@ SALTS = 64
 
 # Largest last movement of an effect, in standard deviations of its variable.
 TOLERANCE = 1e-9
+# Effects of all dimensions together that the driver may hold, levels times variables: 64 MB.
+HELD_CELLS = 8 << 20
+PLANNED_CELLS = 1 << 14
+# Records of one task in a step on vectors.
+ROWS_A_TASK = 100_000
+# Sweeps that an extrapolation looks back on.
+MEMORY = 8
 # Effects are written out as tables in every third sweep, checkpointed in others.
 WRITE_EVERY = 3
 MAX_SWEEPS = 1000
@@ -107,7 +118,8 @@ def absorb(
 ) -> list[Effects]:
     """Level effects of every column, by sweeping the dimensions in their order.
 
-    Each step sets a dimension's effects to the weighted mean of what the other
+    Effects that all fit the driver are swept as vectors (:func:`_swept_vectors`),
+    larger ones as tables; the limit is the same.  Each step sets a dimension's effects to the weighted mean of what the other
     dimensions leave over; every few sweeps the effects are extrapolated.  The
     sweeps start from zero and stop when no effect
     of the second and later dimensions moves by more than ``tol`` standard
@@ -119,13 +131,17 @@ def absorb(
     if len(dims) > 1:
         spread = records.agg(*[F.expr(f"stddev_pop(`{c}`) AS `{c}`") for c in columns]).first()
         unit = {c: float(spread[c]) if spread[c] else 1.0 for c in columns}
+    keys_of = [[*by, *[c for c in dim if c not in by]] for dim in dims]
+    if len(dims) > 1:
+        held = _swept_vectors(records, keys_of, columns, weight, unit, tol, max_sweeps)
+        if held is not None:
+            return held
     found: list[Effects | None] = [None] * len(dims)
     history: list[list[DataFrame]] = [[] for _ in dims]
     for sweep in range(max_sweeps):
         moved = 0.0
         written = sweep % WRITE_EVERY == WRITE_EVERY - 1
-        for d, dim in enumerate(dims):
-            keys = [*by, *[c for c in dim if c not in by]]
+        for d, keys in enumerate(keys_of):
             others = [None if i == d else e for i, e in enumerate(found)]
             frame, left = remove_effects(records, others, columns, record_keys)
             means = [f"sum({weight} * ({left[c]})) / sum({weight}) AS `{c}`" for c in columns]
@@ -156,6 +172,122 @@ def absorb(
     return found
 
 
+# --- effects as vectors ------------------------------------------------------------------
+
+
+def _swept_vectors(
+    records: DataFrame, keys_of: list[list[str]], columns: list[str], weight: str, unit: dict[str, float], tol: float, max_sweeps: int
+) -> list[Effects] | None:
+    """The same sweeps with the effects as vectors on the driver, or None if they would not fit.
+
+    Levels get numbers once.  A step is then one job: tasks take the vectors of
+    the other dimensions off their records and add up what is left by level; the
+    driver receives one sum a level.  Records are never moved.
+    """
+    spark = records.sparkSession
+    known, held = [], 0
+    for keys in keys_of:
+        room = HELD_CELLS // len(columns) - held
+        table = records.groupBy(*keys).agg(F.expr("count(1) AS _records"), F.expr(f"sum({weight}) AS _weight"))
+        known.append(table.limit(room + 1).toArrow())
+        held += len(known[-1])
+        if held > HELD_CELLS // len(columns):
+            return None
+    sizes = [len(table) for table in known]
+    coded = records
+    for d, (keys, table) in enumerate(zip(keys_of, known)):
+        numbers = table.select(keys).append_column(f"_c{d}", pa.array(np.arange(len(table), dtype="int32")))
+        coded = coded.join(F.broadcast(spark.createDataFrame(numbers)), keys)
+    codes = [f"_c{d}" for d in range(len(keys_of))]
+    coded = coded.selectExpr(*codes, f"CAST({weight} AS DOUBLE) AS _w", *[f"CAST(`{c}` AS DOUBLE) AS `_x{i}`" for i, c in enumerate(columns)])
+    # Small tables in few tasks: a step is short, and starting tasks would be most of it.
+    rows = pc.sum(known[0]["_records"]).as_py() or 0
+    written = materialise(coded.coalesce(max(1, rows // ROWS_A_TASK)))
+    # Read in every step; what an executor loses is read again from the written table.
+    coded = written.persist()
+    weights = [np.asarray(table["_weight"].combine_chunks(), dtype="float64") for table in known]
+    effects = [np.zeros((n, len(columns))) for n in sizes]
+    scale = np.array([unit[c] for c in columns])
+    mixer = [Extrapolation(MEMORY) for _ in columns]
+    for sweep in range(max_sweeps):
+        start = np.concatenate(effects[1:])
+        for d in range(len(effects)):
+            effects[d] = _level_sums(coded, effects, d, len(columns)) / weights[d][:, None]
+        after = np.concatenate(effects[1:])
+        moved = float((np.abs(after - start) / scale).max()) if after.size else 0.0
+        if moved < tol:
+            break
+        mixed = np.column_stack([m.next(start[:, i], after[:, i]) for i, m in enumerate(mixer)])
+        effects[1:] = np.split(mixed, np.cumsum(sizes[1:])[:-1])
+    else:
+        raise NotConverged(f"effects still move by {moved:.1e} standard deviations after {max_sweeps} sweeps")
+    coded.unpersist()
+    discard(written)
+    out = []
+    for keys, table, values, n in zip(keys_of, known, effects, sizes):
+        whole = table.select([*keys, "_records"])
+        for i, c in enumerate(columns):
+            whole = whole.append_column(c, pa.array(values[:, i]))
+        one = spark.createDataFrame(whole)
+        # A small table travels in the plans that use it.
+        small = n * len(columns) <= PLANNED_CELLS
+        out.append(Effects(keys, one if small else materialise(one), n, len(keys) + len(columns) + 1))
+    return out
+
+
+def _level_sums(coded: DataFrame, effects: list[np.ndarray], d: int, width: int) -> np.ndarray:
+    """Weighted sums by level of dimension ``d`` of what the other dimensions leave over."""
+    others = coded.sparkSession.sparkContext.broadcast({i: e for i, e in enumerate(effects) if i != d})
+    levels = len(effects[d])
+    names = [f"_x{i}" for i in range(width)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = None, None
+        for batch in batches:
+            level, w = np.asarray(batch[f"_c{d}"]), np.asarray(batch["_w"])
+            left = np.column_stack([np.asarray(batch[x]) for x in names])
+            for i, vector in others.value.items():
+                left -= vector[np.asarray(batch[f"_c{i}"])]
+            if sums is None:
+                sums, seen = np.zeros((levels, width)), np.zeros(levels, dtype=bool)
+            for i in range(width):
+                sums[:, i] += np.bincount(level, weights=w * left[:, i], minlength=levels)
+            seen[level] = True
+        if sums is not None:
+            at = np.flatnonzero(seen)
+            yield pa.record_batch({"level": pa.array(at, pa.int32()), **{x: pa.array(sums[at, i]) for i, x in enumerate(names)}})
+
+    parts = coded.mapInArrow(task, "level int, " + ", ".join(f"{x} double" for x in names))
+    found = parts.groupBy("level").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    out = np.zeros((levels, width))
+    out[np.asarray(found["level"].combine_chunks())] = np.column_stack([np.asarray(found[x].combine_chunks()) for x in names])
+    others.unpersist()
+    return out
+
+
+class Extrapolation:
+    """Where a linear fixed-point iteration is heading (Anderson's mixing).
+
+    The next point is a weighted mean of the last results, with weights that add
+    up to one and make their last moves cancel as far as they can.  So constants
+    that dimensions share stay where plain sweeps put them.
+    """
+
+    def __init__(self, memory: int):
+        self.memory = memory
+        self.points: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def next(self, start: np.ndarray, after: np.ndarray) -> np.ndarray:
+        self.points = [*self.points[-self.memory :], (after, after - start)]
+        if len(self.points) < 3:
+            # The first sweeps settle the sizes of the effects.
+            return after
+        results = np.column_stack([b[0] - a[0] for a, b in zip(self.points, self.points[1:])])
+        moves = np.column_stack([b[1] - a[1] for a, b in zip(self.points, self.points[1:])])
+        share = np.linalg.lstsq(moves, self.points[-1][1], rcond=1e-12)[0]
+        return after - results @ share
+
+
 def _extrapolate(found: list[Effects], history: list[list[DataFrame]], columns: list[str]) -> None:
     """Irons-Tuck step: carry the effects on along their last move.
 

@@ -159,3 +159,37 @@ def test_model_table(spark):
     df = spark.createDataFrame([("a", "m1", 1.0, 0.1), ("a", "m2", 2.0, 5.0)], "term string, model string, estimate double, std_error double")
     row = model_table(df, "model", ["m1", "m2"]).first()
     assert row["m1"] == "1.000***\n(0.100)" and row["m2"] == "2.000\n(5.000)"
+
+
+def test_vectors_and_tables_of_effects_agree(spark, monkeypatch):
+    """Sweeps on the driver's vectors and on tables have the same limit, split of constants included."""
+    from pricetail.operators import absorb as A
+
+    rng = np.random.default_rng(8)
+    rows = [(int(a), f"s{b}", int(c), float(y), int(a) % 2) for a, b, c, y in zip(rng.integers(0, 9, 300), rng.integers(0, 7, 300), rng.integers(0, 4, 300), rng.normal(5, 2, 300))]
+    df = spark.createDataFrame(rows, "a int, b string, c int, y double, g int")
+    dims = [["a"], ["b"], ["c", "b"]]
+    records = A.materialise(A.collapse(df, ["g", "a", "b", "c"], ["y"]))
+    found = []
+    for held in (A.HELD_CELLS, 0):
+        monkeypatch.setattr(A, "HELD_CELLS", held)
+        effects = A.absorb(records, ["g"], dims, ["y"], ["g", "a", "b", "c"], tol=1e-11)
+        found.append([{tuple(r[k] for k in e.keys): (r.y, r._records) for r in e.table.collect()} for e in effects])
+    for mine, theirs in zip(*found):
+        assert mine.keys() == theirs.keys()
+        for key, (value, n) in mine.items():
+            assert n == theirs[key][1] and abs(value - theirs[key][0]) < 1e-7
+
+
+def test_extrapolation_finds_the_fixed_point():
+    from pricetail.operators.absorb import Extrapolation
+
+    rng = np.random.default_rng(3)
+    turn = rng.normal(size=(12, 12))
+    turn = 0.97 * (turn + turn.T) / np.abs(np.linalg.eigvalsh(turn + turn.T)).max()
+    aim = rng.normal(size=12)
+    at, mixer = np.zeros(12), Extrapolation(8)
+    for _ in range(40):
+        after = aim + turn @ (at - aim)
+        at = mixer.next(at, after)
+    assert np.abs(at - aim).max() < 1e-8
