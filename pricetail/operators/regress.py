@@ -1,13 +1,15 @@
 """Linear models with absorbed fixed effects, clustered errors and instruments.
 
-The cluster computes sums of products; the driver only ever solves systems of
-as many equations as there are regressors, one per group.
+The cluster computes sums of products.  A fit without groups solves its one small
+system on the driver; with groups, each is solved in the task that holds its sums,
+and coefficients stay a table.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +19,14 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import format_estimate
 from .absorb import MAX_SWEEPS, TOLERANCE, Panel, build_panel
+from ..session import materialise
 from .groups import join_sized_table
 
 INTERCEPT = "(Intercept)"
 # Up to this many columns the products are plain SQL sums.
 SQL_COLUMNS = 12
+# Sums of products that a task holds for its groups before it passes them on: 32 MB.
+HELD_PRODUCTS = 4 << 20
 # A factor with more levels than this should be absorbed instead.
 MAX_FACTOR_LEVELS = 400
 # A regressor is dropped when less than this share of its variation is its own.
@@ -48,17 +53,41 @@ class Factor:
 class GroupFit:
     """Solved coefficients of one group."""
 
-    key: tuple
     terms: list[str]
     beta: np.ndarray
     covariance: np.ndarray
     n_obs: int
     dropped: list[str]
 
+    def rows(self) -> list[tuple]:
+        """Term, estimate, error, t, p and interval; a dropped term has NULLs."""
+        out = []
+        for i, term in enumerate(self.terms):
+            estimate = float(self.beta[i])
+            variance = float(self.covariance[i, i])
+            if not variance >= 0:
+                # No error can be given: not 0, which would claim certainty.
+                out.append((term, estimate, *[None] * 5))
+                continue
+            se = math.sqrt(variance)
+            t = estimate / se if se > 0 else None
+            p = math.erfc(abs(t) / math.sqrt(2)) if t is not None else None
+            out.append((term, estimate, se, t, p, estimate - 1.96 * se, estimate + 1.96 * se))
+        return out + [(term, *[None] * 6) for term in self.dropped]
+
+
+ENTRY = "term string, estimate double, std_error double, t double, p double, ci_low double, ci_high double"
+
 
 @dataclass
 class Fit:
-    """A fitted model, one set of coefficients per group."""
+    """A fitted model: one set of coefficients, or a table with one row per group.
+
+    ``solutions`` (with groups only) has the group's key, ``beta`` in the order of
+    ``terms`` (0 for a dropped term), ``n_obs`` and ``entries`` as in :meth:`tidy`.
+    Groups are solved where they are; only the result of a fit without groups is
+    on the driver.
+    """
 
     spark: SparkSession
     panel: Panel
@@ -66,6 +95,8 @@ class Fit:
     terms: list[str]
     groups: list[GroupFit]
     factors: list[Factor] = field(default_factory=list)
+    solutions: DataFrame | None = None
+    hidden: tuple[str, ...] = ()
 
     def tidy(self) -> DataFrame:
         """Term, estimate, standard error, t, p and 95 per cent interval.
@@ -73,29 +104,12 @@ class Fit:
         p and the interval use the normal distribution.  A term that was
         dropped as collinear is listed with NULL values.
         """
-        rows = []
-        for g in self.groups:
-            for i, term in enumerate(g.terms):
-                estimate = float(g.beta[i])
-                variance = float(g.covariance[i, i])
-                if not variance >= 0:
-                    # No error can be given: not 0, which would claim certainty.
-                    rows.append((*g.key, term, estimate, *[None] * 5, g.n_obs))
-                    continue
-                se = math.sqrt(variance)
-                t = estimate / se if se > 0 else None
-                p = math.erfc(abs(t) / math.sqrt(2)) if t is not None else None
-                rows.append((*g.key, term, estimate, se, t, p, estimate - 1.96 * se, estimate + 1.96 * se, g.n_obs))
-            rows += [(*g.key, term, *[None] * 6, g.n_obs) for term in g.dropped]
-        types = {f.name: f for f in self.panel.table.schema.fields}
-        numbers = ["estimate", "std_error", "t", "p", "ci_low", "ci_high"]
-        schema = T.StructType(
-            [types[c] for c in self.panel.by]
-            + [T.StructField("term", T.StringType())]
-            + [T.StructField(c, T.DoubleType()) for c in numbers]
-            + [T.StructField("n_obs", T.LongType())]
-        )
-        return self.spark.createDataFrame(rows, schema)
+        if self.solutions is not None:
+            by = [F.col(c) for c in self.panel.by]
+            entries = self.solutions.select(*by, F.explode("entries").alias("e"), "n_obs").select(*by, "e.*", "n_obs")
+            return entries.where(~F.col("term").isin(list(self.hidden))) if self.hidden else entries
+        rows = [(*row, g.n_obs) for g in self.groups for row in g.rows()]
+        return self.spark.createDataFrame(rows, f"{ENTRY}, n_obs long")
 
     def without_intercept(self) -> Fit:
         """The same fit with the intercept left out of its terms."""
@@ -103,94 +117,103 @@ class Fit:
         for g in self.groups:
             keep = [i for i, term in enumerate(g.terms) if term != INTERCEPT]
             cov = g.covariance[np.ix_(keep, keep)]
-            groups.append(GroupFit(g.key, [g.terms[i] for i in keep], g.beta[keep], cov, g.n_obs, g.dropped))
-        return Fit(self.spark, self.panel, self.y, [t for t in self.terms if t != INTERCEPT], groups, self.factors)
+            groups.append(GroupFit([g.terms[i] for i in keep], g.beta[keep], cov, g.n_obs, g.dropped))
+        if self.solutions is not None:
+            return replace(self, hidden=(INTERCEPT,))
+        return replace(self, terms=[t for t in self.terms if t != INTERCEPT], groups=groups)
 
     def coefficients(self, key: tuple = ()) -> dict[str, float]:
-        for g in self.groups:
-            if g.key == key:
-                return dict(zip(g.terms, (float(b) for b in g.beta)))
-        raise KeyError(key)
+        """Coefficients of the terms kept, of one group where there are groups."""
+        if self.solutions is not None:
+            wanted = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(self.panel.by, key, strict=True)])
+            row = self.solutions.where(wanted).select("entries").first()
+            if row is None:
+                raise KeyError(key)
+            return {e.term: e.estimate for e in row.entries if e.estimate is not None}
+        if key or not self.groups:
+            raise KeyError(key)
+        [group] = self.groups
+        return dict(zip(group.terms, (float(b) for b in group.beta)))
 
 
 # --- sums of products -------------------------------------------------------
 
 
-def _gram(df: DataFrame, by: list[str], products: dict[tuple[int, int], str], size: int, extra: str):
-    """Per group the symmetric matrix of summed products, with one more aggregate."""
-    sums = [f"sum({e}) AS g_{i}_{j}" for (i, j), e in products.items()]
-    found = {}
-    for row in df.groupBy(*by).agg(*map(F.expr, [*sums, extra])).collect():
-        matrix = np.zeros((size, size))
-        for i, j in products:
-            matrix[i, j] = matrix[j, i] = row[f"g_{i}_{j}"] or 0.0
-        found[tuple(row[c] for c in by)] = (matrix, row)
-    return found
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
 
 
-def _wide_gram(df: DataFrame, by: list[str], columns: list[str], weight: str | None):
-    """The same for many columns: each task sums outer products, then tasks add up."""
-    names, keys = list(columns), list(by)
-    size = len(names)
+def _wide_sums(df: DataFrame, by: list[str], columns: list[str], weight: str, inner: dict[tuple[int, int], str]) -> DataFrame:
+    """Summed products of many columns: tasks sum outer products, then tasks add up.
+
+    ``inner`` names columns that are added to the product of a pair as they are.
+    """
+    names, keys, size = list(columns), list(by), len(columns)
+    i, j = np.triu_indices(size)
+    place = {pair: k for k, pair in enumerate(zip(i.tolist(), j.tolist()))}
 
     def partial(batches):
         total: dict[tuple, np.ndarray] = {}
+
+        def flushed():
+            for key, (sums, rows) in total.items():
+                frame = pd.DataFrame({"k": np.arange(-1, len(sums)), "value": np.concatenate([[rows], sums])})
+                for name, part in zip(keys, key):
+                    frame[name] = part
+                yield frame[[*keys, "k", "value"]]
+            total.clear()
+
         for batch in batches:
             groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
             for key, part in groups:
+                x, w = part[names].to_numpy(dtype="float64"), part[[weight]].to_numpy(dtype="float64")
+                sums = (x.T @ (x * w))[i, j]
+                for pair, column in inner.items():
+                    sums[place[pair]] += part[column].sum()
                 key = key if isinstance(key, tuple) else (key,)
-                x = part[names].to_numpy(dtype="float64")
-                w = x if weight is None else x * part[[weight]].to_numpy(dtype="float64")
-                total[key] = total.get(key, 0.0) + x.T @ w
-        for key, matrix in total.items():
-            i, j = np.triu_indices(size)
-            frame = pd.DataFrame({"i": i, "j": j, "value": matrix[i, j]})
-            for name, part in zip(keys, key):
-                frame[name] = part
-            yield frame[[*keys, "i", "j", "value"]]
+                before = total.get(key, (0.0, 0.0))
+                total[key] = before[0] + sums, before[1] + w.sum()
+                if len(total) * len(i) > HELD_PRODUCTS:
+                    yield from flushed()
+        yield from flushed()
 
     types = {f.name: f for f in df.schema.fields}
-    schema = T.StructType(
-        [types[c] for c in keys]
-        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
-        + [T.StructField("value", T.DoubleType())]
-    )
-    needed = [*keys, *names, *([weight] if weight else [])]
+    schema = T.StructType([types[c] for c in keys] + [T.StructField("k", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    needed = [F.col(c) for c in dict.fromkeys([*keys, *names, weight, *inner.values()])]
     parts = df.select(*needed).mapInPandas(partial, schema)
-    found: dict[tuple, np.ndarray] = {}
-    for row in parts.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value")).collect():
-        matrix = found.setdefault(tuple(row[c] for c in keys), np.zeros((size, size)))
-        matrix[row["i"], row["j"]] = matrix[row["j"], row["i"]] = row["value"]
-    return found
+    sums = parts.groupBy(*keys, "k").agg(F.sum("value").alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("k", "value")))
+    whole = sums.groupBy(*keys).agg(F.transform(listed, lambda s: s["value"]).alias("all"))
+    return whole.where(F.size("all") > 0).select(*keys, F.col("all")[0].cast("long").alias("n_obs"), F.slice("all", 2, len(i)).alias("gram"))
 
 
-def panel_gram(panel: Panel, columns: list[str]):
-    """Summed products of demeaned variables and the row count, per group."""
-    pairs = {(i, j): (a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j}
+def panel_gram(panel: Panel, columns: list[str]) -> DataFrame:
+    """Per group the row count and, as ``gram``, the summed products of demeaned variables (i <= j)."""
+    pairs = {(i, j): (columns[i], columns[j]) for i, j in _pairs(len(columns))}
     if len(columns) <= SQL_COLUMNS:
-        products = {ij: panel.product(a, b) for ij, (a, b) in pairs.items()}
-        found = _gram(panel.table, panel.by, products, len(columns), "sum(n) AS n_obs")
-        return {k: (m, int(row["n_obs"])) for k, (m, row) in found.items() if row["n_obs"]}
-    inner = {ij: f"`_w_{a}__{b}`" for ij, (a, b) in pairs.items() if f"_w_{a}__{b}" in panel.table.columns}
-    within = _gram(panel.table, panel.by, inner, len(columns), "sum(n) AS n_obs")
-    between = _wide_gram(panel.table, panel.by, columns, "n")
-    return {k: (m + between[k], int(row["n_obs"])) for k, (m, row) in within.items() if row["n_obs"]}
+        sums = F.array(*[F.expr(f"sum({panel.product(a, b)})") for a, b in pairs.values()])
+        return panel.table.groupBy(*panel.by).agg(F.sum("n").alias("n_obs"), sums.alias("gram")).where("n_obs > 0")
+    inner = {ij: f"_w_{a}__{b}" for ij, (a, b) in pairs.items() if f"_w_{a}__{b}" in panel.table.columns}
+    return _wide_sums(panel.table, panel.by, columns, "n", inner)
+
 
+def score_gram(scores: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Per ``by`` the number of clusters and, as ``gram``, the summed outer products of their scores."""
+    if len(columns) <= SQL_COLUMNS:
+        sums = F.array(*[F.expr(f"sum({columns[i]} * {columns[j]})") for i, j in _pairs(len(columns))])
+        return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), sums.alias("gram"))
+    return _wide_sums(scores.withColumn("_one", F.lit(1.0)), by, columns, "_one", {})
 
-def score_gram(scores: DataFrame, by: list[str], columns: list[str]):
-    """Summed outer products of cluster scores and the cluster count, per group."""
-    counted = "count(1) AS clusters"
-    size = len(columns)
-    if size <= SQL_COLUMNS:
-        products = {(i, j): f"{columns[i]} * {columns[j]}" for i in range(size) for j in range(i, size)}
-        found = _gram(scores, by, products, size, counted)
-        return {k: (m, int(row["clusters"])) for k, (m, row) in found.items()}
-    wide = _wide_gram(scores, by, columns, None)
-    counts = {tuple(r[c] for c in by): r["clusters"] for r in scores.groupBy(*by).agg(F.expr(counted)).collect()}
-    return {k: (m, int(counts[k])) for k, m in wide.items()}
 
+def _square(upper: list[float], size: int) -> np.ndarray:
+    """A symmetric matrix from its upper triangle, row by row."""
+    out = np.zeros((size, size))
+    i, j = np.triu_indices(size)
+    out[i, j] = out[j, i] = [v or 0.0 for v in upper]
+    return out
 
-# --- driver-side algebra on small matrices ----------------------------------
+
+# --- algebra on the small matrices of one group ----------------------------------
 
 
 def independent_columns(gram: np.ndarray) -> list[int]:
@@ -209,21 +232,77 @@ def independent_columns(gram: np.ndarray) -> list[int]:
     return kept
 
 
-def _absorbed_levels(panel: Panel, clusters: list[str], fe_dof: str) -> dict[tuple, int]:
-    """Parameters taken up by the absorbed dimensions, per group."""
-    if fe_dof == "none":
-        return {}
-    counted: dict[tuple, int] = {}
-    dims = 0
-    for dim, effects in zip(panel.dims, panel.effects):
-        if fe_dof == "nested" and dim in [[c] for c in clusters]:
-            continue
-        dims += 1
-        table = effects.table.groupBy(*panel.by).agg(F.count(F.lit(1)).alias("levels"))
-        for row in table.collect():
-            key = tuple(row[c] for c in panel.by)
-            counted[key] = counted.get(key, 0) + int(row["levels"])
-    return {k: v - max(dims - 1, 0) for k, v in counted.items()}
+@dataclass(frozen=True)
+class _System:
+    """What the groups' equations have in common; it travels to the tasks that solve them."""
+
+    columns: list[str]
+    y: str
+    x: list[str]
+    z: list[str]
+    n_clusters: int
+    cluster_df: str
+
+    def solve(self, upper: list[float], n_obs: int, absorbed: int) -> dict:
+        """Coefficients of one group and what its covariance needs."""
+        at = {c: i for i, c in enumerate(self.columns)}
+        gram = _square(upper, len(self.columns))
+        xi, zi = [at[c] for c in self.x], [at[c] for c in self.z]
+        z_kept = [zi[k] for k in independent_columns(gram[np.ix_(zi, zi)])]
+        zz, zx = gram[np.ix_(z_kept, z_kept)], gram[np.ix_(z_kept, xi)]
+        first_stage = np.linalg.solve(zz, zx) if z_kept else np.zeros((0, len(xi)))
+        hat = zx.T @ first_stage
+        x_kept = independent_columns(hat)
+        pi = first_stage[:, x_kept]
+        hat = hat[np.ix_(x_kept, x_kept)]
+        inverse = np.linalg.inv(hat) if x_kept else np.zeros((0, 0))
+        beta = inverse @ (pi.T @ gram[z_kept, at[self.y]])
+        used = [xi[k] for k in x_kept]
+        ssr = gram[at[self.y], at[self.y]] - 2 * beta @ gram[used, at[self.y]] + beta @ gram[np.ix_(used, used)] @ beta
+        free = int(n_obs - (len(x_kept) + absorbed))
+        sigma2 = max(ssr, 0.0) / free if free > 0 else float("nan")
+        z_at = [self.z.index(self.columns[k]) for k in z_kept]
+        return {"kept": x_kept, "beta": beta, "inverse": inverse, "z_kept": z_at, "pi": pi, "free": free, "sigma2": sigma2, "n_obs": int(n_obs)}
+
+    def finish(self, solved: dict, meats: dict[int, tuple[list[float], int]] | None, means: dict[str, float] | None) -> GroupFit:
+        """The group's fit: covariance from the clusters' scores where there are any, intercept put back."""
+        inverse, pi, free, n_obs = solved["inverse"], solved["pi"], solved["free"], solved["n_obs"]
+        terms = [self.x[k] for k in solved["kept"]]
+        fit = GroupFit(terms, solved["beta"], inverse * solved["sigma2"], n_obs, [c for c in self.x if c not in terms])
+        if meats is not None:
+            index = solved["z_kept"]
+            fewest = min(meats[m][1] for m in range(self.n_clusters))
+            total = np.zeros_like(inverse)
+            for m, (upper, count) in meats.items():
+                matrix = _square(upper, len(self.z))
+                count = fewest if self.cluster_df == "min" else count
+                factor = count / (count - 1) * (n_obs - 1) / free if count > 1 and free > 0 else float("nan")
+                core = pi.T @ matrix[np.ix_(index, index)] @ pi
+                total += (-1 if m == 2 else 1) * factor * (inverse @ core @ inverse)
+            fit.covariance = _not_negative(total) if self.n_clusters == 2 else total
+        if means is not None and INTERCEPT in terms:
+            # From centred variables back to the given ones: only the intercept and its errors change.
+            k = terms.index(INTERCEPT)
+            turn = np.eye(len(terms))
+            turn[k, :] = [1.0 if t == INTERCEPT else -means[t] for t in terms]
+            fit.beta = turn @ fit.beta
+            fit.beta[k] += means[self.y]
+            fit.covariance = turn @ fit.covariance @ turn.T
+        return fit
+
+
+def _absorbed_levels(panel: Panel, clusters: list[str], fe_dof: str) -> int | DataFrame:
+    """Parameters taken up by the absorbed dimensions: a number, or a table by group."""
+    dims = [] if fe_dof == "none" else [
+        effects for dim, effects in zip(panel.dims, panel.effects) if not (fe_dof == "nested" and dim in [[c] for c in clusters])
+    ]
+    less = max(len(dims) - 1, 0)
+    if not panel.by:
+        return sum(e.levels for e in dims) - less
+    if not dims:
+        return 0
+    counted = [e.table.groupBy(*panel.by).agg(F.count(F.lit(1)).alias("levels")) for e in dims]
+    return reduce(DataFrame.unionByName, counted).groupBy(*panel.by).agg((F.sum("levels") - less).alias("levels"))
 
 
 # --- models ------------------------------------------------------------------
@@ -322,97 +401,113 @@ def fit_panel(
         raise ValueError("fewer instruments than endogenous regressors")
     x = list(x) if panel.dims else [*x, INTERCEPT]
     z = [*instruments, *[c for c in x if c not in endogenous]] if instruments else x
-    columns = list(dict.fromkeys([y, *x, *z]))
-    at = {c: i for i, c in enumerate(columns)}
+    clusters = list(cluster) if vcov == "cluster" else []
+    system = _System(list(dict.fromkeys([y, *x, *z])), y, x, z, len(clusters), cluster_df)
+    fit = Fit(panel.table.sparkSession, panel, y, x, [])
+    gram = panel_gram(panel, system.columns)
     absorbed = _absorbed_levels(panel, list(cluster), fe_dof)
-    groups, projections = [], {}
-    for key, (gram, n_obs) in sorted(panel_gram(panel, columns).items(), key=repr):
-        xi, zi = [at[c] for c in x], [at[c] for c in z]
-        z_kept = [zi[k] for k in independent_columns(gram[np.ix_(zi, zi)])]
-        zz, zx = gram[np.ix_(z_kept, z_kept)], gram[np.ix_(z_kept, xi)]
-        first_stage = np.linalg.solve(zz, zx) if z_kept else np.zeros((0, len(xi)))
-        hat = zx.T @ first_stage
-        x_kept = independent_columns(hat)
-        terms = [x[k] for k in x_kept]
-        pi = first_stage[:, x_kept]
-        hat = hat[np.ix_(x_kept, x_kept)]
-        inverse = np.linalg.inv(hat) if x_kept else np.zeros((0, 0))
-        beta = inverse @ (pi.T @ gram[z_kept, at[y]])
-        used = [xi[k] for k in x_kept]
-        ssr = gram[at[y], at[y]] - 2 * beta @ gram[used, at[y]] + beta @ gram[np.ix_(used, used)] @ beta
-        free = n_obs - (len(terms) + absorbed.get(key, 0))
-        sigma2 = max(ssr, 0.0) / free if free > 0 else float("nan")
-        dropped = [c for c in x if c not in terms]
-        groups.append(GroupFit(key, terms, beta, inverse * sigma2, n_obs, dropped))
-        projections[key] = ([columns[k] for k in z_kept], pi, inverse, free)
-    fit = Fit(panel.table.sparkSession, panel, y, x, groups)
-    if vcov == "cluster" and groups:
-        _cluster_covariance(fit, list(cluster), z, projections, cluster_df)
-    if panel.means is not None:
-        _restore_intercept(fit)
-    return fit
+    if panel.by:
+        return replace(fit, solutions=_solved_groups(panel, system, gram, absorbed, clusters))
+    row = gram.first()
+    if row is None or not row["n_obs"]:
+        return fit
+    solved = system.solve(row["gram"], row["n_obs"], absorbed)
+    meats = None
+    if clusters:
+        aligned = np.zeros(len(x))
+        aligned[solved["kept"]] = solved["beta"]
+        scores = _cluster_scores(panel, panel.table, [f"({v!r}D)" for v in aligned.tolist()], system, clusters)
+        meats = {r["_set"]: (r["gram"], r["n_obs"]) for r in scores.collect()}
+    means = {c.removeprefix("_m_"): v for c, v in panel.means.first().asDict().items()} if panel.means is not None else None
+    return replace(fit, groups=[system.finish(solved, meats, means)])
+
+
+def _cluster_scores(panel: Panel, table: DataFrame, beta: list[str], system: _System, clusters: list[str]) -> DataFrame:
+    """(by..., _set, n_obs, gram): products of the scores of each clustering, with two also of their intersection.
+
+    The records are read once: scores of the finest clusters add up to the others'.
+    """
 
+    def score(column: str) -> str:
+        fitted = [f"{b} * {panel.product(column, regressor)}" for b, regressor in zip(beta, system.x)]
+        return " - ".join([panel.product(column, system.y), *fitted])
+
+    names = [f"_s_{i}" for i in range(len(system.z))]
+    own = [c for c in clusters if c not in panel.by]
+    sums = [f"sum({score(c)}) AS {s}" for c, s in zip(system.z, names)]
+    finest = table.groupBy(*panel.by, *own).agg(*map(F.expr, sums))
+    if len(clusters) == 1:
+        return score_gram(finest.withColumn("_set", F.lit(0)), [*panel.by, "_set"], names)
+    sets = [[*panel.by, *[c for c in columns if c not in panel.by]] for columns in ([clusters[0]], [clusters[1]], clusters)]
+    totals = [F.sum(s).alias(s) for s in names]
+    if len({tuple(s) for s in sets}) == 3:
+        # A bit of the grouping's number is set for each column left out.
+        left_out = [sum(1 << (len(own) - 1 - i) for i, c in enumerate(own) if c not in s) for s in sets]
+        which = F.create_map(*[F.lit(v) for pair in zip(left_out, range(3)) for v in pair])
+        grouped = finest.groupingSets([[F.col(c) for c in s] for s in sets], *panel.by, *own).agg(*totals, F.grouping_id().alias("_id"))
+        grouped = grouped.withColumn("_set", which[F.col("_id").cast("int")])
+    else:
+        parts = [finest.groupBy(*s).agg(*totals).withColumn("_set", F.lit(m)) for m, s in enumerate(sets)]
+        grouped = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return score_gram(grouped, [*panel.by, "_set"], names)
 
-def _restore_intercept(fit: Fit) -> None:
-    """From centred variables back to the given ones: only the intercept and its errors change."""
-    panel = fit.panel
-    means = {tuple(row[c] for c in panel.by): row for row in panel.means.collect()}
-    for g in fit.groups:
-        if INTERCEPT not in g.terms:
-            continue
-        row, k = means[g.key], g.terms.index(INTERCEPT)
-        turn = np.eye(len(g.terms))
-        turn[k, :] = [1.0 if t == INTERCEPT else -row[f"_m_{t}"] for t in g.terms]
-        g.beta = turn @ g.beta
-        g.beta[k] += row[f"_m_{fit.y}"]
-        g.covariance = turn @ g.covariance @ turn.T
-
-
-def _cluster_covariance(fit: Fit, cluster: list[str], z: list[str], projections: dict, cluster_df: str) -> None:
-    """Replace each group's covariance by its sandwich over clusters."""
-    panel, spark = fit.panel, fit.spark
-    x = fit.terms
-    # One row per group with its coefficients: as small as the result itself.
-    rows = []
-    for g in fit.groups:
-        values = dict(zip(g.terms, (float(b) for b in g.beta)))
-        rows.append((*g.key, *[values.get(c, 0.0) for c in x]))
+
+def _solved_groups(panel: Panel, system: _System, gram: DataFrame, absorbed: int | DataFrame, clusters: list[str]) -> DataFrame:
+    """One row per group, solved in the task that holds the group's sums."""
+    by, keys = panel.by, [F.col(c) for c in panel.by]
     types = {f.name: f for f in panel.table.schema.fields}
-    schema = T.StructType(
-        [types[c] for c in panel.by] + [T.StructField(f"_b_{i}", T.DoubleType()) for i in range(len(x))]
-    )
-    if panel.by:
-        table = panel.table.join(F.broadcast(spark.createDataFrame(rows, schema)), panel.by)
-        beta = [f"_b_{i}" for i in range(len(x))]
+    key_fields = [types[c] for c in by]
+    if isinstance(absorbed, int):
+        gram = gram.withColumn("levels", F.lit(absorbed))
     else:
-        table, beta = panel.table, [f"({v!r}D)" for v in rows[0]]
+        gram = gram.join(absorbed, by, "left").fillna(0, ["levels"])
 
-    def score(column: str) -> str:
-        fitted = [f"{b} * {panel.product(column, regressor)}" for b, regressor in zip(beta, x)]
-        return " - ".join([panel.product(column, fit.y), *fitted])
-
-    names = [f"_s_{i}" for i in range(len(z))]
-    sets = [[c] for c in cluster] + ([cluster] if len(cluster) == 2 else [])
-    meats = []
-    for columns in sets:
-        keys = [*panel.by, *[c for c in columns if c not in panel.by]]
-        sums = [f"sum({score(c)}) AS {s}" for c, s in zip(z, names)]
-        scores = table.groupBy(*keys).agg(*map(F.expr, sums))
-        meats.append(score_gram(scores, panel.by, names))
-    for g in fit.groups:
-        kept, pi, inverse, free = projections[g.key]
-        index = [z.index(c) for c in kept]
-        fewest = min(m[g.key][1] for m in meats[: len(cluster)])
-        total = np.zeros_like(inverse)
-        for i, meat in enumerate(meats):
-            matrix, count = meat[g.key]
-            count = fewest if cluster_df == "min" else count
-            factor = count / (count - 1) * (g.n_obs - 1) / free if count > 1 and free > 0 else float("nan")
-            core = pi.T @ matrix[np.ix_(index, index)] @ pi
-            total += (-1 if i == 2 else 1) * factor * (inverse @ core @ inverse)
-        if len(cluster) == 2:
-            total = _not_negative(total)
-        g.covariance = total
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                found = system.solve(row.gram, row.n_obs, row.levels)
+                aligned = np.zeros(len(system.x))
+                aligned[found["kept"]] = found["beta"]
+                flat = {k: np.ravel(found[k]).tolist() for k in ("inverse", "pi")}
+                out.append((*row[: len(by)], aligned.tolist(), found["kept"], flat["inverse"], found["z_kept"], flat["pi"], found["free"], found["sigma2"], found["n_obs"]))
+            yield pd.DataFrame(out, columns=[*by, "beta", "kept", "inverse", "z_kept", "pi", "free", "sigma2", "n_obs"])
+
+    fields = T._parse_datatype_string(
+        "beta array<double>, kept array<int>, inverse array<double>, z_kept array<int>, pi array<double>, free long, sigma2 double, n_obs long"
+    ).fields
+    solved = materialise(gram.select(*keys, "gram", "n_obs", "levels").mapInPandas(solve, T.StructType(key_fields + fields)))
+    whole = solved.withColumn("meats", F.lit(None).cast("array<struct<_set:int,n_obs:long,gram:array<double>>>"))
+    if clusters:
+        # Records of a large group are spread: the group's row count decides.
+        coefficients = solved.select(*keys, *[F.col("beta")[i].alias(f"_b_{i}") for i in range(len(system.x))], F.col("n_obs").alias("_rows"))
+        table = join_sized_table(panel.table, coefficients, by)
+        scores = _cluster_scores(panel, table, [f"_b_{i}" for i in range(len(system.x))], system, clusters)
+        meats = scores.groupBy(*by).agg(F.collect_list(F.struct("_set", "n_obs", "gram")).alias("meats"))
+        whole = solved.join(meats, by, "left")
+    centred = panel.centred if panel.means is not None else []
+    if centred:
+        whole = whole.join(panel.means.select(*keys, F.array(*[f"_m_{c}" for c in centred]).alias("means")), by, "left")
+
+    def finish(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                k, kz = len(row.kept), len(row.z_kept)
+                found = {"kept": list(row.kept), "beta": np.asarray(row.beta)[list(row.kept)], "z_kept": list(row.z_kept)}
+                found |= {"inverse": np.reshape(row.inverse, (k, k)), "pi": np.reshape(row.pi, (kz, k)), "free": row.free, "sigma2": row.sigma2, "n_obs": row.n_obs}
+                meats = {m["_set"]: (m["gram"], m["n_obs"]) for m in row.meats} if row.meats is not None else None
+                means = dict(zip(centred, row.means)) if centred else None
+                fit = system.finish(found, meats, means)
+                aligned = dict(zip(fit.terms, fit.beta.tolist()))
+                entries = [dict(zip(entry_names, values)) for values in fit.rows()]
+                out.append((*row[: len(by)], [aligned.get(t, 0.0) for t in system.x], entries, fit.n_obs))
+            yield pd.DataFrame(out, columns=[*by, "beta", "entries", "n_obs"])
+
+    entry_names = [part.split()[0] for part in ENTRY.split(", ")]
+    struct = ENTRY.replace(" string", ":string").replace(" double", ":double")
+    fields = T._parse_datatype_string(f"beta array<double>, entries array<struct<{struct}>>, n_obs long").fields
+    return materialise(whole.mapInPandas(finish, T.StructType(key_fields + fields)))
 
 
 def _not_negative(matrix: np.ndarray) -> np.ndarray:
@@ -486,14 +581,9 @@ def _with_coefficients(df: DataFrame, fit: Fit) -> tuple[DataFrame, dict[str, Co
         none = None if not fit.groups else 0.0
         return df, {t: F.lit(values.get(t, none)).cast("double") for t in fit.terms}, []
     names = {t: f"_coefficient_{i}" for i, t in enumerate(fit.terms)}
-    rows = []
-    for g in fit.groups:
-        values = dict(zip(g.terms, (float(b) for b in g.beta)))
-        rows.append((*g.key, *[values.get(t, 0.0) for t in fit.terms]))
-    types = {f.name: f for f in fit.panel.table.schema.fields}
-    schema = T.StructType([types[c] for c in by] + [T.StructField(n, T.DoubleType()) for n in names.values()])
-    table = fit.spark.createDataFrame(rows, schema)
-    return df.join(table, by, "left"), {t: F.col(n) for t, n in names.items()}, list(names.values())
+    picked = [F.col("beta")[i].alias(n) for i, n in enumerate(names.values())]
+    table = fit.solutions.select(*[F.col(c) for c in by], *picked, F.col("n_obs").alias("_rows"))
+    return join_sized_table(df, table, by), {t: F.col(n) for t, n in names.items()}, list(names.values())
 
 
 def fixed_effects(fit: Fit, dim: int) -> DataFrame:
