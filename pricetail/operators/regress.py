@@ -512,6 +512,8 @@ def _solved_groups(panel: Panel, system: _System, gram: DataFrame, absorbed: int
 
 def _not_negative(matrix: np.ndarray) -> np.ndarray:
     """The matrix with negative eigenvalues set to zero; a two-way covariance may have some."""
+    if not np.isfinite(matrix).all():
+        return matrix
     values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
     if not len(values) or values[0] >= 0 or not np.isfinite(values).all():
         return matrix
