@@ -375,6 +375,7 @@ def build_panel(
     tol: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
     constant: tuple[str, ...] = (),
+    drop_singletons: bool = False,
 ) -> Panel:
     """Collapse rows, absorb the dimensions and keep the demeaned records.
 
@@ -387,6 +388,10 @@ def build_panel(
         if c not in keys:
             keys.append(c)
     records = collapse(df, keys, varying)
+    if drop_singletons and absorb_dims:
+        from .levels import without_singletons
+
+        records = without_singletons(materialise(records), [[*by, *[c for c in dim if c not in by]] for dim in absorb_dims])
     records = materialise(records.withColumns(derived) if derived else records)
     columns = [*varying, *derived]
     effects: list[Effects] = []

@@ -293,7 +293,12 @@ class _System:
 
 def _absorbed_levels(panel: Panel, clusters: list[str], fe_dof: str) -> int | DataFrame:
     """Parameters taken up by the absorbed dimensions: a number, or a table by group."""
-    dims = [] if fe_dof == "none" else [
+    if fe_dof == "exact" and panel.dims:
+        from .levels import absorbed_rank
+
+        ranks = absorbed_rank(panel)
+        return ranks if panel.by else int(ranks.first()["levels"] or 0)
+    dims = [] if fe_dof in ("none", "exact") else [
         effects for dim, effects in zip(panel.dims, panel.effects) if not (fe_dof == "nested" and dim in [[c] for c in clusters])
     ]
     less = max(len(dims) - 1, 0)
@@ -342,6 +347,7 @@ def make_panel(
     by: list[str] | tuple = (),
     tol: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
+    drop_singletons: bool = False,
 ) -> tuple[Panel, list[str]]:
     """The demeaned records several models can share, and the dummy terms."""
     dims = _as_dims(absorb)
@@ -360,6 +366,7 @@ def make_panel(
         tol,
         max_sweeps,
         (INTERCEPT,),
+        drop_singletons,
     )
     for factor in factors:
         if factor.levels:
@@ -390,12 +397,13 @@ def fit_panel(
     The cluster factor is G/(G-1) * (N-1)/(N-K); for two clusterings the
     variances add up minus that of their intersection, with the smaller G for
     all three unless ``cluster_df="own"``.  K counts regressors and absorbed
-    levels (``fe_dof="all"``), leaves out dimensions that are themselves a
+    levels (``fe_dof="all"``: all but one of each further dimension; ``"exact"``:
+    the rank of their dummies), leaves out dimensions that are themselves a
     cluster (``"nested"``) or counts regressors only (``"none"``).
     """
     if vcov not in ("iid", "cluster") or (vcov == "cluster" and len(cluster) not in (1, 2)):
         raise ValueError("vcov is 'iid', or 'cluster' with one or two cluster columns")
-    if fe_dof not in ("all", "nested", "none") or cluster_df not in ("min", "own"):
+    if fe_dof not in ("all", "exact", "nested", "none") or cluster_df not in ("min", "own"):
         raise ValueError("unknown degrees-of-freedom rule")
     if instruments and len(instruments) < len(endogenous):
         raise ValueError("fewer instruments than endogenous regressors")
@@ -533,14 +541,16 @@ def fe_ols(
     cluster_df: str = "min",
     tol: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
+    drop_singletons: bool = False,
 ) -> Fit:
     """Least squares of ``y`` on ``x`` and factors with absorbed fixed effects.
 
     ``by`` fits the same model in every group at once.  Without absorbed
-    dimensions an intercept is added.
+    dimensions an intercept is added.  ``drop_singletons`` leaves rows out that
+    are alone at an absorbed level.
     """
     clusters = list(cluster) if vcov == "cluster" else []
-    panel, dummies = make_panel(df, [y, *x], factors, absorb, clusters, by, tol, max_sweeps)
+    panel, dummies = make_panel(df, [y, *x], factors, absorb, clusters, by, tol, max_sweeps, drop_singletons)
     fit = fit_panel(panel, y, [*x, *dummies], vcov, clusters, fe_dof=fe_dof, cluster_df=cluster_df)
     fit.factors = list(factors)
     return fit
@@ -560,11 +570,12 @@ def iv_2sls(
     cluster_df: str = "min",
     tol: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
+    drop_singletons: bool = False,
 ) -> Fit:
     """Two-stage least squares with absorbed fixed effects."""
     clusters = list(cluster) if vcov == "cluster" else []
     x = [*endogenous, *exogenous]
-    panel, _ = make_panel(df, [y, *x, *instruments], (), absorb, clusters, by, tol, max_sweeps)
+    panel, _ = make_panel(df, [y, *x, *instruments], (), absorb, clusters, by, tol, max_sweeps, drop_singletons)
     return fit_panel(panel, y, x, vcov, clusters, instruments, endogenous, fe_dof, cluster_df)
 
 

@@ -8,6 +8,7 @@ from ..functions import ends_cent_nine, ends_unit_nine, price_grid, with_endings
 from ..operators.cells import price_points
 from ..operators.clean import plausible
 from ..operators.dynamics import group_mean_instrument, market_min_response
+from ..operators.levels import component_effects
 from ..operators.regress import (
     INTERCEPT,
     Factor,
@@ -480,6 +481,78 @@ def predict_grid(spark, sf_dir):
     return window.select("price", "unit_nine", "cent_nine", _r4("log_q_hat").alias("log_q_hat"))
 
 
+# --- levels that hang together ------------------------------------------------------
+
+# Products and stores by week: no row links two weeks, so every week is a component of its own at least.
+BY_WEEK = [["sku_gtin", "week"], ["store_id", "week"]]
+PARTS_SQL = f"""{CELLS_LOG_SQL},
+links AS (SELECT DISTINCT week, sku_gtin, store_id FROM cells_log),
+pairs AS (SELECT DISTINCT week, a.sku_gtin AS one, b.sku_gtin AS other FROM links AS a JOIN links AS b USING (week, store_id)),
+reached AS (
+  SELECT week, one, one AS other FROM pairs UNION
+  SELECT r.week, r.one, p.other FROM reached AS r JOIN pairs AS p ON r.week = p.week AND r.other = p.one),
+parts AS (SELECT week, one AS sku_gtin, min(other) AS part FROM reached GROUP BY week, one)"""
+
+
+def _recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_EXACT = "count(DISTINCT (sku_gtin, week)) + count(DISTINCT (store_id, week)) - (SELECT count(DISTINCT (week, part)) FROM parts)"
+
+
+@query("fe_exact_rank", _recursive(ols_sql(PARTS_SQL, "cells_log", "log_quantity", ["log_price", "unit_nine"], BY_WEEK, sweeps=120, fe_levels=_EXACT)))
+def fe_exact_rank(spark, sf_dir):
+    """Degrees of freedom from the connected components of products and stores by week."""
+    return tidy(fe_ols(cells_log(spark, sf_dir), "log_quantity", ["log_price", "unit_nine"], (), BY_WEEK, fe_dof="exact"))
+
+
+ONE_STORE = [["store_id", "sku_gtin"], ["week"]]
+
+
+def _pruned_sql(rounds=8):
+    """Rows alone at a level go, again and again; the rounds are more than the test tables need."""
+    parts, current = [CELLS_LOG_SQL], "cells_log"
+    for k in range(rounds):
+        counted = " AND ".join(f"count(*) OVER (PARTITION BY {', '.join(d)}) > 1" for d in ONE_STORE)
+        parts.append(f"pruned{k} AS MATERIALIZED (SELECT * FROM {current} QUALIFY {counted})")
+        current = f"pruned{k}"
+    return ",\n".join(parts), current
+
+
+@query("fe_without_singletons", ols_sql(*_pruned_sql(), "log_quantity", ["log_price", "unit_nine"], ONE_STORE, sweeps=40))
+def fe_without_singletons(spark, sf_dir):
+    """Products seen once in a store say nothing about their price there and go."""
+    return tidy(fe_ols(cells_log(spark, sf_dir), "log_quantity", ["log_price", "unit_nine"], (), ONE_STORE, drop_singletons=True))
+
+
+def _component_sql(sweeps=120):
+    """Effects by unrolled sweeps, then the constant of the smallest norm in each component."""
+    start = "at0 AS (SELECT sku_gtin, store_id, week, log_quantity AS r, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS e1 FROM cells_log)"
+    parts, current = [PARTS_SQL, start], "at0"
+    for k in range(2 * sweeps):
+        mean = f"avg(r) OVER (PARTITION BY {', '.join(BY_WEEK[k % 2])})"
+        parts.append(f"at{k + 1} AS MATERIALIZED (SELECT * REPLACE (r - {mean} AS r, e{k % 2} + {mean} AS e{k % 2}) FROM {current})")
+        current = f"at{k + 1}"
+    return f"""WITH RECURSIVE {", ".join(parts)},
+one AS (SELECT 'product' AS dimension, sku_gtin::VARCHAR AS level, week, part, any_value(e0) AS effect FROM {current} JOIN parts USING (sku_gtin, week) GROUP BY ALL),
+two AS (SELECT 'store' AS dimension, store_id AS level, week, part, any_value(e1) AS effect FROM {current} JOIN parts USING (sku_gtin, week) GROUP BY ALL),
+levels AS (SELECT *, -1 AS side FROM one UNION ALL SELECT *, 1 FROM two)
+SELECT week, part AS component, dimension, level, {_sql_r4("effect - side * avg(side * effect) OVER (PARTITION BY week, part)")} AS effect FROM levels"""
+
+
+@query("fe_component_effects", _component_sql())
+def fe_component_effects(spark, sf_dir):
+    """Effects of products and stores by week, comparable within the component that names its smallest product."""
+    fit = fe_ols(cells_log(spark, sf_dir), "log_quantity", [], (), BY_WEEK)
+    products, stores = component_effects(fit)
+    names = products.groupBy("component").agg(F.min("sku_gtin").alias("part"))
+    both = products.select("component", "week", F.lit("product").alias("dimension"), F.col("sku_gtin").cast("string").alias("level"), "effect").unionByName(
+        stores.select("component", "week", F.lit("store").alias("dimension"), F.col("store_id").alias("level"), "effect")
+    )
+    return both.join(names, "component").select("week", F.col("part").alias("component"), "dimension", "level", _r4("effect").alias("effect"))
+
+
 # --- effects and residuals on rows -------------------------------------------------
 
 

@@ -54,10 +54,12 @@ def ols_sql(
     instruments: list[str] = (),
     terms: dict[str, str] | None = None,
     exact: bool = False,
+    fe_levels: str | None = None,
 ) -> str:
     """Estimates and errors of one model as rows (by..., term, estimate, std_error, n_obs).
 
-    Estimates are rounded to six digits unless ``exact``.
+    Estimates are rounded to six digits unless ``exact``.  ``fe_levels`` is SQL for the
+    number of absorbed parameters.
 
     With ``instruments`` the model is just identified and every regressor is
     replaced in the moment conditions by the instrument in the same place.
@@ -74,7 +76,9 @@ def ols_sql(
     if dims:
         text, data = absorb_ctes(source, dims, columns, sweeps, list(by))
         parts.append(text)
-        if fe_dof == "all":
+        if fe_levels is not None:
+            levels = fe_levels
+        elif fe_dof == "all":
             counts = " + ".join(f"count(DISTINCT ({', '.join(d)}))" for d in dims)
             levels = f"{counts} - {len(dims) - 1}"
     # Z'X, then the identity, then Z'y.
