@@ -90,6 +90,11 @@ def popularity(df: DataFrame, sku: str, chain: str, flags: list[str], sums: dict
     return pair.where(F.col(chain).isNotNull()).select(sku, chain, *shares).join(totals, sku)
 
 
+# Digits of the two hashes that order an exact sample, and how many a pass tells apart.
+HASH_DIGITS = 64
+CUT_DIGITS = 3
+
+
 def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """A repeatable share of the rows that does not depend on file layout.
 
@@ -101,6 +106,46 @@ def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 42)
     return df.where(F.pmod(number, F.lit(SAMPLE_BUCKETS)) < int(round(fraction * SAMPLE_BUCKETS)))
 
 
+def exact_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
+    """Exactly ``round(fraction * rows)`` rows, the same for any file layout and number of tasks.
+
+    Taken are the rows with the smallest hashes of the keys' text (as in
+    :func:`hash_sample`), rows of equal keys by a hash of the whole row.  The cut
+    is found digit by digit: each pass counts rows by the next three hexadecimal
+    digits (at most 4,096 counts) within the range that holds the cut, so nothing
+    is sorted and no task gathers rows.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction is between 0 and 1")
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]]
+    name = "_hash"
+    while name in df.columns or f"{name}copy" in df.columns:
+        name += "_"
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    marked = df.withColumn(name, F.concat(F.md5(F.concat_ws("|", *parts)), whole))
+    mark, cut, left, total = F.col(name), "", None, None
+    while left != 0 and len(cut) < HASH_DIGITS:
+        digits = F.substring(mark, len(cut) + 1, CUT_DIGITS)
+        counts = marked.where(mark.startswith(cut)).groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if total is None:
+            total = sum(r["n"] for r in counts)
+            left = round(fraction * total)
+            if left == total:
+                return df
+        for row in sorted(counts):
+            # The first range that the sample cannot take whole.
+            if row["n"] > left:
+                cut += row["digits"]
+                break
+            left -= row["n"]
+    taken = marked.where(mark < cut)
+    if left:
+        # What is left are copies of one row.
+        one = marked.where(mark == cut).limit(1)
+        taken = taken.unionByName(one.withColumn(f"{name}copy", F.explode(F.sequence(F.lit(1), F.lit(left)))).drop(f"{name}copy"))
+    return taken.drop(name)
+
+
 def attach(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:
     """Left join of product or category attributes.
 

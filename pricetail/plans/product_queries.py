@@ -9,6 +9,7 @@ from ..operators.products import (
     attach,
     counts_by_chain,
     distinct_counts,
+    exact_sample,
     flag_members,
     hash_sample,
     keep_listed,
@@ -145,6 +146,20 @@ def hash_sample_query(spark, sf_dir):
     return hash_sample(lines, keys, 0.1).select(*keys)
 
 
+@query(
+    "exact_sample",
+    f"""WITH {SCAN_LINES_SQL}, keyed AS (SELECT *, CAST(round(sales * 100) AS BIGINT) AS cents FROM scan_lines)
+SELECT store_id, sku_gtin, date, cents FROM keyed
+ORDER BY md5(concat_ws('|', '42', store_id::VARCHAR, sku_gtin::VARCHAR, date::VARCHAR, cents::VARCHAR))
+LIMIT (SELECT CAST(round_even(0.1::DOUBLE * count(*), 0) AS BIGINT) FROM keyed)""",
+)
+def exact_sample_query(spark, sf_dir):
+    """A tenth of the lines, to the row; sales enter the hash as whole cents."""
+    lines = views.scan_lines(spark, sf_dir).withColumn("cents", F.round(F.col("sales") * 100).cast("long"))
+    keys = ["store_id", "sku_gtin", "date", "cents"]
+    return exact_sample(lines, keys, 0.1).select(*keys)
+
+
 @query(
     "product_join",
     f"""WITH {SCAN_LINES_SQL}, cells AS (
