@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import owner_group_label
+from ..session import materialise
 
 
 def share(flag: str) -> Column:
@@ -56,32 +57,57 @@ def mean_and_std(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles, one row per column.
+def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value): the named columns below each other."""
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, share, value): exact quantiles, interpolated between neighbouring ranks.
 
-    Meant for tables of one row per store or product: the exact quartiles keep
-    one counter per distinct value.
+    Values are counted, and the counts dealt in ranges of values; sums of whole
+    ranges say which ranges hold the wanted ranks, and only those are looked
+    into.  No task needs all values of a column.
     """
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("e")
-    ).select("e.*")
-    return long.groupBy("column").agg(
+    counts = _stacked(df, columns).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialise(counts.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("column", "range").agg(F.sum("n").alias("size"))
+    earlier = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("column")
+    sums = sums.withColumns({"before": F.coalesce(F.sum("size").over(earlier), F.lit(0)), "total": F.sum("size").over(everything)})
+    wanted = sums.withColumn("share", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    wanted = wanted.withColumn("position", F.col("share") * (F.col("total") - 1))
+    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
+    # One range for each column, share and rank.
+    wanted = wanted.where("rank >= before AND rank < before + size").select("column", "range", "before", "share", "position", "rank")
+    so_far = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    places = dealt.join(F.broadcast(wanted.select("column", "range").distinct()), ["column", "range"], "left_semi")
+    places = places.withColumn("upto", F.sum("n").over(so_far)).join(F.broadcast(wanted), ["column", "range"])
+    found = places.where("rank >= before + upto - n AND rank < before + upto")
+    ends = found.groupBy("column", "share", "position").agg(
+        F.min(F.struct("rank", "value")).alias("low"), F.max(F.struct("rank", "value")).alias("high")
+    )
+    low, high, at = F.col("low.value"), F.col("high.value"), F.col("position")
+    between = (F.col("high.rank") - at) * low + (at - F.col("low.rank")) * high
+    return ends.select("column", "share", F.when(low == high, low).otherwise(between).alias("value"))
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles, one row per column."""
+    table = _stacked(df, columns).groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.5)).alias("q50"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
         F.max("value").alias("max"),
     )
+    found = exact_quantiles(df, columns, list(QUARTILES.values()))
+    wide = found.groupBy("column").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(q) for q, p in QUARTILES.items()])
+    return table.join(wide, "column", "left").select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
