@@ -14,9 +14,14 @@ The first sequence of pairwise compatible pieces that reaches the end is the
 sequence that merging gives.  Characters outside the vocabulary become byte
 pieces.
 
+New parts of many texts are searched together: the goto function of the automaton,
+the shorter pieces and the checked pairs are arrays, and one step of all searches
+is a few numpy calls.
+
 Defined results: null and empty texts encode to the begin and end ids alone and
 decode to the empty text.  Texts of any length are encoded whole.  Repeated rows
-give equal results; extra columns are kept.
+give equal results; an empty table gives an empty one; extra columns are kept,
+except one that has the name of the result (``to``), which is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +39,12 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 # Words and pairs remembered by a worker; beyond it a memo starts anew.
 MEMO_ENTRIES = 400_000
+# Slots for checked pairs; a pair that finds its slot taken is checked again.
+PAIR_SLOTS = 1 << 21
+# Characters of texts whose new parts are searched together.
+TOGETHER = 2_000_000
+# Longer parts are searched alone and not remembered.
+LONGEST = 64
 MARKS = ",.;:!?$%&*#|"
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -81,11 +92,154 @@ class PieceCodec:
         self.shown = ["" if i in self.silent else " ⁇ " if i == self.unk else p for i, p in enumerate(self.pieces)]
         self.odd = np.zeros(size, bool)
         self.odd[list(self.byte_of)] = True
+        self._arrays(usable)
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    def _arrays(self, usable: dict[str, int]) -> None:
+        """The automaton's goto function as a hash table of (node, character), and what a search looks up."""
+        nodes = {p: n for n, p in enumerate(["", *self.best])}
+        self.kind = np.zeros(0x110000, np.int64)
+        letters = sorted({p[-1] for p in self.best})
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.kinds = len(letters) + 1
+        edges = np.array([nodes[p[:-1]] * self.kinds + self.kind[ord(p[-1])] for p in self.best], np.int64)
+        size = 1 << (len(edges) * 8).bit_length()
+        self.edge, self.node = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        slots = self._slots(edges, size)
+        for n, (key, slot) in enumerate(zip(edges.tolist(), slots.tolist()), 1):
+            while self.edge[slot] >= 0:
+                slot = (slot + 1) % size
+            self.edge[slot], self.node[slot] = key, n
+        # Longest usable piece of a node, _OUTSIDE where there is none.
+        self.piece_at = np.array([_OUTSIDE, *(_OUTSIDE if i < 0 else i for i in self.best.values())], np.int64)
+        self.shorter_at, self.length_at = np.array(self.shorter, np.int64), np.array(self.length, np.int64)
+        self.pair, self.fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+        self.byte_ids = np.array([self.byte_id.get(b, self.unk) for b in range(256)], np.int64)
+
+    @staticmethod
+    def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+        """Fibonacci hashing to a power of two."""
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    def _children(self, nodes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The node after a character, 0 if there is none."""
+        keys = nodes * self.kinds + kinds
+        slots = self._slots(keys, len(self.edge))
+        out = np.where(self.edge[slots] == keys, self.node[slots], 0)
+        open_ = np.flatnonzero((out == 0) & (self.edge[slots] >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) % len(self.edge)
+            there = self.edge[slots[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.node[slots[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def _longest(self, chars: np.ndarray) -> np.ndarray:
+        """The longest piece that starts at every place, _OUTSIDE where none does."""
+        kinds = self.kind[chars]
+        out = np.full(len(chars), _OUTSIDE, np.int64)
+        places = np.flatnonzero(kinds)
+        nodes = np.zeros(len(places), np.int64)
+        for depth in range(self.reach):
+            inside = places + depth < len(chars)
+            places, nodes = places[inside], nodes[inside]
+            nodes = self._children(nodes, kinds[places + depth])
+            places, nodes = places[nodes > 0], nodes[nodes > 0]
+            if not len(places):
+                break
+            out[places] = self.piece_at[nodes]
+        return out
+
+    def _pairs_fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 20 | right
+        slots = self._slots(keys, PAIR_SLOTS)
+        out = self.fits[slots]
+        new = np.flatnonzero(self.pair[slots] != keys)
+        if len(new):
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            checked = np.array([self._check(k >> 20, k & 0xFFFFF) for k in distinct.tolist()], bool)
+            out[new] = checked[back]
+            at = self._slots(distinct, PAIR_SLOTS)
+            # Of pairs with one slot the last one stays, in both arrays.
+            last = len(at) - 1 - np.unique(at[::-1], return_index=True)[1]
+            self.pair[at[last]], self.fits[at[last]] = distinct[last], checked[last]
+        return out
+
+    def parts(self, texts: list[str]) -> list[bytes]:
+        """Ids of many parts without a zero character, searched together as ``part`` does one by one."""
+        joined = "\0".join(texts) + "\0"
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.flatnonzero(chars == 0)
+        at = np.concatenate([[0], ends[:-1] + 1])
+        longest = self._longest(chars)
+        failed = np.zeros(len(chars), bool)
+        chosen = np.full(len(chars), _NONE, np.int64)
+        back = np.full(len(chars), -1, np.int64)
+        last = np.full(len(at), -1, np.int64)
+        piece = longest[at]
+        alone: list[np.ndarray] = []
+        active = np.flatnonzero(at < ends)
+        while len(active):
+            here, p = at[active], piece[active]
+            # The piece at hand: taken if the rest may start behind it and it follows the one before.
+            mine = np.flatnonzero(p >= 0)
+            who, place, this = active[mine], here[mine], p[mine]
+            stop = place + self.length_at[this]
+            fits = ~failed[stop]
+            asked = np.flatnonzero(fits & (last[who] >= 0))
+            if len(asked):
+                fits[asked] = self._pairs_fit(last[who[asked]], this[asked])
+            taken, stop = who[fits], stop[fits]
+            chosen[place[fits]] = this[fits]
+            back[stop] = place[fits]
+            at[taken], last[taken], piece[taken] = stop, this[fits], longest[stop]
+            piece[who[~fits]] = self.shorter_at[this[~fits]]
+            # No piece is left: the place has failed, the piece before it becomes shorter.
+            stuck = active[p == -1]
+            if len(stuck):
+                failed[at[stuck]] = True
+                before = back[at[stuck]]
+                if (before < 0).any():
+                    alone.append(stuck[before < 0])
+                    stuck, before = stuck[before >= 0], before[before >= 0]
+                piece[stuck] = self.shorter_at[chosen[before]]
+                chosen[before] = _NONE
+                at[stuck] = before
+                more = back[before]
+                last[stuck] = np.where(more >= 0, chosen[more], -1)
+            # Outside the vocabulary: nothing before it has to change.
+            outside = active[p == _OUTSIDE]
+            if len(outside):
+                chosen[at[outside]] = _OUTSIDE
+                at[outside] += 1
+                last[outside] = -1
+                piece[outside] = longest[at[outside]]
+            active = active[at[active] < ends[active]]
+            if alone:
+                active = active[~np.isin(active, alone[-1])]
+        places = np.flatnonzero(chosen != _NONE)
+        ids, found = chosen[places], chars[places]
+        raw = ids == _OUTSIDE
+        widths = np.ones(len(ids), np.int64)
+        if self.byte_id:
+            widths[raw] = 1 + (found[raw] > 0x7F) + (found[raw] > 0x7FF) + (found[raw] > 0xFFFF)
+        starts = np.concatenate([[0], np.cumsum(widths)])
+        out = np.repeat(np.where(raw, self.unk, ids), widths)
+        if self.byte_id and raw.any():
+            text = found[raw].astype("<u4").tobytes().decode("utf-32-le").encode()
+            out[np.repeat(raw, widths)] = self.byte_ids[np.frombuffer(text, np.uint8)]
+        packed = out.astype("<u4").tobytes()
+        cuts = (4 * starts[np.searchsorted(places, np.concatenate([[0], ends]))]).tolist()
+        result = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.concatenate(alone).tolist() if alone else []:
+            result[i] = _packed(self.part(texts[i]))
+        return result
+
     def merge(self, text: str) -> list[str]:
         """Pieces by merging from single characters: best score first, then leftmost."""
         parts, rank, none = list(text), self.rank, float("inf")
@@ -106,15 +260,19 @@ class PieceCodec:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get(left << 20 | right)
         if known is None:
-            a, b = self.pieces[left], self.pieces[right]
-            # A pair that is itself a piece merges on; bytes and the unknown id never merge.
-            known = not (left in self.lone or right in self.lone) and a + b not in self.ids and self.merge(a + b) == [a, b]
-            known = known or left in self.lone or right in self.lone
+            known = self._check(left, right)
             if len(self.pairs) >= MEMO_ENTRIES:
                 self.pairs.clear()
             self.pairs[left << 20 | right] = known
         return known
 
+    def _check(self, left: int, right: int) -> bool:
+        """A pair that is itself a piece merges on; bytes and the unknown id never merge."""
+        if left in self.lone or right in self.lone:
+            return True
+        a, b = self.pieces[left], self.pieces[right]
+        return a + b not in self.ids and self.merge(a + b) == [a, b]
+
     def part(self, text: str) -> list[int]:
         """Ids of one part: spaces and what follows up to the next space."""
         length, shorter, known = self.length, self.shorter, self.pairs.get
@@ -165,13 +323,13 @@ class PieceCodec:
             tail = self.marks.get(part[len(stem) :])
             if tail is None:
                 tail = _packed(self.part(part[len(stem) :]))
-                if len(self.marks) < MEMO_ENTRIES and len(part) <= 64:
+                if len(self.marks) < MEMO_ENTRIES and len(part) <= LONGEST:
                     self.marks[part[len(stem) :]] = tail
             seam = _UNSIGNED(head, len(head) - 4)[0], _UNSIGNED(tail)[0]
             found = head + tail if self.compatible(*seam) else _packed(self.part(part))
         else:
             found = _packed(self.part(part))
-        if len(part) <= 64:
+        if len(part) <= LONGEST:
             if len(self.words) >= MEMO_ENTRIES:
                 # What is used again moves on to the new memo.
                 self.old, self.words = self.words, {}
@@ -186,6 +344,34 @@ class PieceCodec:
         get, word = self.words.get, self._word
         return self.begin + b"".join([get(p) or word(p) for p in _PARTS.findall(text)]) + self.end
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of many texts; new parts are searched together."""
+        out: list[bytes] = []
+        lot: list[str] = []
+        held = 0
+        for text in texts:
+            lot.append(text or "")
+            held += len(lot[-1])
+            if held >= TOGETHER:
+                out += self._lot(lot)
+                lot, held = [], 0
+        return out + self._lot(lot)
+
+    def _lot(self, texts: list[str]) -> list[bytes]:
+        split = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else () for t in texts]
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > MEMO_ENTRIES:
+            # What is used again moves on to the new memo.
+            self.old, self.words = self.words, {}
+            new = set().union(*split)
+        again = new.intersection(self.old)
+        self.words.update((p, self.old[p]) for p in again)
+        new = [p for p in new.difference(again) if len(p) <= LONGEST and "\0" not in p]
+        if new:
+            self.words.update(zip(new, self.parts(new)))
+        get, word = self.words.get, self._word
+        return [self.begin + b"".join([get(p) or word(p) for p in parts]) + self.end for parts in split]
+
     def decode(self, ids: bytes | None) -> str:
         """The text of ids; control ids are silent, the leading space goes."""
         if not ids:
@@ -216,6 +402,9 @@ class PieceCodec:
         return text.replace(SPACE, " ")
 
 
+# No piece starts here; no piece is chosen here.
+_OUTSIDE, _NONE = -2, -3
+
 _UNSIGNED = struct.Struct("<I").unpack_from
 
 
@@ -268,7 +457,7 @@ def encoded(text: Column, model: bytes) -> Column:
     @F.arrow_udf("binary")
     def encode_texts(texts: pa.Array) -> pa.Array:
         c = codec(model)
-        return pa.array([c.encode(t) for t in texts.to_pylist()], pa.binary())
+        return pa.array(c.encode_all(texts.to_pylist()), pa.binary())
 
     return encode_texts(text)
 

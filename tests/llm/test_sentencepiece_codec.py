@@ -30,6 +30,23 @@ def test_random_texts_equal_the_library(both):
         assert codec.decode(made) == library.decode(ids)
 
 
+def test_parts_searched_together_equal_the_library(both, monkeypatch):
+    _, library = both
+    # Few slots for pairs, small lots and small memos: all of them start anew in between.
+    monkeypatch.setattr(C, "PAIR_SLOTS", 1 << 6)
+    monkeypatch.setattr(C, "TOGETHER", 3000)
+    monkeypatch.setattr(C, "MEMO_ENTRIES", 500)
+    codec = C.PieceCodec(C.read_model(PATH))
+    rng = random.Random(8)
+    pieces = [codec.pieces[i] for i in range(260, 32000)]
+    texts = [None, "", "\0", "a\0b", "x" * 70 + "日\n" * 40]
+    for _ in range(8000):
+        texts.append("".join(rng.choice(POOL) if rng.random() < 0.4 else rng.choice(pieces) for _ in range(rng.randint(0, 14))))
+    for text, made in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(made, "<u4").tolist() == library.encode(text or "", add_bos=True, add_eos=True)
+    assert codec.encode_all([]) == []
+
+
 def test_random_ids_decode_like_the_library(both):
     codec, library = both
     rng = random.Random(7)
