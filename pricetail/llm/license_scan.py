@@ -1,10 +1,10 @@
 """Licence scan: MinHash bands of overlapping windows find templates, exact containment verifies.
 
 Texts and templates are taken as shingles of five lower-case words.  A template
-with fewer than eight shingles is looked up by each shingle, a window of its own.
-A longer one has windows of 8, or from 24 shingles on of 24, at every place;
-a text has windows of the same sizes, each overlapping the next by half, so that a
-passage half a window longer than a window holds one that the template has too.
+with fewer than ``WINDOW`` shingles is looked up by each shingle, a window of its own,
+so every text that holds one of them meets it.  A longer one has windows of
+``WINDOW`` shingles at every place; a text has one every ``STEP`` shingles, its last
+ones and that of a short text over what there is.
 A window's band keys are its smallest shingles under ``BANDS`` hash functions.  Two
 windows with a likeness of J share a key with chance 1 - (1 - J) ** BANDS: 0.9984
 for 0.8, and a passage has several windows.  A band of one row keeps that chance
@@ -31,7 +31,8 @@ from ._common import WORD, body
 from .quality_rules import let, words_of
 
 SHINGLE = 5
-WINDOWS = (8, 24)
+WINDOW = 24
+STEP = 8
 BANDS = 4
 CONTAINED = 0.8
 # Templates' keys up to this number are sent to all tasks, more are joined by key.
@@ -79,15 +80,16 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(F.size(words) < SHINGLE, F.array().cast("array<bigint>")).otherwise(hashes)
 
 
-def _window_keys(hashes: Column, size: int, step: int) -> list[Column]:
-    """The smallest hash of every window, for each band."""
+def _window_keys(hashes: Column, step: int) -> Column:
+    """The smallest hash of every window, for each band; a short text is one window."""
 
     def band(k: int) -> Column:
         ranked = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))
-        at = F.sequence(F.lit(0), F.greatest(F.size(hashes) - size + step - 1, F.lit(0)), F.lit(step))
-        return let(ranked, lambda r: F.transform(at, lambda p: F.array_min(F.slice(r, p + 1, F.lit(size)))))
+        at = F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW + step - 1, F.lit(0)), F.lit(step))
+        return let(ranked, lambda r: F.transform(at, lambda p: F.array_min(F.slice(r, p + 1, F.lit(WINDOW)))))
 
-    return [F.when(F.size(hashes) >= size, band(k)).otherwise(F.array().cast("array<bigint>")) for k in range(BANDS)]
+    keys = F.concat(*[band(k) for k in range(BANDS)])
+    return F.when(F.size(hashes) > 0, keys).otherwise(F.array().cast("array<bigint>"))
 
 
 def text_keys(text: Column) -> Column:
@@ -95,8 +97,7 @@ def text_keys(text: Column) -> Column:
 
     def keys(hashes: Column) -> Column:
         return F.struct(
-            F.array_distinct(hashes).alias("shingles"),
-            F.array_distinct(F.concat(*[c for size in WINDOWS for c in _window_keys(hashes, size, size // 2)])).alias("bands"),
+            F.array_distinct(hashes).alias("shingles"), F.array_distinct(_window_keys(hashes, STEP)).alias("bands")
         )
 
     return let(words_of(F.lower(text)), lambda w: let(shingle_hashes(w), keys))
@@ -106,8 +107,7 @@ def template_frames(templates: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Keys (key, template, band) and sizes (template, shingles) of (template, text) rows; the number of keys."""
 
     def keys(h: Column) -> Column:
-        every = [F.when(F.size(h) >= WINDOWS[1], F.concat(*_window_keys(h, WINDOWS[1], 1))).otherwise(F.concat(*_window_keys(h, WINDOWS[0], 1)))]
-        return F.struct(h.alias("shingles"), F.when(F.size(h) < WINDOWS[0], h).otherwise(every[0]).alias("bands"))
+        return F.struct(h.alias("shingles"), F.when(F.size(h) < WINDOW, h).otherwise(_window_keys(h, 1)).alias("bands"))
 
     found = templates.select("template", let(words_of(F.lower("text")), lambda w: let(shingle_hashes(w), keys)).alias("k"))
     shingles = found.select("template", F.explode(F.array_distinct("k.shingles")).alias("key"), F.lit(False).alias("band"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -43,6 +44,36 @@ def test_scan_equals_brute_force(spark):
         L.scan(docs, spark.createDataFrame([("t", "too few")], "template string, text string"))
 
 
+def test_damaged_templates_are_found(spark):
+    """Recall of texts that hold 0.8 or more of a template: all up to 23 shingles, 0.99 above."""
+    rng = random.Random(4)
+    for size in (8, 20, 26, 40, 100):
+        templates = {f"t{k}": " ".join(f"w{size}x{k}x{j}" for j in range(size + 4)) for k in range(40)}
+        rows = []
+        for k, text in templates.items():
+            for _ in range(15):
+                words = text.split()
+                cut = int(rng.random() * 0.2 * size)
+                words = words[cut:] if rng.random() < 0.5 else words[: len(words) - cut]
+                if rng.random() < 0.5:
+                    words[rng.randrange(len(words))] = "changed"
+                before = [f"f{rng.random()}" for _ in range(rng.choice([0, 0, 5, 11, 40]))]
+                rows.append((len(rows), " ".join(before + words + before[::-1])))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        frame = spark.createDataFrame(list(templates.items()), "template string, text string")
+        found = {(r.doc_id, r.template, r.shared, r.template_shingles) for r in L.scan(docs, frame).collect()}
+        want = plain(rows, templates)
+        assert found <= want and len(want) > 200
+        assert found == want if size < L.WINDOW else len(found) >= 0.99 * len(want)
+
+
+def test_short_text_of_a_built_in_notice(spark):
+    text = " ".join(L.NOTICES["gpl-3.0-line"].split()[:-1])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    [row] = L.scan(docs, L.notice_templates(docs)).collect()
+    assert row.template == "gpl-3.0-line" and row.shared == row.template_shingles - 1
+
+
 def test_joined_by_key_gives_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sent = sorted(L.scan(docs, L.notice_templates(docs)).collect())
