@@ -54,7 +54,7 @@ STORE_WEEK_SQL = f"""{LINES_A_SQL}, store_week AS (
   SELECT store_id, week, kjedeid, paraplykjede, avg(unit_nine) AS avg_kron, avg(cent_nine) AS avg_ore
   FROM flagged GROUP BY ALL)"""
 
-# Five nations per role chain, so that the factor has a handful of levels.
+# Formats go by groups of five chains.
 FORMAT_OF = {"chain_0": "convenience", "chain_1": "discount", "chain_2": "discount", "chain_3": "hypermarket", "chain_4": "supermarket"}
 
 _ROLE_SQL = "'chain_' || CAST(CAST(replace(kjedeid, 'NATION_', '') AS INTEGER) // 5 AS VARCHAR)"
@@ -98,14 +98,38 @@ def _register_factor(name, y, factor, levels, reference, absorb=(), source="shar
         return tidy(fit)
 
 
+def _chain_means_sql(ctes, source, y, reference):
+    """A regression on chains alone, from the chains' means; a store's influence on a mean gives clustered errors."""
+    return f"""WITH {ctes},
+means AS (SELECT kjedeid AS level, count(*) AS n, avg({y}) AS m FROM {source} GROUP BY ALL),
+refs AS (SELECT n, m FROM means WHERE level = '{reference}'),
+size AS (SELECT sum(n) AS n, count(*) AS k, (SELECT count(DISTINCT store_id) FROM {source}) AS g FROM means),
+scores AS (SELECT store_id, level, sum({y} - m) / any_value(means.n) AS s FROM {source} JOIN means ON kjedeid = level GROUP BY ALL),
+influence AS (SELECT means.level, store_id,
+    sum(CASE WHEN scores.level = means.level THEN s ELSE 0 END)
+    - sum(CASE WHEN scores.level = '{reference}' AND means.level <> '{reference}' THEN s ELSE 0 END) AS i
+  FROM means CROSS JOIN scores GROUP BY ALL),
+spread AS (SELECT level, sum(i * i) AS v FROM influence GROUP BY level)
+SELECT CASE WHEN level = '{reference}' THEN '{INTERCEPT}' ELSE 'kjedeid[' || level || ']' END AS term,
+  {sql_r6(f"means.m - CASE WHEN level = '{reference}' THEN 0 ELSE refs.m END")} AS estimate,
+  {sql_r6("sqrt(v * size.g / (size.g - 1.0::DOUBLE) * (size.n - 1.0::DOUBLE) / (size.n - size.k))")} AS std_error,
+  CAST(size.n AS BIGINT) AS n_obs
+FROM means JOIN spread USING (level) CROSS JOIN refs CROSS JOIN size"""
+
+
+def _register_chain(name, y, ctes=STORE_WEEK_ROLES_SQL, rows=store_week_shares, reference="NATION_3"):
+    @query(name, _chain_means_sql(ctes, "shares", y, reference))
+    def model(spark, sf_dir):
+        return tidy(fe_ols(rows(spark, sf_dir), y, [], [Factor("kjedeid", reference)], (), ["store_id"], vcov="cluster"))
+
+
 OWNERS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-ROLE_LEVELS = [f"chain_{i}" for i in range(5)]
 FORMATS = ["convenience", "discount", "hypermarket", "supermarket"]
 
 _register_factor("ols_owner_unit", "avg_kron", "paraplykjede", OWNERS, "AFRICA")
 _register_factor("ols_owner_cent", "avg_ore", "paraplykjede", OWNERS, "AFRICA")
-_register_factor("ols_chain_unit", "avg_kron", "role", ROLE_LEVELS, "chain_3")
-_register_factor("ols_chain_cent", "avg_ore", "role", ROLE_LEVELS, "chain_3")
+_register_chain("ols_chain_unit", "avg_kron")
+_register_chain("ols_chain_cent", "avg_ore")
 _register_factor("ols_format_unit", "avg_kron", "format", FORMATS, "convenience")
 _register_factor("ols_format_cent", "avg_ore", "format", FORMATS, "convenience")
 
@@ -130,8 +154,8 @@ def point_shares(spark, sf_dir):
 _points = {"ctes": POINTS_SQL, "rows": point_shares}
 _register_factor("points_owner_unit_week", "avg_kron", "paraplykjede", OWNERS, "AFRICA", ["week"], **_points)
 _register_factor("points_owner_cent_week", "avg_ore", "paraplykjede", OWNERS, "AFRICA", ["week"], **_points)
-_register_factor("points_chain_unit", "avg_kron", "role", ROLE_LEVELS, "chain_3", **_points)
-_register_factor("points_chain_cent", "avg_ore", "role", ROLE_LEVELS, "chain_3", **_points)
+_register_chain("points_chain_unit", "avg_kron", **_points)
+_register_chain("points_chain_cent", "avg_ore", **_points)
 _register_factor("points_format_unit_owner", "avg_kron", "format", FORMATS, "convenience", ["paraplykjede"], **_points)
 _register_factor("points_format_cent_owner", "avg_ore", "format", FORMATS, "convenience", ["paraplykjede"], **_points)
 
@@ -145,8 +169,8 @@ profile AS (SELECT store_id, avg(unit_nine) AS unit_nine, avg(cent_nine) AS cent
   FROM flagged GROUP BY store_id),
 near AS (SELECT CAST(a.id AS VARCHAR) AS store_id, min({_D}) AS d FROM store_geo AS a
   JOIN store_geo AS b ON a.kjedeid <> b.kjedeid GROUP BY a.id),
-placed AS (SELECT p.*, {", ".join(f"CAST(d > {r * 1000} AS INTEGER)::DOUBLE AS mono{i}" for i, r in enumerate(MONOPOLY_KM))},
-  1.0::DOUBLE AS one, {_ROLE_SQL} AS role FROM profile AS p JOIN near USING (store_id))"""
+placed AS (SELECT p.*, {", ".join(f"CAST(d > {r * 1000} AS INTEGER)::DOUBLE AS mono{i}" for i, r in enumerate(MONOPOLY_KM))}
+  FROM profile AS p JOIN near USING (store_id))"""
 
 
 def store_monopoly(spark, sf_dir):
@@ -157,20 +181,29 @@ def store_monopoly(spark, sf_dir):
     near = nearest_store(views.store_geo(spark, sf_dir), "id", "x", "y", differ_on="kjedeid")
     near = near.select(F.col("id").cast("string").alias("store_id"), "min_distance")
     flags = {f"mono{i}": (F.col("min_distance") > r * 1000).cast("double") for i, r in enumerate(MONOPOLY_KM)}
-    return with_roles(profile.join(near, "store_id").withColumns(flags))
+    return profile.join(near, "store_id").withColumns(flags)
 
 
-def _register_monopoly(y, i):
-    dummies, names = _dummy_ctes("placed", "role", ROLE_LEVELS, "chain_0")
-    x = [f"mono{i}", *names, "one"]
-    terms = {n: f"role[{lev}]" for n, lev in names.items()} | {"one": INTERCEPT}
+def _monopoly_sql(y, x, reference):
+    """The chains are taken out as means; what is left of the flag has a single coefficient."""
+    return f"""WITH {STORE_MONOPOLY_SQL},
+means AS (SELECT kjedeid AS level, count(*) AS n, avg({y}) AS my, avg({x}) AS mx FROM placed GROUP BY ALL),
+refs AS (SELECT n, my, mx FROM means WHERE level = '{reference}'),
+centred AS (SELECT {y} - my AS y, {x} - mx AS x FROM placed JOIN means ON kjedeid = level),
+slope AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx FROM centred),
+size AS (SELECT (SELECT sum(pow(y - b * x, 2)) FROM centred, slope) / (sum(n) - count(*) - 1) AS s2, sum(n) AS n FROM means)
+SELECT '{x}' AS term, {sql_r6("b")} AS estimate, {sql_r6("sqrt(s2 / sxx)")} AS std_error, CAST(n AS BIGINT) AS n_obs FROM slope, size
+UNION ALL SELECT '{INTERCEPT}', {sql_r6("my - b * mx")}, {sql_r6("sqrt(s2 * (1.0 / refs.n + mx * mx / sxx))")}, CAST(size.n AS BIGINT)
+  FROM refs, slope, size
+UNION ALL SELECT 'kjedeid[' || level || ']', {sql_r6("means.my - refs.my - b * (means.mx - refs.mx)")},
+  {sql_r6("sqrt(s2 * (1.0 / means.n + 1.0 / refs.n + pow(means.mx - refs.mx, 2) / sxx))")}, CAST(size.n AS BIGINT)
+  FROM means, refs, slope, size WHERE level <> '{reference}'"""
 
-    @query(
-        f"ols_monopoly_{y}_{MONOPOLY_KM[i]:g}km".replace(".", "_"),
-        ols_sql(f"{STORE_MONOPOLY_SQL}, {dummies}", "dummied", y, x, terms=terms),
-    )
+
+def _register_monopoly(y, i):
+    @query(f"ols_monopoly_{y}_{MONOPOLY_KM[i]:g}km".replace(".", "_"), _monopoly_sql(y, f"mono{i}", "NATION_0"))
     def model(spark, sf_dir):
-        return tidy(fe_ols(store_monopoly(spark, sf_dir), y, [f"mono{i}"], [Factor("role", "chain_0")]))
+        return tidy(fe_ols(store_monopoly(spark, sf_dir), y, [f"mono{i}"], [Factor("kjedeid", "NATION_0")]))
 
 
 for _y in ("unit_nine", "cent_nine"):
