@@ -23,6 +23,8 @@ NINE_CENTS = [90, 95, 99]
 UNIT_BELOW = 90
 WHOLE_PATTERN = r"\d*9$"
 DECIMALS_PATTERN = r"9$|90$|95$"
+# Larger prices print in scientific notation, without an ending.
+PRINTED_BELOW = 1e16
 
 
 def unit_digit(price: Column) -> Column:
@@ -43,12 +45,14 @@ def _printed(price: Column) -> Column:
     text = price.cast("string")
     wide = F.rtrim(text.cast("decimal(38,18)").cast("string"), F.lit("0"))
     plain = F.abs(price).between(0.001, 9999999.0) | (price == 0)
-    in_range = F.abs(price) < 1e16
+    in_range = F.abs(price) < PRINTED_BELOW
     return F.when(plain, text).when(in_range, wide)
 
 
 def _part(price: Column, index: int) -> Column:
-    return F.coalesce(F.get(F.split(_printed(_finite_or_null(price)), r"\."), F.lit(index)), F.lit(""))
+    part = F.coalesce(F.get(F.split(_printed(_finite_or_null(price)), r"\."), F.lit(index)), F.lit(""))
+    # Beyond the digits a price can print, no ending is known.
+    return F.when(is_finite(price) & (F.abs(price) >= PRINTED_BELOW), F.lit(None)).otherwise(part)
 
 
 def ends_unit_nine(price: Column, kind: str = "B") -> Column:

@@ -62,6 +62,16 @@ def test_endings_d_reads_the_printed_price(spark):
     assert got["None"] == got["inf"] == got["nan"] == (False, False)
 
 
+def test_endings_d_of_huge_prices_are_unknown(spark):
+    rows = [(0, 1e16), (1, 9.9e15), (2, 1e300), (3, -1e16), (4, 9999999999999999.0)]
+    p = F.col("p")
+    df = spark.createDataFrame(rows, "i int, p double").select("i", ends_unit_nine(p, "D"), ends_cent_nine(p, "D"))
+    got = {r[0]: tuple(r)[1:] for r in df.collect()}
+    # The last one is the same double as 1e16.
+    assert got[0] == got[2] == got[3] == got[4] == (None, None)
+    assert got[1] == (False, False)
+
+
 def test_unknown_ending_kind():
     with pytest.raises(Exception):
         ends_unit_nine(F.col("p"), "Z")
