@@ -1,7 +1,7 @@
 """Local competition from store coordinates, and matching of store tables.
 
 Distances are planar, in the unit of the coordinates (metres).  Neighbour
-searches descend a pyramid of grid cells.  A store looks at whole cells first
+searches descend a tree of cells, cut where the stores are.  A store looks at whole cells first
 and only at the stores of cells that can still matter, so a dense town is
 never compared pair by pair with everything around it.
 """
@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .groups import first_by
 
-# Each level splits a cell into FANOUT x FANOUT parts.
-FANOUT = 4
+# Each axis of a cell is cut at these quantiles of its places, found to one part in ACCURACY.
+CUTS = [0.25, 0.5, 0.75]
+ACCURACY = 1000
 # Cells with at most this many places are compared place by place.
 LEAF_PLACES = 32
 # A level with at most this many cells is broadcast (about 100 bytes a cell).
 BROADCAST_CELLS = 50_000
-# The smallest cell is coarsest / FANOUT**MAX_LEVELS wide.
-MAX_LEVELS = 12
 
 
 def dedupe_addresses(stores: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -95,38 +94,30 @@ def local_monopoly(df: DataFrame, distance: str, radii_km: list[float] = (2, 5,
     return df.withColumns(flags)
 
 
-class _Pyramid:
-    """Distinct places with the cells that hold them, from coarse to fine.
+class _Tree:
+    """Distinct places in nested cells, cut where the places are.
 
-    Level 0 is a single cell around all places.  Deeper levels exist only while
-    some cell holds more than LEAF_PLACES places.  Each level has one row per
-    occupied cell: its id, its parent's id, the box around its places, their
-    number and weight, and the smallest and largest ``label``.  With ``extra``
-    columns there is one such table per value of these.
+    Level 0 is a single cell around all places.  A cell with more than LEAF_PLACES
+    places is cut at the quartiles of its own places, along both axes, into up to
+    sixteen cells of the next level; smaller cells end there.  A cell's id is the
+    id of its parent and one more digit.  Cuts follow the places, so a dense town
+    next to an empty country costs no extra levels, and as no point holds more than
+    a few places every cut makes progress: there is no limit to the depth.
+
+    Each level has one row per cell: its id, its parent's id, the box around its
+    places, their number and weight, and the smallest and largest ``label``.  With
+    ``extra`` columns there is one such tree per value of these.
     """
 
     def __init__(self, places: DataFrame, extra: list[str]):
         self.extra = extra
-        box = places.agg(
-            F.min("px").alias("x0"),
-            F.min("py").alias("y0"),
-            F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("side"),
-        ).first()
-        x0, y0 = box["x0"] or 0.0, box["y0"] or 0.0
-        # Slightly wider than the data, so that the far edge stays inside.
-        side = (box["side"] or 0.0) * (1 + 1e-9) + 1e-6
-        ids = {}
-        for level in range(MAX_LEVELS + 1):
-            n = FANOUT**level
-            ix = F.floor((F.col("px") - x0) / side * n)
-            iy = F.floor((F.col("py") - y0) / side * n)
-            ids[f"cell_{level}"] = ix * F.lit(n) + iy
-        self.places = checkpointed(places.withColumns(ids))
+        self.places: list[DataFrame] = []
         self.cells: list[DataFrame] = []
-        for level in range(MAX_LEVELS + 1):
+        inside = checkpointed(places.withColumn("cell", F.lit("")))
+        while True:
+            self.places.append(inside)
             cells = checkpointed(
-                self.places.groupBy(*extra, F.col(f"cell_{level}").alias("cell")).agg(
-                    F.min(f"cell_{max(level - 1, 0)}").alias("parent"),
+                inside.groupBy(*extra, "cell").agg(
                     F.min("px").alias("bx0"),
                     F.max("px").alias("bx1"),
                     F.min("py").alias("by0"),
@@ -135,12 +126,21 @@ class _Pyramid:
                     F.sum("weight").alias("weight"),
                     F.min("label").alias("label_min"),
                     F.max("label").alias("label_max"),
+                    F.percentile_approx("px", CUTS, ACCURACY).alias("cut_x"),
+                    F.percentile_approx("py", CUTS, ACCURACY).alias("cut_y"),
                 )
             )
+            cells = cells.withColumn("parent", F.expr("substr(cell, 1, length(cell) - 1)"))
             size = cells.agg(F.count(F.lit(1)).alias("rows"), F.max("places").alias("most")).first()
-            self.cells.append(F.broadcast(cells) if size["rows"] <= BROADCAST_CELLS else cells)
+            if size["rows"] <= BROADCAST_CELLS:
+                cells = F.broadcast(cells)
+            self.cells.append(cells.drop("cut_x", "cut_y"))
             if (size["most"] or 0) <= LEAF_PLACES:
                 break
+            cuts = cells.where(F.col("places") > LEAF_PLACES).select(*extra, "cell", "cut_x", "cut_y")
+            part = _part("px", "cut_x") * (len(CUTS) + 1) + _part("py", "cut_y")
+            inside = inside.join(cuts, [*extra, "cell"]).withColumn("cell", F.concat("cell", F.hex(part)))
+            inside = checkpointed(inside.drop("cut_x", "cut_y"))
         self.depth = len(self.cells) - 1
 
     def step(self, frontier: DataFrame, level: int) -> DataFrame:
@@ -152,15 +152,19 @@ class _Pyramid:
         joined = parents.join(children, ["parent", *self.extra])
         return joined.withColumnRenamed("child", "cell").drop("parent")
 
-    def is_leaf(self, level: int) -> Column:
-        return F.lit(True) if level == self.depth else F.col("places") <= LEAF_PLACES
-
     def open(self, frontier: DataFrame, level: int) -> DataFrame:
         """Replace frontier cells by the places in them."""
-        inside = self.places.select(
-            "px", "py", "weight", "label", *self.extra, F.col(f"cell_{level}").alias("cell")
-        )
-        return frontier.join(inside, ["cell", *self.extra])
+        return frontier.join(self.places[level], ["cell", *self.extra])
+
+
+def _part(value: str, cuts: str) -> Column:
+    """How many of the cuts lie below a value."""
+    return reduce(lambda a, b: a + b, [(F.col(value) > F.col(cuts)[k]).cast("long") for k in range(len(CUTS))])
+
+
+def _on_the_plane(x: Column, y: Column) -> Column:
+    """Both coordinates are there and finite."""
+    return (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
 
 
 def _near(x: Column, y: Column) -> Column:
@@ -196,7 +200,7 @@ def nearest_store(
     ``differ_on`` restricts the others to stores with another value there
     (chain, owner).  Without it the others are all stores but the store itself
     (``exclude="self"``) or all stores at another point (``exclude="zero"``).
-    Stores without coordinates, without the compared value or without any
+    Stores without finite coordinates, without the compared value or without any
     other store are returned with a NULL distance.
     """
     if exclude not in ("self", "zero"):
@@ -212,7 +216,7 @@ def nearest_store(
         F.col(x).cast("double").alias("qx"),
         F.col(y).cast("double").alias("qy"),
         label.alias("own"),
-    ).where(F.col("qx").isNotNull() & F.col("qy").isNotNull() & F.col("own").isNotNull())
+    ).where(_on_the_plane(F.col("qx"), F.col("qy")) & F.col("own").isNotNull())
     located = checkpointed(located)
     # A point with two labels is at distance zero for all its own stores.  To others it
     # shows its smallest and largest label: one of them differs from any label they have.
@@ -226,17 +230,17 @@ def nearest_store(
         F.explode(F.array_distinct(F.array("low", "high"))).alias("label"), "weight",
     )
     shared = points.where(F.col("low") != F.col("high")).select("qx", "qy")
-    pyramid = _Pyramid(places, [])
+    tree = _Tree(places, [])
     qx, qy = F.col("qx"), F.col("qy")
     who = ["qx", "qy", "own"]
     dx, dy = F.col("px") - qx, F.col("py") - qy
     other = (F.col("label_min") != F.col("own")) | (F.col("label_max") != F.col("own"))
     # Stores at one point with one label share their answer.
     frontier = points.where(F.col("low") == F.col("high")).select("qx", "qy", F.col("low").alias("own"))
-    frontier = frontier.withColumns({"cell": F.lit(0).cast("long"), "ub": F.lit(float("inf"))})
+    frontier = frontier.withColumns({"cell": F.lit(""), "ub": F.lit(float("inf"))})
     opened = []
-    for level in range(pyramid.depth + 1):
-        stepped = pyramid.step(frontier, level).where(other)
+    for level in range(tree.depth + 1):
+        stepped = tree.step(frontier, level).where(other)
         stepped = stepped.withColumns({"lo": _near(qx, qy), "hi": _far(qx, qy)})
         stepped = stepped.select(*who, "cell", "places", "ub", "lo", "hi")
         # The nearest other place is at most as far as the far corner of the
@@ -245,10 +249,10 @@ def nearest_store(
         bound = stepped.groupBy(*who).agg(best_hi)
         kept = stepped.join(bound, who).withColumn("ub", F.least("ub", "new_ub"))
         kept = kept.where(F.col("lo") <= F.col("ub")).select(*who, "cell", "places", "ub")
-        if level < pyramid.depth:
+        if level < tree.depth:
             kept = checkpointed(kept)
-        leaf = pyramid.is_leaf(level)
-        pairs = pyramid.open(kept.where(leaf).select(*who, "cell"), level)
+        leaf = F.col("places") <= LEAF_PLACES
+        pairs = tree.open(kept.where(leaf).select(*who, "cell"), level)
         squared = pairs.where(F.col("label") != F.col("own")).select(
             *who, (dx * dx + dy * dy).alias("d2")
         )
@@ -269,7 +273,7 @@ def _count_within(queries: DataFrame, places: DataFrame, extra: list[str]) -> Da
     wholly inside the circle adds its weight; one that lies outside is dropped;
     only cells cut by the circle are opened.
     """
-    pyramid = _Pyramid(places, extra)
+    tree = _Tree(places, extra)
     who = ["qx", "qy", "r", *extra]
     qx, qy, r = F.col("qx"), F.col("qy"), F.col("r")
     dx, dy = F.col("px") - qx, F.col("py") - qy
@@ -277,17 +281,17 @@ def _count_within(queries: DataFrame, places: DataFrame, extra: list[str]) -> Da
     close = F.sqrt(dx * dx + dy * dy) <= r
     inside = _far(qx, qy) * _SLACK <= r * r
     outside = _near(qx, qy) > r * r * _SLACK
-    frontier = queries.select(*who).distinct().withColumn("cell", F.lit(0).cast("long"))
+    frontier = queries.select(*who).distinct().withColumn("cell", F.lit(""))
     sums = []
-    for level in range(pyramid.depth + 1):
-        stepped = pyramid.step(frontier, level).where(~outside)
+    for level in range(tree.depth + 1):
+        stepped = tree.step(frontier, level).where(~outside)
         stepped = stepped.select(*who, "cell", "places", "weight", inside.alias("inside"))
-        if level < pyramid.depth:
+        if level < tree.depth:
             stepped = checkpointed(stepped)
         sums.append(stepped.where("inside").select(*who, "weight"))
         cut = stepped.where(~F.col("inside"))
-        leaf = pyramid.is_leaf(level)
-        pairs = pyramid.open(cut.where(leaf).select(*who, "cell"), level)
+        leaf = F.col("places") <= LEAF_PLACES
+        pairs = tree.open(cut.where(leaf).select(*who, "cell"), level)
         sums.append(pairs.where(close).select(*who, "weight"))
         frontier = cut.where(~leaf).select(*who, "cell")
     return reduce(DataFrame.unionByName, sums).groupBy(*who).agg(F.sum("weight").alias("found"))
@@ -304,7 +308,7 @@ def competitors_within(
     """Number of other-chain stores within each radius of every store.
 
     Counted as all stores in the circle minus those of the own chain.  A store
-    without chain counts none, one without coordinates has NULL; neither is
+    without chain counts none, one without finite coordinates has NULL; neither is
     counted by others.
     """
     located = stores.select(
@@ -312,7 +316,7 @@ def competitors_within(
         F.col(x).cast("double").alias("qx"),
         F.col(y).cast("double").alias("qy"),
         F.col(chain).alias("_chain"),
-    ).where(F.col("qx").isNotNull() & F.col("qy").isNotNull() & F.col("_chain").isNotNull())
+    ).where(_on_the_plane(F.col("qx"), F.col("qy")) & F.col("_chain").isNotNull())
     located = checkpointed(located)
     radii = F.explode(F.array(*[F.lit(float(k) * 1000) for k in radii_km])).alias("r")
     queries = located.select("qx", "qy", "_chain", radii)
@@ -336,9 +340,9 @@ def competitors_within(
         ]
     )
     found = located.join(wide, ["qx", "qy", "_chain"]).select(
-        F.col("_id").alias(key), *[c for c in wide.columns if c.startswith("competitors")]
+        F.col("_id").alias(key), *[F.col(f"`{c}`") for c in wide.columns if c.startswith("competitors")]
     )
     names = [c for c in found.columns if c != key]
-    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
-    counts = {c: F.when(placed, F.coalesce(c, F.lit(0))) for c in names}
+    placed = _on_the_plane(F.col(x).cast("double"), F.col(y).cast("double"))
+    counts = {c: F.when(placed, F.coalesce(F.col(f"`{c}`"), F.lit(0))) for c in names}
     return stores.join(found, key, "left").withColumns(counts)

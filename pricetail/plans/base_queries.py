@@ -16,7 +16,7 @@ from ..functions import (
     week_of_year_sunday,
 )
 from ..functions.scalars import decade
-from ..operators.cells import build_cells, build_modes, join_modes, price_points
+from ..operators.cells import CELL_KEY, build_cells, build_modes, join_modes, price_points
 from ..operators.clean import (
     Feed,
     clean_lines,
@@ -31,7 +31,15 @@ from ..operators.geo import nearest_store
 from ..operators.groups import first_by, group_mode
 from ..schemas import CELLS, MODES, STORES_WITH_DISTANCE
 from ..session import scratch_path
-from ..sources import read_csv_table, read_months, read_parquet_tree, write_csv_table, write_months
+from ..sources import (
+    read_csv_table,
+    read_months,
+    read_parquet_tree,
+    replace_months,
+    write_bucketed,
+    write_csv_table,
+    write_months,
+)
 from . import views
 from .registry import query, r6, rounded, sql_r6
 from .views import PRICE_CELLS_SQL, PRICE_OBS_SQL, SCAN_LINES_SQL, STORE_GEO_SQL
@@ -423,6 +431,37 @@ def month_sink_roundtrip(spark, sf_dir):
     )
 
 
+@query(
+    "months_reloaded",
+    f"""WITH {SCAN_LINES_SQL}
+SELECT month, week, sku_gtin, store_id, kjedeid, count(*) AS trans, {sql_r6("avg(ppu)")} AS price, sum(quantity) AS quantity
+FROM scan_lines GROUP BY ALL""",
+)
+def months_reloaded(spark, sf_dir):
+    """A first load with faulty lines in one month and no lines of the last; both months loaded again, the others left."""
+    path = scratch_path(spark, "cells")
+    lines = views.scan_lines(spark, sf_dir)
+    faulty = lines.where(F.col("month") < 11).withColumn(
+        "quantity", F.when(F.col("month") == 8, F.col("quantity") * 10).otherwise(F.col("quantity"))
+    )
+    write_months(build_cells(faulty), path)
+    replace_months(build_cells(lines.where(F.col("month").isin(8, 11))), path)
+    return rounded(read_months(spark, path, schema=CELLS), ["price"])
+
+
+@query(
+    "cells_with_modes_bucketed",
+    f"""WITH {PRICE_CELLS_SQL}
+SELECT month, week, sku_gtin, store_id, kjedeid, trans, {sql_r6("price")} AS price, quantity, ppu FROM price_cells""",
+)
+def cells_with_modes_bucketed(spark, sf_dir):
+    """Cells and modes written in the same buckets of their key, then joined where they lie."""
+    lines = views.price_obs(spark, sf_dir)
+    cells = write_bucketed(build_cells(lines), scratch_path(spark, "cells"), CELL_KEY)
+    modes = write_bucketed(build_modes(lines), scratch_path(spark, "modes"), CELL_KEY)
+    return rounded(join_modes(cells, modes.hint("merge")), ["price"])
+
+
 @query(
     "modes_by_month",
     f"""WITH {PRICE_CELLS_SQL}

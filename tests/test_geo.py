@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from pricetail.operators import geo
@@ -62,3 +63,33 @@ def test_many_stores_at_one_point(spark):
     df = spark.createDataFrame(rows, "id long, x double, y double")
     got = {r["id"]: r["min_distance"] for r in geo.nearest_store(df, "id", "x", "y").collect()}
     assert got.pop(9001) == 5.0 and set(got.values()) == {0.0} and len(got) == 5000
+
+
+def test_dense_place_with_far_outlier(spark):
+    # A millimetre full of stores and one store 1,000 km away: cells follow the stores.
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.uniform(0, 1e-3, (5_000, 2)), [[1e6, 1e6]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
+    tree = geo._Tree(df.select(geo.F.col("x").alias("px"), geo.F.col("y").alias("py"), geo.F.lit(1).alias("weight"), geo.F.lit("").alias("label")), [])
+    assert tree.depth <= 7 and tree.cells[-1].agg({"places": "max"}).first()[0] <= geo.LEAF_PLACES
+    got = np.array([r[1] for r in geo.nearest_store(df, "id", "x", "y").orderBy("id").select("id", "min_distance").collect()])
+    want = np.empty(len(at))
+    for lo in range(0, len(at), 500):
+        d2 = ((at[lo : lo + 500, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+        d2[np.arange(len(d2)), np.arange(lo, lo + len(d2))] = np.inf
+        want[lo : lo + 500] = np.sqrt(d2.min(axis=1))
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
+def test_ties_along_both_axes_and_no_finite_place(spark, monkeypatch):
+    # Most stores share x or y, so that quartiles fall together; some have no finite place.
+    monkeypatch.setattr(geo, "LEAF_PLACES", 2)
+    stores = [(i, 5.0, float(i), "a") for i in range(30)] + [(100 + i, float(i), 7.0, "b") for i in range(30) if i != 5]
+    odd = [(200, float("nan"), 1.0, "a"), (201, float("inf"), 1.0, "b"), (202, 1.0, None, "a")]
+    df = spark.createDataFrame(stores + odd, "id long, x double, y double, chain string")
+    want = brute(stores)
+    for r in geo.nearest_store(df, "id", "x", "y", differ_on="chain").collect():
+        assert r["min_distance"] == (want[r["id"]][2] if r["id"] < 200 else None)
+    for r in geo.competitors_within(df, "id", "x", "y", "chain", [0.002, 0.01]).collect():
+        expected = [sum(1 for _, a, b, c in stores if c != r["chain"] and math.hypot(a - r["x"], b - r["y"]) <= k) for k in (2, 10)] if r["id"] < 200 else [None, None]
+        assert [r["competitors_within_0.002km"], r["competitors_within_0.01km"]] == expected
