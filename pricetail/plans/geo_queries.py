@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import digits_only, to_long_or_null, with_endings
+from ..operators.cells import build_cells, build_modes, join_modes
+from ..operators.clean import plausible
 from ..operators.geo import (
     competitors_within,
     dedupe_addresses,
@@ -15,6 +17,7 @@ from ..operators.geo import (
     unmatched,
     with_municipality,
 )
+from ..operators.shares import store_profile
 from . import views
 from .registry import query, r6, rounded, sql_r6
 from .views import SCAN_LINES_SQL, STORE_GEO_SQL
@@ -93,6 +96,43 @@ def store_extract(spark, sf_dir):
     return sold.join(places.withColumnRenamed("id", "store_id"), "store_id", "left")
 
 
+@query(
+    "store_extract_endings",
+    f"""WITH {SCAN_LINES_SQL}, {STORE_GEO_SQL},
+cells AS (
+  SELECT month, week, sku_gtin, store_id, kjedeid, count(*) AS trans, avg(ppu) AS price, sum(quantity) AS quantity FROM scan_lines GROUP BY ALL),
+points AS (SELECT month, week, sku_gtin, store_id, ppu, count(*) AS n FROM scan_lines GROUP BY ALL),
+modes AS (SELECT * FROM points QUALIFY n = max(n) OVER (PARTITION BY month, week, sku_gtin, store_id)),
+flagged AS (
+  SELECT store_id, trans, quantity,
+         CAST(CAST(trunc(ppu) AS BIGINT) % 10 = 9 AND trunc(ppu) < 90 AS INTEGER) AS unit_nine,
+         CAST(CAST(round_even(ppu * 100, 0) AS BIGINT) % 100 IN (90, 95, 99) AS INTEGER) AS cent_nine
+  FROM cells JOIN modes USING (month, week, sku_gtin, store_id)
+  WHERE price > 0 AND price < 1000 AND quantity > 0 AND quantity < 201),
+sold AS (
+  SELECT store_id, avg(greatest(unit_nine, cent_nine)) AS any_nine, avg(unit_nine) AS unit_nine, avg(cent_nine) AS cent_nine,
+         CAST(sum(trans) AS BIGINT) AS trans, sum(quantity) AS quantity
+  FROM flagged GROUP BY store_id),
+geo AS (SELECT DISTINCT CAST(regexp_replace('ID-' || CAST(id AS VARCHAR), '[^0-9]', '', 'g') AS BIGINT) AS id_int,
+  kjedeid, paraplykjede, oms, x, y FROM store_geo)
+SELECT CAST(store_id AS BIGINT) AS store_id, {sql_r6("any_nine")} AS any_nine, {sql_r6("unit_nine")} AS unit_nine, {sql_r6("cent_nine")} AS cent_nine,
+       trans, quantity, kjedeid, paraplykjede, oms, x, y FROM sold LEFT JOIN geo ON CAST(store_id AS BIGINT) = id_int""",
+)
+def store_extract_endings(spark, sf_dir):
+    """One row per store: shares of modal prices by ending, totals of its cells, and its place where it is known."""
+    lines = views.scan_lines(spark, sf_dir)
+    cells = plausible(join_modes(build_cells(lines), build_modes(lines)), 1000)
+    flags = ["any_nine", "unit_nine", "cent_nine"]
+    # Stores are summed up before they meet the store table.
+    sold = store_profile(with_endings(cells, "ppu", "C"), "store_id", flags, ["trans", "quantity"])
+    places = views.store_geo(spark, sf_dir).select(
+        to_long_or_null(digits_only(F.concat(F.lit("ID-"), F.col("id").cast("string")))).alias("store_id"),
+        "kjedeid", "paraplykjede", "oms", "x", "y",
+    ).distinct()
+    sold = sold.withColumn("store_id", F.col("store_id").cast("long"))
+    return rounded(sold.join(places, "store_id", "left"), flags)
+
+
 @query(
     "municipality_default",
     f"""WITH {STORE_GEO_SQL}

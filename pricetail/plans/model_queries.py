@@ -274,6 +274,41 @@ _register_cells_model("fe_trans_interaction", "log_trans", ["log_price", "cent_n
 _register_cells_model("fe_trans_full", "log_trans", ["log_price", "unit_nine", "cent_nine", "log_price_unit", "log_price_cent"], ["sku_gtin", "store_id", "week"])
 
 
+# --- demand within each category, with chains ------------------------------------
+
+CATEGORY_SQL = f"""{CELLS_LOG_SQL}, labelled AS (
+  SELECT * REPLACE (
+    CAST(CAST(floor(ppu) AS BIGINT) % 10 = 9 AS INTEGER)::DOUBLE AS unit_nine,
+    CAST(round(ppu - floor(ppu), 2) >= 0.9 AS INTEGER)::DOUBLE AS cent_nine)
+  FROM cells_log WHERE fl <= 100),
+categorised AS (SELECT * REPLACE (unit_nine * cent_nine AS unit_cent),
+  {", ".join(f"CAST(kjedeid = 'chain_{c}' AS INTEGER)::DOUBLE AS chain_{c}" for c in range(1, 5))} FROM labelled)"""
+
+
+def category_cells(spark, sf_dir):
+    """Cells with endings by definition A and bins of at most 100, each with its category."""
+    cells = with_endings(cells_log(spark, sf_dir).where(F.col("floor") <= 100), "ppu", "A")
+    return with_interactions(cells, {"unit_cent": ("unit_nine", "cent_nine")})
+
+
+@query(
+    "fe_demand_by_category_chain",
+    ols_sql(
+        CATEGORY_SQL, "categorised", "log_quantity1",
+        ["log_price", "unit_nine", "cent_nine", "unit_cent", "chain_1", "chain_2", "chain_3", "chain_4"],
+        [["week"], ["sku_gtin"]], by=["sku_group"], cluster=["store_id"], terms={f"chain_{c}": f"kjedeid[chain_{c}]" for c in range(1, 5)},
+    ),
+)
+def fe_demand_by_category_chain(spark, sf_dir):
+    """Demand per category on price, both endings, their product and chains; week and product absorbed, errors by store."""
+    x = ["log_price", "unit_nine", "cent_nine", "unit_cent"]
+    chains = Factor("kjedeid", "chain_0", tuple(f"chain_{c}" for c in range(5)))
+    fit = fe_ols(
+        category_cells(spark, sf_dir), "log_quantity1", x, [chains], ["week", "sku_gtin"], ["store_id"], ["sku_group"], vcov="cluster"
+    )
+    return tidy(fit, "sku_group")
+
+
 def _register_owner_fe():
     dummies, names = _dummy_ctes("cells_log", "owner", ["owner_0", "owner_1", "owner_2"], "owner_0")
     terms = {n: f"owner[{lev}]" for n, lev in names.items()}
