@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,11 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return _ENCODINGS[ranks]
 
 
+def _packed(ids: list[int]) -> np.ndarray:
+    """Ids as two bytes each, without a look at every Python number by numpy."""
+    return np.frombuffer(array("H", ids), np.uint16).astype("<u2", copy=False)
+
+
 def permuted(index: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     """The slot of every index below n: a bijection of 0..n-1."""
     half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
@@ -88,7 +94,7 @@ def tokenised(docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text: st
         for batch in batches:
             tokens, firsts = [], []
             for t in batch.column("text").to_pylist():
-                ids = np.array(encode(t), "<u2").tobytes() + end if t else end
+                ids = _packed(encode(t)).tobytes() + end if t else end
                 tokens.append(ids)
                 firsts.append(first)
                 first += -(-len(ids) // (2 * LENGTH))
@@ -133,12 +139,13 @@ def sequences_again(
         first, stop = offsets.get(part, 0), offsets.get(part, 0) + made.get(part, 0)
 
         def records(t: str | None) -> np.ndarray:
-            ids = np.array([*(encode(t) if t else ()), end], "<u2")
-            m = -(-len(ids) // LENGTH)
+            # The end is there already: records are filled with it.
+            ids = _packed(encode(t) if t else [])
+            m = len(ids) // LENGTH + 1
+            full = (m - 1) * LENGTH
             out = np.full((m, LENGTH + 1), end, "<u2")
             out[:, 0] = LENGTH
-            out[-1, 0] = len(ids) - (m - 1) * LENGTH
-            full = (m - 1) * LENGTH
+            out[-1, 0] = len(ids) + 1 - full
             out[:-1, 1:] = ids[:full].reshape(m - 1, LENGTH)
             out[-1, 1 : 1 + len(ids) - full] = ids[full:]
             return out
