@@ -45,3 +45,15 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.score for r in found if r.doc_id in (9001, 9002)}.__len__() == 1
     assert Q.classify(docs.limit(0), trees).count() == 0
     assert Q.fit(docs, labels.limit(0)).score(np.zeros((1, len(Q.FEATURES))))[0] == 0.5
+
+
+def test_label_sample_is_the_first_by_hash(spark):
+    rows = spark.range(5000).union(spark.range(7, 8)).selectExpr("id AS k", "xxhash64(id) AS h")
+    for limit in (0, 10, 900, 4800, 9000):
+        some = Q.first_by_hash(rows, "k", limit)
+        assert some.orderBy("h", "k").limit(limit).collect() == rows.orderBy("h", "k").limit(limit).collect()
+        assert some.count() <= 1.5 * limit + 20 or limit >= 4800
+    # One id with a third of all rows: the threshold is widened until there are enough.
+    hot = rows.union(spark.sql("SELECT 3 AS k, xxhash64(3L) AS h FROM range(2500)"))
+    assert Q.first_by_hash(hot, "k", 3000).count() >= 3000
+    assert Q.first_by_hash(rows.limit(0), "k", 5).count() == 0
