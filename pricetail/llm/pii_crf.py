@@ -10,7 +10,7 @@ be in no segment, so leaving them out changes no result.  Spans that overlap a
 pattern's span are dropped; the pattern's stays.
 
 The model is fitted on the driver by maximum likelihood, on windows from a bounded
-sample of documents, labelled by the patterns, and on written-out variants of
+sample of documents, labelled by the patterns, and on written-out families of forms of
 each kind and of numbers that are none of them, between words of the sample.
 
 Defined results: null and empty texts have no spans; texts of any length are
@@ -34,6 +34,8 @@ KINDS = ["email", "ip", "card", "phone"]
 REACH = 20
 # Documents that the sample takes windows from, windows of each, and their reach in characters.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 200, 2, 120
+# Documents looked into at first for each that the sample wants.
+CANDIDATES = 8
 
 # The forms that must be found.  A run of digits or address characters is tried from
 # its start only; starts within a run end at the same place.
@@ -116,8 +118,8 @@ def possible(parts: list[str]) -> list[str]:
                 kinds.append("phone")
             if n >= 12:
                 kinds.append("card")
-            if parts.count(".") >= 3 or sum("dot" in p for p in parts) >= 3:
-                kinds.append("ip")
+        if first[0].isdigit() and all(p.lower() == "dot" for p in words) and parts.count(".") + len(words) == 3:
+            kinds.append("ip")
     if words and last[-1].isalpha() and first[0].isalnum() and not any("\n" in p for p in parts):
         marks = [k for k, p in enumerate(parts) if p == "@" or p.lower() == "at"]
         if len(marks) == 1 and 0 < marks[0] < len(parts) - 1:
@@ -144,12 +146,19 @@ def features(kind: str, parts: list[str], before: str, after: str) -> list[str]:
         f"closed={parts.count('(') == parts.count(')')}",
         f"groups={'-'.join(str(len(p)) for p in parts if p.isascii() and p.isdigit())}" if len(parts) < 12 else "groups=many",
     ]
+    if kind == "phone":
+        out.append(f"lead={parts[0] if parts[0] in '+(' else digits[:1] == '0'}")
     if kind == "card":
         out.append(f"luhn={12 <= len(digits) <= 19 and luhn(digits)}")
     if kind == "ip":
         out.append(f"octets={all(len(p) < 4 and int(p) < 256 for p in parts if p.isascii() and p.isdigit())}")
     if kind == "email":
         out += [f"word={p.lower()}" for p in parts[-1:]]
+        # The name's parts: words, digits and what stands between them, a written-out dot as a dot.
+        mark = next(k for k, p in enumerate(parts) if p == "@" or p.lower() == "at")
+        local = "".join("." if p.lower() == "dot" else "w" if p[0].isalpha() else "d" if p[0].isdigit() else p[0] for p in parts[:mark])
+        local = local.replace(" . ", ".").rstrip(" ([")
+        out += [f"local={local}" if len(local) < 8 else "local=long", f"apart={' ' in local}"]
         out.append(f"spaced={any(p.isspace() for p in parts)},{'dot' in [p.lower() for p in parts]},{'@' in parts}")
     return [f"{kind}|{x}" for x in out]
 
@@ -288,28 +297,46 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def variants(rng: random.Random) -> tuple[str, str]:
-    """(kind, text) of a written-out form; kind "" is a number or word that is no personal data."""
+def forms(rng: random.Random) -> list[tuple[str, str, str]]:
+    """(family, kind, text): one form of every family; kind "" is a number or word that is no personal data."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    name = "".join(rng.choice(["an", "bo", "el", "mi", "ra", "to", "su"]) for _ in range(rng.randint(2, 4)))
-    host = rng.choice(["mail", "post", "example", "site"]) + rng.choice(["", d(1)])
-    end = rng.choice(["com", "org", "net", "de", "fr"])
-    body = d(rng.choice([14, 15, 15, 15]))
+    word = lambda: "".join(rng.choice(["an", "bo", "el", "mi", "ra", "to", "su"]) for _ in range(rng.randint(2, 4)))
+    mark = lambda *of: rng.choice(of)
+    name = mark(word(), word(), f"{word()}.{word()}", f"{word()}_{word()}", word() + d(2), f"{word()}_{d(1)}")
+    host = mark("mail", "post", "example", "site") + mark("", d(1))
+    end = mark("com", "org", "net", "de", "fr")
+    body = d(mark(14, 15, 15, 15))
     card = next(body + x for x in "0123456789" if luhn(body + x))
-    forms = [
-        ("email", f"{name}.{d(2)}@{host}.{end}"), ("email", f"{name}@{host}.example.{end}"),
-        ("email", f"{name} at {host} dot {end}"), ("email", f"{name} [at] {host} [dot] {end}"), ("email", f"{name}(at){host}.{end}"),
-        ("email", f"{name} @ {host}.{end}"), ("ip", ".".join(str(rng.randint(1, 255)) for _ in range(4))),
-        ("card", card), ("card", " ".join(card[k : k + 4] for k in range(0, len(card), 4))), ("card", "-".join(card[k : k + 4] for k in range(0, len(card), 4))),
-        ("card", ".".join(card[k : k + 4] for k in range(0, len(card), 4))),
-        ("phone", f"+1 ({d(3)}) {d(3)}-{d(4)}"), ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{d(3)}-{d(3)}-{d(4)}"),
-        ("phone", f"+{d(2)} {d(3)} {d(3)} {d(4)}"), ("phone", f"{d(3)}.{d(3)}.{d(4)}"), ("phone", f"({d(3)}) {d(3)} {d(4)}"),
-        ("", f"{d(1)}.{d(1)}."), ("", f"{d(1)}.{d(1)}.{d(2)}"), ("", f"20{d(2)}-{d(2)}-{d(2)}"), ("", f"{d(2)}:{d(2)}:{d(2)}"),
-        ("", d(rng.randint(1, 18))), ("", f"{d(2)},{d(3)}.{d(2)}"), ("", f"#{d(8)}"), ("", f"{d(8)}-{d(8)}"), ("", f"{d(2)}.{d(2)}.20{d(2)} {d(2)}"),
-        ("", "".join(rng.choice("0123456789abcdef") for _ in range(40))), ("", "AKIA" + "".join(rng.choice("ABCDEFGHJK23456789") for _ in range(16))),
-        ("", f"password={d(3)}ab{d(4)}f{d(3)}"), ("", f"300.{d(3)}.900.{d(2)}"), ("", f"{d(4)} {d(4)} {d(3)}"), ("", f"meet at {name} dot."), ("", f"{d(16)}"),
+    fours = [card[k : k + 4] for k in range(0, len(card), 4)]
+    octets = [str(rng.randint(0, 255)) for _ in range(4)]
+    code = d(15)
+    wrong = next(code + x for x in "0123456789" if not luhn(code + x))
+    return [
+        ("email plain", "email", f"{name}@{host}.{end}"), ("email plain", "email", f"{name}@{host}.example.{end}"),
+        ("email words", "email", f"{name} at {host} dot {end}"), ("email square", "email", f"{name} [at] {host} [dot] {end}"),
+        ("email round", "email", f"{name} (at) {host} (dot) {end}"), ("email tight", "email", f"{name}(at){host}.{end}"),
+        ("email spaced", "email", f"{name} @ {host}.{end}"), ("email long words", "email", f"{word()} dot {word()} at {host} dot {end}"),
+        ("email two dots", "email", f"{name} at {host} dot example dot {end}"), ("email mixed", "email", f"{name}@{host} dot {end}"),
+        ("ip plain", "ip", ".".join(octets)), ("ip words", "ip", " dot ".join(octets)),
+        ("ip square", "ip", "[.]".join(octets)), ("ip round", "ip", "(.)".join(octets)),
+        ("card plain", "card", card), ("card spaces", "card", " ".join(fours)), ("card dashes", "card", "-".join(fours)),
+        ("card dots", "card", ".".join(fours)), ("card slashes", "card", "/".join(fours)),
+        ("phone one", "phone", f"+1 ({d(3)}) {d(3)}-{d(4)}"), ("phone area", "phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone area", "phone", f"({d(3)}) {d(3)} {d(4)}"),
+        ("phone dashes", "phone", f"{d(3)}-{d(3)}-{d(4)}"), ("phone plus", "phone", f"+{d(2)} {d(3)} {d(3)} {d(4)}"), ("phone dots", "phone", f"{d(3)}.{d(3)}.{d(4)}"),
+        ("phone national", "phone", f"0{d(3)} {d(7)}"), ("phone national", "phone", f"0{d(2)} {d(4)} {d(4)}"), ("phone pairs", "phone", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"),
+        ("phone slash", "phone", f"0{d(2)}/{d(7)}"), ("phone slash", "phone", f"0{d(3)}/{d(6)}"), ("phone zeros", "phone", f"00{d(2)} {d(3)} {d(7)}"), ("phone bare", "phone", f"0{d(10)}"),
+        ("part", "", f"{d(1)}.{d(1)}."), ("version", "", f"{d(1)}.{d(1)}.{d(2)}"), ("date", "", f"20{d(2)}-{d(2)}-{d(2)}"), ("time", "", f"{d(2)}:{d(2)}:{d(2)}"),
+        ("number", "", mark("1", "2", "5", "9") + d(rng.randint(0, 17))), ("amount", "", f"{d(2)},{d(3)}.{d(2)}"), ("issue", "", f"#{d(8)}"), ("double", "", f"{d(8)}-{d(8)}"),
+        ("longer", "", f"{d(3)}-{d(3)}-{d(4)}-{d(2)}"), ("moment", "", f"{d(2)}.{d(2)}.20{d(2)} {d(2)}"), ("moment", "", f"{d(2)}/{d(2)}/20{d(2)}"), ("range", "", f"{d(4)}-{d(4)}"),
+        ("hash", "", "".join(rng.choice("0123456789abcdef") for _ in range(40))), ("key", "", "AKIA" + "".join(rng.choice("ABCDEFGHJK23456789") for _ in range(16))),
+        ("secret", "", f"password={d(3)}ab{d(4)}f{d(3)}"), ("octets", "", f"300.{d(3)}.900.{d(2)}"), ("triple", "", f"{d(4)} {d(4)} {mark('1', '2', '7') + d(2)}"),
+        ("sentence", "", f"meet at {word()} dot."), ("code", "", wrong), ("isbn", "", f"97{mark('8', '9')}-{d(1)}-{d(3)}-{d(5)}-{d(1)}"),
     ]
-    kind, text = rng.choice(forms)
+
+
+def variants(rng: random.Random, families: frozenset[str] | None = None, without: frozenset[str] = frozenset()) -> tuple[str, str]:
+    """(kind, text) of a form of the given families (all, if none are given), but for those left out."""
+    kind, text = rng.choice([(k, t) for f, k, t in forms(rng) if (families is None or f in families) and f not in without])
     if not kind and len(_digits(text)) == len(text) and luhn(text):
         text = text[:-1] + str((int(text[-1]) + 1) % 10)
     return kind, text
@@ -333,8 +360,10 @@ def _aligned(text: str, spans: list[Span]) -> tuple[list[str], set[tuple[int, in
     return [t for t, _, _ in found], gold
 
 
-def train(windows: list[str], written: int = 900, passes: int = 3, seed: int = 11, rate: float = 0.3) -> Model:
-    """Stochastic gradient ascent on the log-likelihood, with a little shrinkage."""
+def train(
+    windows: list[str], written: int = 1500, passes: int = 3, seed: int = 11, rate: float = 0.3, without: frozenset[str] = frozenset()
+) -> Model:
+    """Stochastic gradient ascent on the log-likelihood, with a little shrinkage; families of forms can be left out."""
     rng = random.Random(seed)
     words = [w for t in windows for w in t.split() if w.isalpha()][:5000] or ["and", "the", "or", "so", "then", "for"]
     examples = []
@@ -346,7 +375,7 @@ def train(windows: list[str], written: int = 900, passes: int = 3, seed: int = 1
         text, spans = "", []
         for _ in range(rng.randint(1, 2)):
             text += " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + rng.choice([" ", " ", ": ", "\n"])
-            kind, form = variants(rng)
+            kind, form = variants(rng, without=without)
             if kind:
                 spans.append((kind, len(text), len(text) + len(form)))
             text += form + rng.choice([" ", " ", ", ", ". "])
@@ -376,22 +405,27 @@ def windows_of(text: str) -> list[str]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
-    """A model from at most SAMPLE_DOCS documents, the first with digits or at-signs in the order of a hash of the id."""
+    """A model from at most SAMPLE_DOCS documents, the first with a pattern's mark in the order of a hash of the id.
+
+    Only documents whose hash is below a threshold are looked into, one of each
+    id; the threshold rises until enough are found.  So tasks pass on windows of
+    a number of documents that doesn't grow with the table.
+    """
 
     @F.arrow_udf("array<string>")
     def windows(rows: pa.Array) -> pa.Array:
         return pa.array([windows_of(t) for t in rows.to_pylist()], pa.list_(pa.string()))
 
-    chosen = (
-        docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
-        .filter(F.col("body").rlike(r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]"))
-        .withColumn("windows", windows("body"))
-        .select(F.xxhash64("id").alias("h"), "id", "windows")
-        .orderBy("h", "id", "windows")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
-    return train([w for r in chosen for w in r.windows])
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body")).withColumn("h", F.xxhash64("id"))
+    share = CANDIDATES * SAMPLE_DOCS / max(docs.count(), 1)
+    while True:
+        below = narrow if share >= 1 else narrow.filter(F.col("h") < F.lit(int(share * 2**64) - 2**63))
+        marked = below.filter(F.col("body").rlike(r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]"))
+        one = marked.groupBy("h", "id").agg(F.min("body").alias("body"))
+        chosen = one.select("h", "id", windows("body").alias("windows")).orderBy("h", "id").limit(SAMPLE_DOCS).collect()
+        if share >= 1 or len(chosen) == SAMPLE_DOCS:
+            return train([w for r in chosen for w in r.windows])
+        share *= 8
 
 
 def told(spans: list[Span]) -> str:

@@ -84,6 +84,55 @@ def test_held_out_forms(model):
     assert right >= 380
 
 
+# Families of forms that a model never sees in training.
+HELD = frozenset({
+    "email round", "email long words", "email mixed", "ip square", "ip words", "card dots", "phone dots", "phone pairs", "phone slash",
+    "date", "longer", "amount", "isbn",
+})
+
+
+def test_held_out_families():
+    """Precision and recall by kind on unseen families: the README states them."""
+    unseen = P.train([], without=HELD)
+    rng = random.Random(5)
+    right, told, wanted = ({k: 0 for k in P.KINDS} for _ in range(3))
+    for _ in range(1500):
+        kind, form = P.variants(rng, HELD)
+        found = unseen.spans(f"lorem ipsum {form} dolor")
+        for k, _, _ in found:
+            told[k] += 1
+        if kind:
+            wanted[kind] += 1
+            right[kind] += (kind, 12, 12 + len(form)) in found
+    least = {"email": (0.95, 0.95), "ip": (0.95, 0.95), "card": (0.75, 0.95), "phone": (0.6, 0.4)}
+    for k, (precision, recall) in least.items():
+        assert right[k] >= precision * told[k] and right[k] >= recall * wanted[k] > 0, (k, right, told, wanted)
+
+
+def test_forms_in_sentences(model):
+    forms = [
+        ("email", "bob_1 (at) host (dot) org"), ("ip", "10 dot 0 dot 0 dot 1"), ("phone", "0171 2345678"), ("phone", "01 23 45 67 89"),
+        ("phone", "030/1234567"), ("email", "anna dot smith at example dot com"), ("", "555-123-4567-88"),
+    ]
+    for kind, form in forms:
+        assert model.spans(f"please see {form} for it") == ([(kind, 11, 11 + len(form))] if kind else [])
+
+
+def test_fit_reads_a_bounded_sample(spark, monkeypatch):
+    """The first marked documents by hash, one of each id, however many share it."""
+    seen = []
+    monkeypatch.setattr(P, "train", lambda windows: seen.append(sorted(windows)) or P.Model())
+    docs = spark.range(6000).selectExpr("if(id < 2000, 7, id) AS doc_id", "concat('see a', id, '@b.cd or', if(id % 3 = 0, ' it', ' not')) AS text")
+    P.fit(docs)
+    P.fit(docs.repartition(7))
+    assert seen[0] == seen[1] and len(seen[0]) == P.SAMPLE_DOCS and len(set(seen[0])) == P.SAMPLE_DOCS
+    # Marks so rare that the threshold rises to all documents.
+    P.fit(docs.selectExpr("doc_id", "if(doc_id = 5999, text, 'none') AS text"))
+    assert len(seen[2]) == 1
+    P.fit(docs.selectExpr("CAST(NULL AS long) AS doc_id", "text"))
+    assert len(seen[3]) == 1
+
+
 def test_documents(spark, model):
     rows = [
         (1, None), (2, ""), (3, "é mail a.b@c-d.org, ip 10.0.0.1 and 999.1.1.1"), (4, "call (555) 123-4567 or write to toan at post dot com now"),
