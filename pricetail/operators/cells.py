@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_finite
+
 CELL_KEY = ["month", "week", "sku_gtin", "store_id"]
 
 
@@ -21,6 +23,21 @@ def build_cells(lines: DataFrame) -> DataFrame:
     )
 
 
+def mean_cents(lines: DataFrame, by: list[str], price: str = "ppu") -> DataFrame:
+    """Mean price of each group in whole cents, halves up.
+
+    Prices are summed as integers, so neither the order of the lines nor the
+    number of tasks decides which side of a tie a mean falls on.  A price that is
+    missing or not finite is left out; a group without any has NULL.
+    """
+    cents = F.when(is_finite(F.col(price)), F.round(F.col(price) * 100).cast("long"))
+    summed = lines.groupBy(*by).agg(F.sum(cents).alias("_cents"), F.count(cents).alias("_n"))
+    # div cuts towards zero; the remainder is taken off first, so that it rounds down.
+    doubled, twice = "(2 * _cents + _n)", "(2 * _n)"
+    mean = F.expr(f"CASE WHEN _n > 0 THEN ({doubled} - pmod({doubled}, {twice})) div {twice} END")
+    return summed.withColumn("mean_cents", mean).drop("_cents", "_n")
+
+
 def price_points(lines: DataFrame, by: list[str], price: str = "ppu") -> DataFrame:
     """How many lines were sold at each price within a group."""
     return lines.groupBy(*by, price).agg(F.count(F.lit(1)).alias("n"))

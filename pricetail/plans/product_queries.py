@@ -50,9 +50,10 @@ SELECT sold_in_all, count(*) AS n, count(DISTINCT sku_gtin) AS skus FROM marked
 def sold_in_all_flag(spark, sf_dir):
     lines = views.scan_lines(spark, sf_dir).select("sku_gtin", "paraplykjede")
     everywhere = sold_in_all(lines, "sku_gtin", "paraplykjede")
-    flagged = flag_members(lines, everywhere, "sku_gtin", "sku_gtin", "sold_in_all")
-    per_sku = flagged.groupBy("sold_in_all", "sku_gtin").agg(F.count(F.lit(1)).alias("n"))
-    return per_sku.groupBy("sold_in_all").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("skus"))
+    # Lines are counted before the join, so that a best seller is one row in it.
+    per_sku = lines.groupBy("sku_gtin").agg(F.count(F.lit(1)).alias("n"))
+    flagged = flag_members(per_sku, everywhere, "sku_gtin", "sku_gtin", "sold_in_all")
+    return flagged.groupBy("sold_in_all").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("skus"))
 
 
 @query(
@@ -63,11 +64,11 @@ SELECT store_id, count(*) AS n, sum(quantity) AS quantity FROM scan_lines
 WHERE sku_gtin IN (SELECT sku_gtin FROM best) GROUP BY store_id""",
 )
 def top_k_skus_semi(spark, sf_dir):
-    lines = views.scan_lines(spark, sf_dir).select("store_id", "sku_gtin", "quantity")
-    kept = keep_members(lines, top_k(lines, "sku_gtin", "quantity", 500), "sku_gtin")
-    return kept.groupBy("store_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity")
-    )
+    lines = views.scan_lines(spark, sf_dir)
+    # One row per store and product goes on: a best seller has no more of them than there are stores.
+    sold = lines.groupBy("store_id", "sku_gtin").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+    kept = keep_members(sold, top_k(sold, "sku_gtin", "quantity", 500), "sku_gtin")
+    return kept.groupBy("store_id").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
 
 
 # An allow-list that holds some products twice.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ends_cent_nine, ends_unit_nine, with_endings
+from ..operators.cells import CELL_KEY, mean_cents
 from ..operators.shares import (
     chain_league,
     correlations,
@@ -101,18 +102,18 @@ def share_modal_price(spark, sf_dir):
 
 @query(
     "share_mean_price",
-    f"""WITH {PRICE_CELLS_SQL}, priced AS (SELECT kjedeid, round(price + 3.7e-10, 2) AS p FROM cells)
-SELECT kjedeid, {sql_r6("avg(CAST(CAST(floor(p) AS BIGINT) % 10 = 9 AS INTEGER))")} AS unit_nine,
-       {sql_r6("avg(CAST(round(p - floor(p), 2) >= 0.9 AS INTEGER))")} AS cent_nine
+    f"""WITH {PRICE_CELLS_SQL}, whole AS (
+  SELECT kjedeid, sum(CAST(round(ppu * 100) AS BIGINT)) AS cents, count(*) AS n
+  FROM price_obs GROUP BY month, week, sku_gtin, store_id, kjedeid),
+priced AS (SELECT kjedeid, CAST((2 * cents + n) // (2 * n) AS BIGINT) AS p FROM whole)
+SELECT kjedeid, {sql_r6("avg(CAST(p // 100 % 10 = 9 AS INTEGER))")} AS unit_nine,
+       {sql_r6("avg(CAST(p % 100 >= 90 AS INTEGER))")} AS cent_nine
 FROM priced GROUP BY kjedeid""",
 )
 def share_mean_price(spark, sf_dir):
-    """Definition A on the mean price of each cell, rounded to cents first."""
-    from ..operators.cells import build_cells
-    from .registry import NUDGE
-
-    cells = build_cells(views.price_obs(spark, sf_dir))
-    priced = cells.withColumn("price", F.round(F.col("price") + NUDGE, 2))
+    """Definition A on the mean price of each cell, rounded half up to whole cents by integers."""
+    priced = mean_cents(views.price_obs(spark, sf_dir), [*CELL_KEY, "kjedeid"], "ppu")
+    priced = priced.withColumn("price", F.col("mean_cents") / 100)
     return rounded(ending_share(with_endings(priced, "price", "A"), ["kjedeid"], FLAGS), FLAGS)
 
 

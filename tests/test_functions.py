@@ -118,3 +118,14 @@ def test_stars_and_entries(spark):
 def test_to_long_or_null(spark):
     df = spark.createDataFrame([("12",), ("",), ("ab",), ("7.0",)], "t string")
     assert [r[0] for r in df.select(to_long_or_null(F.col("t"))).collect()] == [12, None, None, 7]
+
+
+def test_mean_cents_ties_go_up_whatever_the_order(spark):
+    from pricetail.operators.cells import mean_cents
+
+    rows = [("a", 1.0), ("a", 1.01), ("b", -1.0), ("b", -1.01), ("c", None), ("d", float("inf")), ("d", 2.995), ("e", 0.1), ("e", 0.2), ("e", 0.2)]
+    df = spark.createDataFrame(rows, "k string, ppu double")
+    expected = {"a": 101, "b": -100, "c": None, "d": 300, "e": 17}
+    for parts in (1, 5):
+        assert {r.k: r.mean_cents for r in mean_cents(df.repartition(parts), ["k"]).collect()} == expected
+    assert mean_cents(df.limit(0), ["k"]).count() == 0
