@@ -4,6 +4,17 @@ Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 documents.  The quality classifier, line dedup and tokens run Python in Spark's
 tasks and the training of the classifier has no SQL form, so run() has no SQL
 either; tests compare the stages with brute-force versions.
+
+Near duplicates follow the fingerprint's rule: three-word shingles, at most three
+differing bits; no word likeness is checked beside it.
+
+Defined results: a null text is scored like an empty one and stays null; texts
+without words are near duplicates of each other; rows with a null id have no
+copies and stay, and rows that repeat an id are kept beside each other; texts of
+any length are worked on whole; a null source is a source of its own; tables
+without rows give none, and without labels no document is rejected.  Other
+columns may have any name and go through up to the last stage, which returns its
+own.
 """
 
 from __future__ import annotations
@@ -44,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a check that they decode to its text."""
     model = sentencepiece_codec.read_model(sentencepiece_model())
-    ids = docs.withColumn("token_ids", sentencepiece_codec.encoded(F.col("text"), model))
+    ids = docs.select("doc_id", "source", sentencepiece_codec.encoded(F.col("text"), model).alias("token_ids"))
     return ids.select(
         "doc_id", "source", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(sentencepiece_codec.decoded(F.col("token_ids"), model), 256).alias("decoded_sha256"),
