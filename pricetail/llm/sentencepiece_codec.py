@@ -52,7 +52,8 @@ _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class PieceCodec:
     """Encoder and decoder made from the serialised model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memo: int | None = None):
+        self.memo = memo
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         if sp.encode("e  ﬁ ") != sp.encode(f"e{SPACE}{SPACE}ﬁ{SPACE}") or sp.decode(sp.encode("ﬁ  x ")) != "ﬁ  x ":
             raise ValueError("only models that keep texts as they are, with a leading space, are supported")
@@ -98,6 +99,11 @@ class PieceCodec:
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    @property
+    def most(self) -> int:
+        """Entries that each memo holds: those asked for, or MEMO_ENTRIES."""
+        return self.memo or MEMO_ENTRIES
+
     def _arrays(self, usable: dict[str, int]) -> None:
         """The automaton's goto function as a hash table of (node, character), and what a search looks up."""
         nodes = {p: n for n, p in enumerate(["", *self.best])}
@@ -261,7 +267,7 @@ class PieceCodec:
         known = self.pairs.get(left << 20 | right)
         if known is None:
             known = self._check(left, right)
-            if len(self.pairs) >= MEMO_ENTRIES:
+            if len(self.pairs) >= self.most:
                 self.pairs.clear()
             self.pairs[left << 20 | right] = known
         return known
@@ -323,14 +329,14 @@ class PieceCodec:
             tail = self.marks.get(part[len(stem) :])
             if tail is None:
                 tail = _packed(self.part(part[len(stem) :]))
-                if len(self.marks) < MEMO_ENTRIES and len(part) <= LONGEST:
+                if len(self.marks) < self.most and len(part) <= LONGEST:
                     self.marks[part[len(stem) :]] = tail
             seam = _UNSIGNED(head, len(head) - 4)[0], _UNSIGNED(tail)[0]
             found = head + tail if self.compatible(*seam) else _packed(self.part(part))
         else:
             found = _packed(self.part(part))
         if len(part) <= LONGEST:
-            if len(self.words) >= MEMO_ENTRIES:
+            if len(self.words) >= self.most:
                 # What is used again moves on to the new memo.
                 self.old, self.words = self.words, {}
             self.words[part] = found
@@ -360,7 +366,7 @@ class PieceCodec:
     def _lot(self, texts: list[str]) -> list[bytes]:
         split = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else () for t in texts]
         new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > MEMO_ENTRIES:
+        if len(self.words) + len(new) > self.most:
             # What is used again moves on to the new memo.
             self.old, self.words = self.words, {}
             new = set().union(*split)
@@ -435,14 +441,14 @@ def _utf8(run: bytearray) -> str:
         return "".join(out)
 
 
-_CODECS: dict[bytes, PieceCodec] = {}
+_CODECS: dict[tuple[bytes, int | None], PieceCodec] = {}
 
 
-def codec(model: bytes) -> PieceCodec:
-    """One codec a worker and model; its memos serve all tasks of the worker."""
-    if model not in _CODECS:
-        _CODECS[model] = PieceCodec(model)
-    return _CODECS[model]
+def codec(model: bytes, memo: int | None = None) -> PieceCodec:
+    """One codec a worker, model and memo size; its memos serve all tasks of the worker."""
+    if (model, memo) not in _CODECS:
+        _CODECS[model, memo] = PieceCodec(model, memo)
+    return _CODECS[model, memo]
 
 
 def read_model(path: str) -> bytes:
@@ -451,23 +457,26 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encoded(text: Column, model: bytes) -> Column:
-    """Binary column: ids as little-endian unsigned 32-bit integers."""
+def encoded(text: Column, model: bytes, memo: int | None = None) -> Column:
+    """Binary column: ids as little-endian unsigned 32-bit integers.
+
+    ``memo`` bounds the words and pairs that a worker remembers (MEMO_ENTRIES if none is given).
+    """
 
     @F.arrow_udf("binary")
     def encode_texts(texts: pa.Array) -> pa.Array:
-        c = codec(model)
+        c = codec(model, memo)
         return pa.array(c.encode_all(texts.to_pylist()), pa.binary())
 
     return encode_texts(text)
 
 
-def decoded(ids: Column, model: bytes) -> Column:
-    """The text of a binary column of ids."""
+def decoded(ids: Column, model: bytes, memo: int | None = None) -> Column:
+    """The text of a binary column of ids; ``memo`` as in ``encoded``, so that both share a codec."""
 
     @F.arrow_udf("string")
     def decode_ids(rows: pa.Array) -> pa.Array:
-        c = codec(model)
+        c = codec(model, memo)
         return pa.array([c.decode(r) for r in rows.to_pylist()], pa.string())
 
     return decode_ids(ids)
