@@ -27,6 +27,8 @@ from pricetail.llm._common import saved, table
 from pricetail.llm.queries import sentencepiece_model
 
 ORACLE_SQL = None
+# Words that a worker remembers in the last stage: workers outlive it, and other stages share their memory.
+TOKEN_MEMO = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +57,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a check that they decode to its text."""
     model = sentencepiece_codec.read_model(sentencepiece_model())
-    ids = docs.select("doc_id", "source", sentencepiece_codec.encoded(F.col("text"), model).alias("token_ids"))
+    ids = docs.select("doc_id", "source", sentencepiece_codec.encoded(F.col("text"), model, TOKEN_MEMO).alias("token_ids"))
     return ids.select(
         "doc_id", "source", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2(sentencepiece_codec.decoded(F.col("token_ids"), model), 256).alias("decoded_sha256"),
+        F.sha2(sentencepiece_codec.decoded(F.col("token_ids"), model, TOKEN_MEMO), 256).alias("decoded_sha256"),
     )
 
 
