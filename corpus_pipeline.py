@@ -28,7 +28,7 @@ from pricetail.llm.queries import sentencepiece_model
 
 ORACLE_SQL = None
 # Words that a worker remembers in the last stage: workers outlive it, and other stages share their memory.
-TOKEN_MEMO = 100_000
+TOKEN_MEMO = 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ MEMO_ENTRIES = 400_000
 # Slots for checked pairs; a pair that finds its slot taken is checked again.
 PAIR_SLOTS = 1 << 21
 # Characters of texts whose new parts are searched together.
-TOGETHER = 2_000_000
+TOGETHER = 250_000
+# Bytes of a batch that are Python objects at a time; the rest of it stays in Arrow's buffers.
+AT_ONCE = 500_000
 # Longer parts are searched alone and not remembered.
 LONGEST = 64
 MARKS = ",.;:!?$%&*#|"
@@ -451,6 +455,21 @@ def codec(model: bytes, memo: int | None = None) -> PieceCodec:
     return _CODECS[model, memo]
 
 
+def _slices(rows: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The rows in order, cut where AT_ONCE bytes are full; a longer row is a slice of its own."""
+    most = AT_ONCE if most is None else most
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(rows), 0).cast(pa.int64())))
+    start, before = 0, 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield rows.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def read_model(path: str) -> bytes:
     """The model file, read once on the driver; tasks get its bytes, about half a megabyte."""
     with open(path, "rb") as f:
@@ -466,7 +485,7 @@ def encoded(text: Column, model: bytes, memo: int | None = None) -> Column:
     @F.arrow_udf("binary")
     def encode_texts(texts: pa.Array) -> pa.Array:
         c = codec(model, memo)
-        return pa.array(c.encode_all(texts.to_pylist()), pa.binary())
+        return _joined([pa.array(c.encode_all(some.to_pylist()), pa.binary()) for some in _slices(texts)], pa.binary())
 
     return encode_texts(text)
 
@@ -477,7 +496,7 @@ def decoded(ids: Column, model: bytes, memo: int | None = None) -> Column:
     @F.arrow_udf("string")
     def decode_ids(rows: pa.Array) -> pa.Array:
         c = codec(model, memo)
-        return pa.array([c.decode(r) for r in rows.to_pylist()], pa.string())
+        return _joined([pa.array([c.decode(r) for r in some.to_pylist()], pa.string()) for some in _slices(rows)], pa.string())
 
     return decode_ids(ids)
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -72,3 +73,10 @@ def test_documents(spark, both):
         ids = library.encode(r.text or "", add_bos=True, add_eos=True)
         assert np.frombuffer(r.token_ids, "<u4").tolist() == ids and r.decoded == library.decode(ids)
     assert C.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_batches_become_objects_in_bounded_slices():
+    rows = pa.array(["a" * 40, None, "", "b" * 500, "c" * 60, "d" * 30, "e"])
+    parts = list(C._slices(rows, 100))
+    assert pa.concat_arrays(parts).equals(rows) and [len(p) for p in parts] == [3, 1, 3]
+    assert list(C._slices(rows.slice(0, 0), 100)) == []
