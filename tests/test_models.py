@@ -193,3 +193,31 @@ def test_extrapolation_finds_the_fixed_point():
         after = aim + turn @ (at - aim)
         at = mixer.next(at, after)
     assert np.abs(at - aim).max() < 1e-8
+
+
+@pytest.mark.parametrize("order", [["g", "b", "c"], ["b", "g", "c"], ["b", "c", "g"]])
+def test_largest_dimension_never_reaches_the_driver(spark, monkeypatch, order):
+    """Levels of ``g`` name their level of ``b``, which both could carry: the first listed one does."""
+    import pricetail.operators.absorb as A
+
+    rng = np.random.default_rng(5)
+    b = rng.integers(0, 4, 400)
+    p = pd.DataFrame({"b": [f"b{k}" for k in b], "g": b * 20 + rng.integers(0, 20, 400) ** 2 // 20, "c": rng.integers(0, 6, 400) % (2 + b)})
+    p = p.assign(k=rng.integers(0, 3, 400), y=1e3 + rng.normal(size=400) + b + 0.3 * p["c"], x=rng.normal(size=400) + 0.1 * p["g"])
+    monkeypatch.setattr(A, "CROSSED_CELLS", 100)
+    records = A.materialise(A.collapse(spark.createDataFrame(p), ["b", "g", "c", "k"], ["x", "y"]))
+    with monkeypatch.context() as m:
+        m.setattr(A, "_swept_vectors", None)
+        found = A.absorb(records, [], [[d] for d in order], ["x", "y"], ["b", "g", "c", "k"])
+    # All as vectors, as where two dimensions have many levels.
+    monkeypatch.setattr(A, "FEW_LEVELS", 0)
+    found += A.absorb(records, [], [[d] for d in order], ["x", "y"], ["b", "g", "c", "k"])
+    left, want = p[["x", "y"]].to_numpy(), {d: np.zeros((400, 2)) for d in order}
+    for _ in range(400):
+        for d in order:
+            mean = pd.DataFrame(left).groupby(p[d]).transform("mean").to_numpy()
+            left, want[d] = left - mean, want[d] + mean
+    for d, effects in zip(order * 2, found):
+        got = effects.table.toPandas().set_index(d)
+        assert effects.levels == len(got) == p[d].nunique() and got["_records"].sum() == records.count()
+        assert np.allclose(got.loc[p[d], ["x", "y"]].to_numpy(), want[d], atol=1e-6)
