@@ -44,9 +44,9 @@ MEMO_ENTRIES = 400_000
 # Slots for checked pairs; a pair that finds its slot taken is checked again.
 PAIR_SLOTS = 1 << 21
 # Characters of texts whose new parts are searched together.
-TOGETHER = 250_000
+TOGETHER = 2_000_000
 # Bytes of a batch that are Python objects at a time; the rest of it stays in Arrow's buffers.
-AT_ONCE = 500_000
+AT_ONCE = 2_000_000
 # Longer parts are searched alone and not remembered.
 LONGEST = 64
 MARKS = ",.;:!?$%&*#|"
