@@ -221,3 +221,31 @@ def test_largest_dimension_never_reaches_the_driver(spark, monkeypatch, order):
         got = effects.table.toPandas().set_index(d)
         assert effects.levels == len(got) == p[d].nunique() and got["_records"].sum() == records.count()
         assert np.allclose(got.loc[p[d], ["x", "y"]].to_numpy(), want[d], atol=1e-6)
+
+
+@pytest.mark.parametrize("replayed", [4, 24])
+def test_levels_of_a_shared_group_never_reach_the_driver(spark, monkeypatch, replayed):
+    """Store by product and store by week are swept inside their stores, with the split of plain sweeps."""
+    import pricetail.operators.absorb as A
+
+    rng = np.random.default_rng(11)
+    store = rng.integers(0, 30, 900) ** 2 // 30
+    p = pd.DataFrame({"store": [f"s{k}" for k in store], "product": rng.integers(0, 5, 900), "week": [f"w{k}" for k in rng.integers(0, 4, 900)]})
+    p = p.assign(k=rng.integers(0, 2, 900), y=rng.normal(size=900) + 0.2 * p["product"] * store, x=100 + rng.normal(size=900))
+    keys = ["store", "product", "week", "k"]
+    dims = list(STANDARD_STEPS[3].values())
+    records = A.materialise(A.collapse(spark.createDataFrame(p), keys, ["x", "y"]))
+    monkeypatch.setattr(A, "FEW_LEVELS", 20)
+    monkeypatch.setattr(A, "SWEPT_CELLS", 60)
+    monkeypatch.setattr(A, "REPLAYED", replayed)
+    monkeypatch.setattr(A, "_swept_vectors", None)
+    found = A.absorb(records, [], dims, ["x", "y"], keys)
+    left, want = p[["x", "y"]].to_numpy(), [np.zeros((900, 2)) for _ in dims]
+    for _ in range(400):
+        for d, dim in enumerate(dims):
+            mean = pd.DataFrame(left).groupby([p[k] for k in dim]).transform("mean").to_numpy()
+            left, want[d] = left - mean, want[d] + mean
+    for d, (dim, effects) in enumerate(zip(dims, found)):
+        got = effects.table.toPandas().set_index(dim)
+        assert effects.levels == len(got) == p.groupby(dim).ngroups and got["_records"].sum() == records.count()
+        assert np.allclose(got.loc[list(zip(*[p[k] for k in dim])), ["x", "y"]].to_numpy(), want[d], atol=1e-6)
