@@ -93,3 +93,19 @@ def test_ties_along_both_axes_and_no_finite_place(spark, monkeypatch):
     for r in geo.competitors_within(df, "id", "x", "y", "chain", [0.002, 0.01]).collect():
         expected = [sum(1 for _, a, b, c in stores if c != r["chain"] and math.hypot(a - r["x"], b - r["y"]) <= k) for k in (2, 10)] if r["id"] < 200 else [None, None]
         assert [r["competitors_within_0.002km"], r["competitors_within_0.01km"]] == expected
+
+
+def test_later_searches_do_not_run_earlier_ones_again(spark, monkeypatch):
+    """Towns of one chain each, blocks of a few stores; what a search found is kept, not planned again."""
+    monkeypatch.setattr(geo, "LEAF_PLACES", 2)
+    rng = random.Random(9)
+    towns = [(rng.uniform(0, 50_000), rng.uniform(0, 50_000)) for _ in range(6)]
+    stores = [(i, towns[i % 6][0] + rng.uniform(0, 900), towns[i % 6][1] + rng.uniform(0, 900), f"c{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(stores, "id long, x double, y double, chain string")
+    counted = geo.competitors_within(df, "id", "x", "y", "chain")
+    found = geo.nearest_store(geo.nearest_store(counted, "id", "x", "y", name="any"), "id", "x", "y", differ_on="chain", name="rival")
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = brute(stores)
+    for r in found.collect():
+        assert math.isclose(r["any"], want[r["id"]][0]) and math.isclose(r["rival"], want[r["id"]][2])
+        assert [r[f"competitors_within_{k}km"] for k in (2, 5, 10)] == want[r["id"]][3]
