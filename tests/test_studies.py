@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pricetail.operators import absorb
 from pricetail.operators.decompose import STANDARD_STEPS
 from pricetail.plans import load_all
 
@@ -73,3 +74,22 @@ def test_decomposition_has_listed_varied_products_one_by_one(spark, tables):
     assert sorted(got.index) == sorted(want)
     for name, variance in want.items():
         assert np.allclose(got.loc[name, ["variance", "share"]].tolist(), [variance, variance / flag.var(ddof=1)], atol=2e-6)
+
+
+def test_more_than_few_products_by_week_are_swept_in_their_stores(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = pd.DataFrame({k: rng.integers(0, n, 240) for k, n in {"store": 8, "product": 6, "week": 4}.items()}).drop_duplicates()
+    p["y"] = rng.normal(size=len(p))
+    dims = list(STANDARD_STEPS[3].values())
+    monkeypatch.setattr(absorb, "FEW_LEVELS", 4)
+    monkeypatch.setattr(absorb, "_swept_vectors", None)
+    found = absorb.absorb(spark.createDataFrame(p.assign(n=1)), [], dims, ["y"], ["store", "product", "week"])
+    left, want = p["y"].to_numpy(), [np.zeros(len(p)) for _ in dims]
+    codes = [p.groupby(dim).ngroup().to_numpy() for dim in dims]
+    for _ in range(2000):
+        for d, at in enumerate(codes):
+            mean = (np.bincount(at, weights=left) / np.bincount(at))[at]
+            left, want[d] = left - mean, want[d] + mean
+    for dim, effects, effect in zip(dims, found, want):
+        got = p[dim].merge(effects.table.toPandas(), on=dim, how="left")
+        assert np.allclose(got["y"], effect, atol=1e-6)
